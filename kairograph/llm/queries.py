@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairograph.llm import bpe
+from kairograph.llm import bpe, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,13 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_recursive_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op7_bpe_tree": op7_bpe_tree,
+    "op10_recursive_secrets": op10_recursive_secrets,
 }
 
 ORACLES: dict[str, str] = {}

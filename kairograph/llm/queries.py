@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairograph.llm import bpe, secrets
+from kairograph.llm import bpe, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,17 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_recursive_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op7_bpe_tree": op7_bpe_tree,
+    "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_recursive_secrets": op10_recursive_secrets,
 }
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairograph.llm import bpe, quality, secrets, toxicity
+from kairograph.llm import bpe, jaccard_join, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_recursive_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_prefix_jaccard": op3_prefix_jaccard,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_additive_quality": op8_additive_quality,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,

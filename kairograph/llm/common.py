@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,3 +70,44 @@ def row_slices(batch: pa.RecordBatch, column: str, budget: int = 8 << 20):
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of complete groups from a stream that is sorted by `keys`."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = table.num_rows
+        same = np.ones(cut, bool)
+        for k in keys:
+            same &= pc.equal(table.column(k), table.column(k)[-1]).to_numpy()
+        first = int(np.argmax(same))
+        if first:
+            yield table.slice(0, first)
+            held = table.slice(first).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Starts of the groups, and the number of rows."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        v = table.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def valid_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat components as doubles, offsets, and which vectors have components and all of them finite numbers."""
+    if pa.types.is_fixed_size_list(column.type):
+        column = column.cast(pa.list_(column.type.value_type))
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    return flat, offsets, (lengths > 0) & (bad[offsets[1:]] == bad[offsets[:-1]])

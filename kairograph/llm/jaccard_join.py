@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import materialize, mix64, row_slices, word_lists
+from kairograph.llm.common import group_starts, materialize, mix64, row_slices, whole_groups, word_lists
 from kairograph.llm.components import connected_components
 
 WORDS = 3
@@ -106,36 +106,6 @@ def _triangle(m: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(m, 1)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of complete groups from a stream that is sorted by `keys`."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < least:
-            continue
-        table = pa.Table.from_batches(held)
-        cut = table.num_rows
-        same = np.ones(cut, bool)
-        for k in keys:
-            same &= pc.equal(table.column(k), table.column(k)[-1]).to_numpy()
-        first = int(np.argmax(same))
-        if first:
-            yield table.slice(0, first)
-            held = table.slice(first).to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _groups(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Starts of the groups, and the number of rows."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for k in keys:
-        v = table.column(k).to_numpy()
-        new[1:] |= v[1:] != v[:-1]
-    return np.append(np.flatnonzero(new), table.num_rows)
-
-
 def _candidates(n: np.ndarray, side: np.ndarray, bits: np.ndarray, full: list[bytes], similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of one block that sizes and bitmaps allow, and the bits by which they differ."""
     num, den = similarity
@@ -287,8 +257,8 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
     bitmaps = seen.where("node IS NOT NULL").groupBy("node").agg(F.first("parity").alias("parity"))
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, keys):
-            starts = _groups(table, keys)
+        for table in whole_groups(batches, keys):
+            starts = group_starts(table, keys)
             n, side = table.column("n").to_numpy().astype(np.int64), table.column("side").to_numpy()
             bits, full = _bitmaps(table.column("parity"))
             keep = np.zeros(table.num_rows, bool)
@@ -325,8 +295,8 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, keys, 2_000):
-            starts = _groups(table, keys)
+        for table in whole_groups(batches, keys, 2_000):
+            starts = group_starts(table, keys)
             n, side, node = table.column("n").to_numpy().astype(np.int64), table.column("side").to_numpy(), table.column("node").to_numpy()
             bits, full = _bitmaps(table.column("parity"))
             sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]

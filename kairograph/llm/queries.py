@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kairograph.llm import bpe, jaccard_join, quality, secrets, toxicity
+from kairograph.llm import bpe, jaccard_join, mtree, multi_index, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op3_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +41,9 @@ def op10_recursive_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mtree_topk": op2_mtree_topk,
     "op3_prefix_jaccard": op3_prefix_jaccard,
+    "op6_multi_index_neardup": op6_multi_index_neardup,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_additive_quality": op8_additive_quality,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import bpe, jaccard_join, mtree, multi_index, quality, secrets, toxicity
+from kairograph.llm import bpe, html_text, jaccard_join, mtree, multi_index, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -41,6 +45,7 @@ def op10_recursive_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_html": op1_suffix_array_html,
     "op2_mtree_topk": op2_mtree_topk,
     "op3_prefix_jaccard": op3_prefix_jaccard,
     "op6_multi_index_neardup": op6_multi_index_neardup,

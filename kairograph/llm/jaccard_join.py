@@ -319,3 +319,9 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
     return facts.join(of_node, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Rows of `docs`, all columns, whose doc_id names their component, and rows without doc_id."""
+    gone = join(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import bpe, html_text, jaccard_join, mtree, multi_index, quality, secrets, toxicity
+from kairograph.llm import bpe, html_text, jaccard_join, mixing, mtree, multi_index, quality, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op3_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op4_revisit_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(_table(spark, sf_dir, "pages")))
+    lines = F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return found.withColumn("headers", F.array_join(F.array_sort(lines), "\n"))
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_multi_index_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +58,8 @@ QUERIES = {
     "op1_suffix_array_html": op1_suffix_array_html,
     "op2_mtree_topk": op2_mtree_topk,
     "op3_prefix_jaccard": op3_prefix_jaccard,
+    "op4_revisit_asof": op4_revisit_asof,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_multi_index_neardup": op6_multi_index_neardup,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_additive_quality": op8_additive_quality,
@@ -55,4 +67,34 @@ QUERIES = {
     "op10_recursive_secrets": op10_recursive_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+_OP4_SQL = r"""
+WITH bare AS (
+  SELECT page_id, url, regexp_replace(trim(url), '#.*$', '') AS u0, (page_id * 37) % 1000 AS d, '"' || md5(coalesce(html, '')) || '"' AS tag, md5(coalesce(url, '')) AS digest FROM pages
+), records AS (
+  SELECT 2 * page_id AS record_id, url AS uri, d AS ts, true AS full_response, tag AS etag, digest, d AS age FROM bare
+  UNION ALL
+  SELECT 2 * page_id + 1, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^http://', 'https://www.') ELSE url END, d + page_id % 5 - 1, false,
+         CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 2 = 0 THEN 'W/' || tag END, digest, 0 FROM bare
+), parts AS (
+  SELECT *, regexp_replace(trim(uri), '#.*$', '') AS u, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?@]*@)?([^/?]*)([^?]*)\??(.*)$' AS pat FROM records
+), urls AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, pat, 2)), ':(?:80|443)?$', ''), '^www\d*\.', '') AS host,
+    regexp_replace(regexp_extract(u, pat, 3), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, pat, 4), '&'), lambda p: p <> '')), '&') AS query FROM parts
+), named AS (
+  SELECT *, CASE WHEN regexp_matches(u, pat) THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END ELSE u END AS canonical FROM urls
+), matched AS (
+  SELECT r.record_id, r.canonical, r.etag, r.digest, arg_max(s.record_id, (s.ts, s.record_id)) AS s_id
+  FROM named r LEFT JOIN named s ON s.full_response AND s.canonical = r.canonical AND (s.ts < r.ts OR (s.ts = r.ts AND s.record_id < r.record_id))
+  WHERE NOT r.full_response GROUP BY ALL
+), judged AS (
+  SELECT m.*, s.etag AS s_etag, CASE WHEN s_id IS NULL THEN 'no earlier response'
+      WHEN coalesce(regexp_replace(m.etag, '^W/', '') = regexp_replace(s.etag, '^W/', ''), m.digest = s.digest) THEN 'confirmed' ELSE 'validator mismatch' END AS verdict
+  FROM matched m LEFT JOIN named s ON s.record_id = m.s_id
+)
+SELECT record_id, canonical, CASE WHEN verdict = 'confirmed' THEN s_id END AS resolved_id, verdict,
+  CASE WHEN verdict = 'confirmed' THEN 'age: 0' || chr(10) || 'cache-control: no-cache' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || s_etag END AS headers
+FROM judged
+"""
+
+ORACLES: dict[str, str] = {"op4_revisit_asof": _OP4_SQL}

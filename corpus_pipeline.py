@@ -1,21 +1,55 @@
-"""Cleaning of a document corpus, stage by stage."""
+"""Cleaning of a document corpus, stage by stage; every stage works on all that the one before it kept.
+
+1. toxicity: documents that the counterfactual-regularised classifier rejects go.
+2. jaccard: of documents linked by word n-grams the one that names the group stays.
+3. secrets: secrets, also encoded ones, are replaced by a mark.
+4. mixing: documents are dropped or repeated so that expected domain tokens match the targets.
+5. bpe: every remaining text is encoded and decoded; one row of digests for each.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kairograph.llm import bpe
+from kairograph.llm import bpe, jaccard_join, mixing, secrets, toxicity
 from kairograph.llm.common import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents; documents without doc_id stay."""
+    return jaccard_join.keep_first(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark and n_chars following."""
+    return secrets.redact(docs)
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their fitted rates say."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every remaining text, with digests of ids and decoded text."""
+    """Number and digest of every text's token ids, and digest of what they decode to."""
     return bpe.digests(docs)
 
 
-STAGES = [("bpe", encode_tokens)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mixing", mix_domains),
+    ("bpe", encode_tokens),
+]
 
-#: SQL can't express the classifiers or the tokenizer.
+#: SQL can't express the classifiers or the tokenizer; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

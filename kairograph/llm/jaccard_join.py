@@ -128,6 +128,21 @@ def _candidates(n: np.ndarray, side: np.ndarray, bits: np.ndarray, full: list[by
     return i[ok], j[ok], far[ok]
 
 
+def _clusters(i: np.ndarray, j: np.ndarray, size: int) -> list[np.ndarray]:
+    """Members of the connected parts of a graph of `size` nodes that have an edge."""
+    label = np.arange(size)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        if (low == label[i]).all() and (low == label[j]).all():
+            break
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+    touched = np.unique(np.concatenate([i, j]))
+    order = touched[np.argsort(label[touched], kind="stable")]
+    return np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(order) else []
+
+
 def _bitmaps(column: pa.ChunkedArray) -> tuple[np.ndarray, list[bytes]]:
     full = column.to_pylist()
     return np.array([_folded(np.frombuffer(b, np.uint64), 8) for b in full], np.uint64).reshape(len(full), 8), full
@@ -259,19 +274,23 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
             starts = group_starts(table, keys)
-            n, side = table.column("n").to_numpy().astype(np.int64), table.column("side").to_numpy()
+            n, side, node = table.column("n").to_numpy().astype(np.int64), table.column("side").to_numpy(), table.column("node").to_numpy()
             bits, full = _bitmaps(table.column("parity"))
-            keep = np.zeros(table.num_rows, bool)
+            at, cluster = [], []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if b - a > 1:
-                    i, j, _ = _candidates(n[a:b], side[a:b], bits[a:b], full[a:b], similarity)
-                    keep[a + i] = keep[a + j] = True
-            yield from table.filter(pa.array(keep)).to_batches()
+                    for members in _clusters(*_candidates(n[a:b], side[a:b], bits[a:b], full[a:b], similarity)[:2], b - a):
+                        at.append(a + members)
+                        cluster += [node_of(np.sort(node[a + members]))] * len(members)
+            if at:
+                yield from table.select(["node", "n", "parity"]).take(pa.array(np.concatenate(at))).append_column("cluster", pa.array(cluster, pa.int64())).to_batches()
 
+    # candidates that hang together, named by their members: the same ones from several entries are compared once
     live = materialize(
-        members.join(bitmaps, "node").select("entry", "i", "j", "side", "node", "n", "parity").repartition("entry", "i", "j").sortWithinPartitions(*keys).mapInArrow(allowed, "entry long, i int, j int, side int, node long, n int, parity binary"),
+        members.join(bitmaps, "node").select("entry", "i", "j", "side", "node", "n", "parity").repartition("entry", "i", "j").sortWithinPartitions(*keys)
+        .mapInArrow(allowed, "node long, n int, parity binary, cluster long").dropDuplicates(["cluster", "node"]),
         "live",
-    )
+    )
     # a bitmap of fixed size tells which sets may be wanted; the join decides
     slot = F.pmod("node", F.lit(1 << FILTER_BITS))
     wanted = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -295,21 +314,21 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys, 2_000):
-            starts = group_starts(table, keys)
-            n, side, node = table.column("n").to_numpy().astype(np.int64), table.column("side").to_numpy(), table.column("node").to_numpy()
+        for table in whole_groups(batches, ["cluster"], 2_000):
+            starts = group_starts(table, ["cluster"])
+            n, node = table.column("n").to_numpy().astype(np.int64), table.column("node").to_numpy()
             bits, full = _bitmaps(table.column("parity"))
             sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
             found = []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                i, j, far = _candidates(n[a:b], side[a:b], bits[a:b], full[a:b], similarity)
+                i, j, far = _candidates(n[a:b], np.zeros(b - a, int), bits[a:b], full[a:b], similarity)
                 likely = np.argsort(far, kind="stable")
                 found += [(a + x, a + y) for x, y in _linked(i[likely], j[likely], sets[a:b], similarity)]
             pairs = np.array(found, np.int64).reshape(len(found), 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["u", "v"])
 
     sets = rows.mapInArrow(verbatim, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    links = live.join(sets, "node").repartition("entry", "i", "j").sortWithinPartitions(*keys).mapInArrow(verified, "u long, v long").distinct()
+    links = live.join(sets, "node").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(verified, "u long, v long").distinct()
     roots = connected_components(materialize(links, "links"))
 
     facts = seen.where("node IS NOT NULL").select("doc_id", "n", "node")

@@ -1,0 +1,107 @@
+"""Who can publish into what was reached: roster, signals and risk, and what removing an account cuts off."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kairograph.functions.lineage import written
+from kairograph.operators.reach import DEPTH, coexistence_reach
+
+YEAR = 31_536_000
+WEIGHTS = {"reach": 0.40, "staleness": 0.15, "solo": 0.20, "provenance": 0.15, "install": 0.10}
+
+
+def roster(reached: DataFrame, maintains: DataFrame) -> DataFrame:
+    """(handle, package, vf, vt, valid_from): spans at which a reached package was held, and the holding's own start.
+    reached: (package, vf, vt); maintains: (handle, package, vf, vt)."""
+    m = maintains.select("handle", "package", F.col("vf").alias("m_vf"), F.col("vt").alias("m_vt"))
+    return reached.join(m, "package").select("handle", "package", F.greatest("vf", "m_vf").alias("vf"), F.least("vt", "m_vt").alias("vt"), F.col("m_vf").alias("valid_from")).where("vf < vt")
+
+
+def keyholders(held: DataFrame) -> DataFrame:
+    """Per account: packages held while reached, and since when (start of the earliest overlapping holding)."""
+    return held.groupBy("handle").agg(F.count_distinct("package").alias("packages"), F.min("valid_from").alias("since"))
+
+
+def holders_per_package(reached: DataFrame, held: DataFrame) -> DataFrame:
+    """Accounts of every reached package, 0 where there is none."""
+    counts = held.groupBy("package").agg(F.count_distinct("handle").alias("holders"))
+    return reached.select("package").distinct().join(counts, "package", "left").select("package", F.coalesce("holders", F.lit(0)).cast("long").alias("holders"))
+
+
+def union_holders(union_packages: DataFrame, maintains: DataFrame) -> DataFrame:
+    """One row: accounts that ever held a package of the union graph."""
+    return maintains.join(union_packages.select("package").distinct(), "package", "left_semi").agg(F.count_distinct("handle").alias("union_keyholders"))
+
+
+def signals(held: DataFrame, holders: DataFrame, sampled: DataFrame) -> DataFrame:
+    """Per account: counts and denominators of solo packages, versions without provenance and with install scripts, and last
+    publish (own) and release (anyone's). sampled: (package, published_at, published_by, has_provenance, has_install_script);
+    a version whose has_provenance is null was not looked at and counts in no denominator."""
+    through = held.select("handle", "package").distinct()
+    solo = through.join(holders, "package").groupBy("handle").agg(F.count_if(F.col("holders") == 1).alias("solo_count"), F.count("*").alias("solo_of"))
+    looked = F.col("has_provenance").isNotNull()
+    seen = (
+        through.join(sampled, "package")
+        .groupBy("handle")
+        .agg(
+            F.count_if(looked & ~F.col("has_provenance")).alias("unproven_count"),
+            F.count_if(looked).alias("looked_of"),
+            F.count_if(looked & F.coalesce("has_install_script", F.lit(False))).alias("install_count"),
+            F.max(F.when(F.col("published_by") == F.col("handle"), F.col("published_at"))).alias("last_publish"),
+            F.max("published_at").alias("last_release"),
+        )
+    )
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("unproven_count", "looked_of", "install_count", "last_publish", "last_release")}
+    return solo.join(seen, "handle", "left").withColumns(zero)
+
+
+def risk(seen: DataFrame, packages: int, now: int, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Per account the risk terms and their weighted mean. A term that isn't known (no denominator, no publish) drops out and
+    the other weights are scaled up; nothing known is 0. packages: number of coexistence-reached packages."""
+    share = lambda count, of: F.when(F.col(of) > 0, F.col(count) / F.col(of))
+    terms = {
+        "reach": F.least(F.lit(1.0), F.log1p("solo_of") / F.log1p(F.lit(packages))) if packages > 0 else F.lit(None).cast("double"),
+        "staleness": F.when(F.col("last_publish") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(now) - F.col("last_publish")) / F.lit(5.0 * YEAR)))),
+        "solo": share("solo_count", "solo_of"),
+        "provenance": share("unproven_count", "looked_of"),
+        "install": share("install_count", "looked_of"),
+    }
+    with_terms = seen.withColumns({f"t_{k}": v for k, v in terms.items()})
+    known = sum((F.when(F.col(f"t_{k}").isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
+    total = sum((F.coalesce(F.col(f"t_{k}") * w, F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
+    return with_terms.withColumn("risk", F.when(known > 0, total / known).otherwise(0.0))
+
+
+def ranked(scores: DataFrame, n: int | None = None) -> DataFrame:
+    """Riskiest first, ties by handle."""
+    out = scores.orderBy(F.desc("risk"), "handle")
+    return out if n is None else out.limit(n)
+
+
+def cuts(edges: DataFrame, sources: DataFrame, reached: DataFrame, held: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Per account: what is no longer reached once its packages are out. Nodes are packages here: (handle, controls, lost,
+    beyond), lost counting nodes not reached any more and beyond those of them that the account doesn't hold.
+    All accounts are searched in one loop, keyed by handle."""
+    blocked = written(held.select("handle", F.col("package").alias("node")).distinct(), "blocked")
+    handles = blocked.select("handle").distinct()
+    starts = handles.crossJoin(F.broadcast(sources.select("node", "vf", "vt")))  # the sources of one project, for each account
+    left = coexistence_reach(edges, starts, ["handle"], depth=depth, blocked=blocked)
+    before = reached.select("node").distinct()
+    still = left.select("handle", "node").distinct().groupBy("handle").agg(F.count("*").alias("still"))
+    own = blocked.join(before, "node", "left_semi").groupBy("handle").agg(F.count("*").alias("controls"))
+    total = before.count()
+    return own.join(still, "handle", "left").select(
+        "handle", "controls", (F.lit(total) - F.coalesce("still", F.lit(0))).cast("long").alias("lost"), (F.lit(total) - F.coalesce("still", F.lit(0)) - F.col("controls")).cast("long").alias("beyond")
+    )
+
+
+def maintainer_rank(maintains: DataFrame, n: int) -> DataFrame:
+    """Accounts with most holdings: spells, and distinct packages."""
+    return maintains.groupBy("handle").agg(F.count("*").alias("spells"), F.count_distinct("package").alias("packages")).orderBy(F.desc("spells"), "handle").limit(n)
+
+
+def new_keyholders(head: DataFrame, base: DataFrame) -> DataFrame:
+    """Accounts of the head audit that the base audit doesn't have."""
+    return head.select("handle").distinct().join(base.select("handle"), "handle", "left_anti")

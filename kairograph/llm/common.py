@@ -59,7 +59,7 @@ def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, codes[keep], offsets
 
 
-def row_slices(batch: pa.RecordBatch, column: str, budget: int = 8 << 20):
+def row_slices(batch: pa.RecordBatch, column: str, budget: int = 2 << 20):
     """Slices of `batch` whose `column` holds about `budget` bytes each (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0

@@ -73,7 +73,7 @@ def _present(batch: pa.RecordBatch, index: dict[str, int], cache: dict[str, tupl
         found = cache.get(raw)
         if found is None:
             found = tuple(i for f in word_features(raw.strip(_EDGES)) if (i := index.get(f)) is not None)
-            if len(cache) > 300_000:
+            if len(cache) > 100_000:
                 cache.clear()
             cache[raw] = found
         lists.append(found)

@@ -23,11 +23,10 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 def members(edges: DataFrame) -> DataFrame:
     """(epoch, node, member): all that reach each node, by doubling the closure until nothing is added."""
-    steps = edges.where("src <> dst").select("epoch", F.col("dst").alias("node"), F.col("src").alias("member")).distinct()
-    known = front = written(steps, "closure")
+    known = front = written(edges.where("src <> dst").select("epoch", F.col("dst").alias("node"), F.col("src").alias("member")).distinct(), "closure")
     while True:
-        hop = steps.select("epoch", F.col("node").alias("to"), F.col("member").alias("from"))
-        new = front.join(hop.withColumnsRenamed({"to": "member", "from": "origin"}), ["epoch", "member"]).select("epoch", "node", F.col("origin").alias("member")).where("node <> member").distinct()
+        further = known.select("epoch", F.col("node").alias("member"), F.col("member").alias("origin"))
+        new = front.join(further, ["epoch", "member"]).select("epoch", "node", F.col("origin").alias("member")).where("node <> member").distinct()
         front = written(new.join(known, ["epoch", "node", "member"], "left_anti"), "closure")
         if front.isEmpty():
             break

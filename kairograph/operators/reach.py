@@ -18,6 +18,8 @@ from kairograph.functions.intervals import OPEN, coalesce, contains
 from kairograph.functions.lineage import written
 
 DEPTH = 12
+#: Hops of one job while the frontier has at most SMALL rows.
+HOPS, SMALL = 3, 100_000
 
 
 def always(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -30,36 +32,69 @@ def clipped(spans: DataFrame, within: tuple[int, int]) -> DataFrame:
     return spans.withColumns({"vf": vf.cast("long"), "vt": vt.cast("long")}).where("vf < vt")
 
 
-def frontiers(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH, within: tuple[int, int] = (0, OPEN), blocked: DataFrame | None = None) -> Iterator[DataFrame]:
-    """The rows (keys, node, vf, vt) that each superstep adds, the sources first. blocked: (keys, node) never entered."""
-    names = [*keys, "node"]
-    steps = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("vf").alias("__vf"), F.col("vt").alias("__vt"))
+def _steps(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("vf").alias("__vf"), F.col("vt").alias("__vt"))
+
+
+def _expanded(front: DataFrame, steps: DataFrame, keys: Sequence[str], blocked: DataFrame | None) -> DataFrame:
+    """One hop on: an equi-join on the node, intervals intersected, empty ones dropped."""
+    vf, vt = F.greatest("vf", "__vf"), F.least("vt", "__vt")
+    new = front.join(steps, front["node"] == steps["__src"]).select(*keys, F.col("__dst").alias("node"), vf.alias("vf"), vt.alias("vt")).where("vf < vt").distinct()
+    return new if blocked is None else new.join(blocked, [*keys, "node"], "left_anti")
+
+
+def _unknown(new: DataFrame, state: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows of `new` whose interval lies in none that is known for their node."""
+    known = state.select(*(F.col(c).alias(f"k_{c}") for c in (*names, "vf", "vt")))
+    inside = (F.col("k_vf") <= F.col("vf")) & (F.col("k_vt") >= F.col("vt"))
+    for c in names:
+        inside = inside & (F.col(c) == F.col(f"k_{c}"))
+    return new.join(known, inside, "left_anti")
 
-    def allowed(rows: DataFrame) -> DataFrame:
-        return rows if blocked is None else rows.join(blocked, names, "left_anti")
 
-    state = front = written(allowed(clipped(sources.select(*names, "vf", "vt"), within)).distinct(), "frontier")
+def _first(sources: DataFrame, names: Sequence[str], within: tuple[int, int], blocked: DataFrame | None) -> DataFrame:
+    rows = clipped(sources.select(*names, "vf", "vt"), within)
+    return written((rows if blocked is None else rows.join(blocked, list(names), "left_anti")).distinct(), "frontier")
+
+
+def frontiers(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH, within: tuple[int, int] = (0, OPEN), blocked: DataFrame | None = None) -> Iterator[DataFrame]:
+    """The rows (keys, node, vf, vt) that each superstep adds, the sources first. blocked: (keys, node) never entered."""
+    names, steps = [*keys, "node"], _steps(edges)
+    state = front = _first(sources, names, within, blocked)
     yield front
     for _ in range(depth):
-        vf, vt = F.greatest("vf", "__vf"), F.least("vt", "__vt")
-        new = front.join(steps, front["node"] == steps["__src"]).select(*keys, F.col("__dst").alias("node"), vf.alias("vf"), vt.alias("vt")).where("vf < vt").distinct()
-        known = state.select(*(F.col(c).alias(f"k_{c}") for c in (*names, "vf", "vt")))
-        inside = (F.col("k_vf") <= F.col("vf")) & (F.col("k_vt") >= F.col("vt"))
-        for c in names:
-            inside = inside & (F.col(c) == F.col(f"k_{c}"))
-        front = written(allowed(new).join(known, inside, "left_anti"), "frontier")
+        front = written(_unknown(_expanded(front, steps, keys, blocked), state, names), "frontier")
         if front.isEmpty():
             return
         yield front
         state = state.unionByName(front)
 
 
-def coexistence_reach(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
+def _hops(size: int, left: int) -> int:
+    """Hops of one job: several while the frontier is small and a job's fixed cost counts most, else one, so that what is
+    known prunes before the next hop."""
+    return min(left, HOPS if size <= SMALL else 1)
+
+
+def coexistence_reach(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH, within: tuple[int, int] = (0, OPEN), blocked: DataFrame | None = None) -> DataFrame:
     """Rows (keys, node, vf, vt): the maximal intervals at which each node is reached."""
-    rows = None
-    for front in frontiers(edges, sources, keys, **options):
-        rows = front if rows is None else rows.unionByName(front)
-    return coalesce(rows, [*keys, "node"])
+    names, steps = [*keys, "node"], _steps(edges)
+    state = front = _first(sources, names, within, blocked)
+    done, size = 0, front.count()
+    while size and done < depth:
+        hops = _hops(size, depth - done)
+        layers = []
+        for i in range(hops):
+            front = _expanded(front, steps, keys, blocked)
+            layers.append(front.withColumn("hop", F.lit(i)))
+        every = layers[0]
+        for layer in layers[1:]:
+            every = every.unionByName(layer)
+        new = written(_unknown(every, state, names), "frontier")
+        front = new.where(F.col("hop") == hops - 1).drop("hop")
+        state = state.unionByName(new.drop("hop"))
+        done, size = done + hops, front.count()
+    return coalesce(state, names)
 
 
 def union_reach(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH) -> tuple[DataFrame, int, bool]:
@@ -68,14 +103,19 @@ def union_reach(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (),
     names = [*keys, "node"]
     steps = edges.select(F.col("src").alias("node"), "dst").distinct()
     seen = front = written(sources.select(*names).distinct().withColumn("layer", F.lit(0).cast("long")), "layer")
-    rounds, more = 0, not front.isEmpty()
-    while more and rounds < depth:
-        rounds += 1
-        new = front.join(steps, "node").select(*keys, F.col("dst").alias("node")).distinct().join(seen, names, "left_anti")
-        front = written(new.withColumn("layer", F.lit(rounds).cast("long")), "layer")
-        more = not front.isEmpty()
-        seen = seen.unionByName(front)
-    return seen, rounds, more
+    done, size, last = 0, front.count(), 0
+    while size and done < depth:
+        hops = _hops(size, depth - done)
+        every, front = None, front.select(*names)
+        for i in range(1, hops + 1):
+            front = front.join(steps, "node").select(*keys, F.col("dst").alias("node")).distinct()
+            layer = front.withColumn("layer", F.lit(done + i).cast("long"))
+            every = layer if every is None else every.unionByName(layer)
+        new = written(every.groupBy(*names).agg(F.min("layer").alias("layer")).join(seen.select(*names), names, "left_anti"), "layer")
+        seen, done = seen.unionByName(new), done + hops
+        counts = new.agg(F.max("layer"), F.count_if(F.col("layer") == done)).first()
+        last, size = counts[0] or last, counts[1]
+    return seen, min(depth, last + 1) if seen.limit(1).count() else 0, bool(size) and last == depth
 
 
 def reached_at(spans: DataFrame, t: int) -> DataFrame:
@@ -110,7 +150,7 @@ def proof_paths(edges: DataFrame, sources: DataFrame, longest: int = DEPTH, targ
     Exact, and of equally short paths the one whose node list comes first. Rows are (node, interval) states with their
     best path; a state inside a known one of fewer hops can't lead to a shorter path and is dropped.
     """
-    steps = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("vf").alias("__vf"), F.col("vt").alias("__vt"))
+    steps = _steps(edges)
     front = sources.select("node", "vf", "vt", F.array("node").alias("path"), F.lit(0).cast("long").alias("hops")).where("vf < vt")
     known, found = front.select("node", "vf", "vt"), None
     for hop in range(1, longest + 1):

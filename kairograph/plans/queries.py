@@ -56,7 +56,8 @@ GRAPH = ["dep_edges", "sources"]
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return written(view(spark, sf_dir, "dep_edges"), "dep-edges"), written(view(spark, sf_dir, "sources"), "sources")
+    edges = written(view(spark, sf_dir, "dep_edges"), "dep-edges")
+    return edges, reach.always(edges.where("src < 20").select(F.col("src").alias("node")).distinct())
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:

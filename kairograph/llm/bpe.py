@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kairograph.llm.common import bounded_batches
+
 LEAF_BYTES = 2048
 
 # The byte-level pre-tokenizer's pattern.
@@ -119,6 +121,7 @@ def _packed(ids) -> bytes:
 
 def encode(docs: DataFrame, tokenizer: str | None = None, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """doc_id and ids, the token ids of each whole text as little-endian unsigned 32-bit integers."""
+    bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     quarter = max(1, leaf_bytes // 4)  # a character has at most four bytes

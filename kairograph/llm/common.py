@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 500 rows for this session: whole texts are long, and a batch is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import group_starts, materialize, mix64, row_slices, whole_groups, word_lists
+from kairograph.llm.common import bounded_batches, group_starts, materialize, mix64, row_slices, whole_groups, word_lists
 from kairograph.llm.components import connected_components
 
 WORDS = 3
@@ -204,6 +204,7 @@ def _sketch(spark, counted: DataFrame) -> np.ndarray:
 
 def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles (size of its set) and component_id."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     num, den = similarity
     id_type = docs.schema["doc_id"].dataType

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import crc_fold, row_slices, word_lists
+from kairograph.llm.common import bounded_batches, crc_fold, row_slices, word_lists
 
 FOLDS, HELD_OUT = 3, 1
 MAX_DOCS = 20_000
@@ -94,6 +94,7 @@ class Model:
 
 def _leaves(g: np.ndarray, h: np.ndarray, most: int, ridge: float) -> np.ndarray:
     """A shallow regression tree over ordered bins: Newton steps of up to `most` leaves, split greedily."""
+    bounded_batches(docs.sparkSession)
     cg, ch = np.concatenate([[0], np.cumsum(g)]), np.concatenate([[0], np.cumsum(h)])
     worth = lambda a, b: (cg[b] - cg[a]) ** 2 / (ch[b] - ch[a] + ridge)
     parts = [(0, len(g))]
@@ -154,6 +155,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Learn from a bounded sample of labels outside the held-out fold; only the sample's feature rows reach the driver."""
+    bounded_batches(docs.sparkSession)
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("label"))
     share = min(1.0, max_docs / max(1, usable.count()))
     # max_docs bounds the sample's rows, so its size is bounded too

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import crc_fold, materialize, row_slices, word_lists
+from kairograph.llm.common import bounded_batches, crc_fold, materialize, row_slices, word_lists
 
 FOLDS, HELD_OUT = 5, 0
 MAX_DOCS = 20_000
@@ -135,6 +135,7 @@ def _selected(train: DataFrame, max_features: int) -> list[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES, max_pairs: int = MAX_PAIRS, balance: float = 5.0, l2: float = 1e-4) -> Model:
     """Learn from labels outside the held-out fold. balance: weight of the squared score change under swaps."""
+    bounded_batches(docs.sparkSession)
     train = materialize(_labelled(docs, labels, max_docs), "toxic-train")
     kinds = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
@@ -207,6 +208,7 @@ def _optimised(rows, y, n, left, right, m, width: int, balance: float, l2: float
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row's whole text."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,7 +94,6 @@ class Model:
 
 def _leaves(g: np.ndarray, h: np.ndarray, most: int, ridge: float) -> np.ndarray:
     """A shallow regression tree over ordered bins: Newton steps of up to `most` leaves, split greedily."""
-    bounded_batches(docs.sparkSession)
     cg, ch = np.concatenate([[0], np.cumsum(g)]), np.concatenate([[0], np.cumsum(h)])
     worth = lambda a, b: (cg[b] - cg[a]) ** 2 / (ch[b] - ch[a] + ridge)
     parts = [(0, len(g))]

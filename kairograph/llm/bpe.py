@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bounded_batches
+from kairograph.llm.common import bounded_batches, row_slices, tidy
 
 LEAF_BYTES = 2048
 
@@ -119,8 +119,8 @@ def _packed(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
-    """doc_id and ids, the token ids of each whole text as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, tokenizer: str | None = None, leaf_bytes: int = LEAF_BYTES, decoded: bool = False) -> DataFrame:
+    """doc_id and ids, the token ids of each whole text as little-endian unsigned 32-bit integers; `decoded` adds text, decoded in the same pass."""
     bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -128,11 +128,18 @@ def encode(docs: DataFrame, tokenizer: str | None = None, leaf_bytes: int = LEAF
     unsplit = F.col("text").rlike(rf"(?:^|\s)\S{{{quarter}}}") | F.col("text").rlike(rf"(?:^|\S)\s{{{quarter}}}")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    texts = ["text"] if decoded else []
+    kept = "ids binary, text string" if decoded else "ids binary"
+
+    def finished(own: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
+        packed = pa.array([_packed(x) for x in ids], pa.binary())
+        return [packed, pa.array([own.decode(x) for x in ids], pa.string())] if decoded else [packed]
+
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            ids = pa.array([own.encode(t.as_py()).astype("<u4").tobytes() for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            for part in row_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *finished(own, [own.encode(t.as_py()) for t in part.column("text")])], ["doc_id", "ids", *texts])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -158,16 +165,16 @@ def encode(docs: DataFrame, tokenizer: str | None = None, leaf_bytes: int = LEAF
                 runs: dict[int, list[list[int]]] = {}
                 for part in sorted(parts, key=lambda p: p["at"]):
                     runs.setdefault(part["run"], []).append(np.frombuffer(part["ids"], "<u4").tolist())
-                out.append(_packed([i for run in sorted(runs) for i in own.tree(runs[run])]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copies"), pa.array(out, pa.binary())], ["doc_id", "copies", "ids"])
+                out.append(np.array([i for run in sorted(runs) for i in own.tree(runs[run])], "<u4"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copies"), *finished(own, out)], ["doc_id", "copies", "ids", *texts])
 
     long = rows.where(unsplit).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("text_key", F.sha2("text", 256))
-    cut = long.mapInArrow(leaves, f"text_key string, doc_id {id_type}, copies long, at int, run int, pieces array<binary>, mark int")
-    parts = cut.repartition("text_key", "at").mapInArrow(encoded, f"text_key string, doc_id {id_type}, copies long, at int, run int, ids binary")
+    cut = long.mapInArrow(tidy(leaves), f"text_key string, doc_id {id_type}, copies long, at int, run int, pieces array<binary>, mark int")
+    parts = cut.repartition("text_key", "at").mapInArrow(tidy(encoded), f"text_key string, doc_id {id_type}, copies long, at int, run int, ids binary")
     whole = parts.groupBy("text_key", "doc_id", "copies").agg(F.collect_list(F.struct("at", "run", "ids")).alias("parts"))
-    joined = whole.mapInArrow(concatenated, f"doc_id {id_type}, copies long, ids binary")
-    repeated = joined.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "ids")
-    return rows.where(~unsplit).mapInArrow(direct, f"doc_id {id_type}, ids binary").unionByName(repeated)
+    joined = whole.mapInArrow(tidy(concatenated), f"doc_id {id_type}, copies long, {kept}")
+    repeated = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "ids", *texts)
+    return rows.where(~unsplit).mapInArrow(tidy(direct), f"doc_id {id_type}, {kept}").unionByName(repeated)
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -181,12 +188,12 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
             text = pa.array([own.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), text], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(texts, f"doc_id {id_type}, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(texts), f"doc_id {id_type}, ids binary, text string")
 
 
 def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, and SHA-256 of the packed ids and of the decoded text."""
-    done = decode(encode(docs, tokenizer), tokenizer)
+    done = encode(docs, tokenizer, decoded=True)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

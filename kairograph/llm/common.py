@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,21 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`task`, after which its Python worker, which Spark keeps for later tasks, gives freed memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -77,12 +93,12 @@ def row_slices(batch: pa.RecordBatch, column: str, budget: int = 2 << 20):
         yield batch.slice(start)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of complete groups from a stream that is sorted by `keys`."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000, budget: int = 8 << 20) -> Iterator[pa.Table]:
+    """Tables of complete groups, of `least` rows or `budget` bytes where groups allow, from a stream that is sorted by `keys`."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < least:
+        if sum(b.num_rows for b in held) < least and sum(b.nbytes for b in held) < budget:
             continue
         table = pa.Table.from_batches(held)
         cut = table.num_rows

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bounded_batches, group_starts, materialize, mix64, row_slices, whole_groups, word_lists
+from kairograph.llm.common import bounded_batches, group_starts, materialize, mix64, row_slices, tidy, whole_groups, word_lists
 from kairograph.llm.components import connected_components
 
 WORDS = 3
@@ -101,9 +101,17 @@ def prefix_keys(tokens: np.ndarray, order: np.ndarray, frequent: int, similarity
     return np.concatenate([mix64(tokens[ranked[:few]]), mix64(mix64(own[:-1] ^ np.uint64(0x9E3779B97F4A7C15)) + own[1:])])
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=1)
+def _below(m: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.tril_indices(m, -1)
+
+
 def _triangle(m: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(m, 1)
+    """All pairs of m members; those of fewer members are the first ones of a block's."""
+    if m > BLOCK:
+        return np.tril_indices(m, -1)
+    i, j = _below(BLOCK)
+    return i[: m * (m - 1) // 2], j[: m * (m - 1) // 2]
 
 
 def _candidates(n: np.ndarray, side: np.ndarray, bits: np.ndarray, full: list[bytes], similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,8 +192,12 @@ def _linked(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], similarity: tu
     return found
 
 
-def _sketch(spark, counted: DataFrame) -> np.ndarray:
-    """Tokens per cell of the count sketch, summed over all tasks; of fixed size."""
+def _classes(counts: np.ndarray | float) -> np.ndarray:
+    return np.minimum(255, 8 * np.log2(1 + np.asarray(counts, float))).astype(np.uint8)
+
+
+def _sketch(counted: DataFrame) -> tuple[np.ndarray, float]:
+    """Frequency class of every cell of the count sketch, summed over all tasks, and the mean count of a cell."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -193,13 +205,14 @@ def _sketch(spark, counted: DataFrame) -> np.ndarray:
             for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 cells = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.uint64)
                 sums[chunk] = sums[chunk] + cells if chunk in sums else cells
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([_classes(x).tobytes() for x in sums.values()], pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], ["chunk", "classes", "tokens"])
 
-    cells = np.zeros(1 << SKETCH_BITS, np.uint64)
+    classes, tokens = np.zeros(1 << SKETCH_BITS, np.uint8), 0
     # a row for each of the sketch's chunks, whatever the input's size
-    for r in counted.repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk").mapInArrow(summed, "chunk int, packed binary").collect():
-        cells[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(r["packed"], np.uint64)
-    return cells
+    for r in counted.repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk").mapInArrow(tidy(summed), "chunk int, classes binary, tokens long").collect():
+        classes[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(r["classes"], np.uint8)
+        tokens += r["tokens"]
+    return classes, tokens / (1 << SKETCH_BITS)
 
 
 def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -229,10 +242,9 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
                 [pa.nulls(len(chunks)).cast(batch.schema.field("doc_id").type), pa.nulls(len(chunks), pa.int32()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.binary()), pa.array([k for k, _ in chunks], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks], pa.binary())], names
             )
 
-    seen = materialize(rows.mapInArrow(described, f"doc_id {id_type.simpleString()}, n int, node long, parity binary, chunk int, packed binary"), "sets")
-    cells = _sketch(spark, seen.where("chunk IS NOT NULL").select("chunk", "packed"))
-    load = float(cells.mean())
-    order = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(1 + cells.astype(float))).astype(np.uint8))  # 4 MB, always
+    seen = materialize(rows.mapInArrow(tidy(described), f"doc_id {id_type.simpleString()}, n int, node long, parity binary, chunk int, packed binary"), "sets")
+    classes_of_cells, load = _sketch(seen.where("chunk IS NOT NULL").select("chunk", "packed"))
+    order = spark.sparkContext.broadcast(classes_of_cells)  # 4 MB, always
     frequent = int(8 * np.log2(1 + 4 * load + 32))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +263,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
                 if sum(times):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times))], ["entry", "node", "n"])
 
-    entries = materialize(rows.mapInArrow(indexed, "entry long, node long, n int").groupBy("entry", "node").agg(F.first("n").alias("n")), "entries")
+    entries = materialize(rows.mapInArrow(tidy(indexed), "entry long, node long, n int").groupBy("entry", "node").agg(F.first("n").alias("n")), "entries")
     # entries that several nodes share, each set of members once; counts are combined before the shuffle
     shared = (
         entries.groupBy("entry")
@@ -289,14 +301,14 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
     # candidates that hang together, named by their members: the same ones from several entries are compared once
     live = materialize(
         members.join(bitmaps, "node").select("entry", "i", "j", "side", "node", "n", "parity").repartition("entry", "i", "j").sortWithinPartitions(*keys)
-        .mapInArrow(allowed, "node long, n int, parity binary, cluster long").dropDuplicates(["cluster", "node"]),
+        .mapInArrow(tidy(allowed), "node long, n int, parity binary, cluster long").dropDuplicates(["cluster", "node"]),
         "live",
     )
     # a bitmap of fixed size tells which sets may be wanted; the join decides
     slot = F.pmod("node", F.lit(1 << FILTER_BITS))
     wanted = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for r in live.select((slot / 32).cast("int").alias("word"), (slot % 32).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect():
-        wanted[r["word"]] = r["bits"]
+    words_of_filter = live.select((slot / 32).cast("int").alias("word"), (slot % 32).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    wanted[words_of_filter["word"].to_numpy()] = words_of_filter["bits"].to_numpy().astype(np.uint32)
     filters = spark.sparkContext.broadcast(wanted)  # 2 MB, always
 
     def verbatim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +340,8 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
             pairs = np.array(found, np.int64).reshape(len(found), 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["u", "v"])
 
-    sets = rows.mapInArrow(verbatim, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    links = live.join(sets, "node").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(verified, "u long, v long").distinct()
+    sets = rows.mapInArrow(tidy(verbatim), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    links = live.join(sets, "node").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(tidy(verified), "u long, v long").distinct()
     roots = connected_components(materialize(links, "links"))
 
     facts = seen.where("node IS NOT NULL").select("doc_id", "n", "node")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bounded_batches, crc_fold, materialize, row_slices, word_lists
+from kairograph.llm.common import bounded_batches, crc_fold, materialize, row_slices, tidy, word_lists
 
 FOLDS, HELD_OUT = 5, 0
 MAX_DOCS = 20_000
@@ -115,7 +115,7 @@ def _selected(train: DataFrame, max_features: int) -> list[str]:
                     held[1] += n - t
                 yield pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1] for x in sums.values()], pa.int64())], ["word", "toxic", "clean"])
 
-    words = train.mapInArrow(counted, "word string, toxic long, clean long").where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = train.mapInArrow(tidy(counted), "word string, toxic long, clean long").where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     starts = F.transform(F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length("word"))), lambda n: F.concat(F.lit("^"), F.substring(F.col("word"), F.lit(1), n)))
     features = F.when(F.length("word") >= SHORTEST, F.concat(F.array(F.concat(F.lit("="), "word")), starts)).otherwise(F.array(F.concat(F.lit("="), "word")))
     sizes = train.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).first()
@@ -168,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_featur
                             pairs[ids(words), ids([*words[:k], other, *words[k + 1 :]])] += 1
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.int32())), pa.array(list(pairs.values()), pa.int64())], ["a", "b", "n"])
 
-    rows = train.select("label", "text").mapInArrow(designed, "label int, ids array<int>").groupBy("label", "ids").agg(F.count("*").alias("n")).orderBy("label", "ids").collect()
-    pairs = train.select("text").mapInArrow(swapped, "a array<int>, b array<int>, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(max_pairs).collect()
+    rows = train.select("label", "text").mapInArrow(tidy(designed), "label int, ids array<int>").groupBy("label", "ids").agg(F.count("*").alias("n")).orderBy("label", "ids").collect()
+    pairs = train.select("text").mapInArrow(tidy(swapped), "a array<int>, b array<int>, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(max_pairs).collect()
     weights, bias = _optimised(
         [r["ids"] for r in rows], np.array([r["label"] for r in rows], float), np.array([r["n"] for r in rows], float),
         [r["a"] for r in pairs], [r["b"] for r in pairs], np.array([r["n"] for r in pairs], float), len(features), balance, l2,
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 z = np.bincount(rows, weights=model.weights[ids], minlength=part.num_rows) + model.bias if index else np.full(part.num_rows, model.bias)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) if np.isfinite(model.bias) else np.zeros(part.num_rows), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {id_type}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(scored), f"doc_id {id_type}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
@@ -244,4 +244,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
                 z = np.bincount(rows, weights=model.weights[ids], minlength=part.num_rows) + model.bias
                 yield part.filter(pa.array(z < 0))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import re
 
 import numpy as np
 
@@ -142,5 +143,24 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert corpus_pipeline.run(spark, source).count() == sum(times.values())
 
 
+def test_near_copies_of_the_stage_equal_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    sets = []
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else []))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(kept) == [r["doc_id"] for i, r in enumerate(rows) if root[i] == i]
+
+
 def test_every_operator_has_a_query():
     assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))

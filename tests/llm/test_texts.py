@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -108,6 +110,36 @@ def test_decompression_is_bounded():
     assert secrets.find_spans(bomb)
 
 
+def test_decoding_goes_on_to_the_fixpoint(monkeypatch):
+    secret, filler = b"password=abcdefgh", " ".join(f"word{i}" for i in range(60)).encode()
+    covered = lambda text, block: any(text[a:b] == block for _, a, b, d in secrets.find_spans(text) if d)
+    wrap = lambda raw, width, end="\n": end.join(re.findall(f".{{1,{width}}}", base64.b64encode(raw).decode()))
+    for width in (64, 76):
+        for end in ("\n", "\r\n", "\n  "):
+            for lead in range(width):  # across a line break, and in a last line of every length
+                block = wrap(filler[:lead] + b" " + secret, width, end)
+                text = f"see {block}\nand more"
+                assert any(a == 4 and b in (4 + len(block), 4 + len(block.rstrip("="))) or "\n" not in block for _, a, b, d in secrets.find_spans(text) if d), (width, end, lead)
+        block = wrap(gzip.compress(filler + b" " + secret), width)
+        assert covered(f"see {block}\n", block)
+    nested = secret
+    for _ in range(12):
+        nested = gzip.compress(nested)
+    several = {m.__name__: m.compress(filler) + m.compress(b" " + secret) for m in (gzip, bz2, lzma)}
+    wide = {order: (filler + b" " + secret).decode().encode(order) for order in ("utf-16", "utf-16-le", "utf-16-be")}
+    rough = {"latin": "é".encode("latin-1") * 5 + b" " + secret, "binary": bytes(range(1, 32)) * 4 + secret}
+    for name, raw in ({"nested": nested} | several | wide | rough).items():
+        block = base64.b64encode(raw).decode()
+        assert covered(f"see {block} end", block), name
+    monkeypatch.setattr(secrets, "MAX_LAYER_BYTES", 50_000)
+    monkeypatch.setattr(secrets, "WINDOW", 20_000)
+    monkeypatch.setattr(secrets, "OVERLAP", 2_000)
+    large = b"no secret here, " * 20_000
+    for raw in (gzip.compress(large + secret), gzip.compress(bz2.compress(large + base64.b64encode(secret + b" here"))), gzip.compress(b"x " + large) + gzip.compress(secret)):
+        block = base64.b64encode(raw).decode()
+        assert covered(f"see {block} end", block)
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     table = spark.createDataFrame([(1, f"a {PLAIN} {WRAPPED} z", "en", 0), (1, f"a {PLAIN} {WRAPPED} z", "en", 0), (2, None, "en", 0), (3, "clean", "en", 0)], "doc_id long, text string, spans string, n_chars long")
     rows = secrets.redact(table).orderBy("doc_id").collect()

@@ -19,7 +19,7 @@ def roster(reached: DataFrame, maintains: DataFrame) -> DataFrame:
     return reached.join(m, "package").select("handle", "package", F.greatest("vf", "m_vf").alias("vf"), F.least("vt", "m_vt").alias("vt"), F.col("m_vf").alias("valid_from")).where("vf < vt")
 
 
-def keyholders(held: DataFrame) -> DataFrame:
+def publishers(held: DataFrame) -> DataFrame:
     """Per account: packages held while reached, and since when (start of the earliest overlapping holding)."""
     return held.groupBy("handle").agg(F.count_distinct("package").alias("packages"), F.min("valid_from").alias("since"))
 
@@ -32,7 +32,7 @@ def holders_per_package(reached: DataFrame, held: DataFrame) -> DataFrame:
 
 def union_holders(union_packages: DataFrame, maintains: DataFrame) -> DataFrame:
     """One row: accounts that ever held a package of the union graph."""
-    return maintains.join(union_packages.select("package").distinct(), "package", "left_semi").agg(F.count_distinct("handle").alias("union_keyholders"))
+    return maintains.join(union_packages.select("package").distinct(), "package", "left_semi").agg(F.count_distinct("handle").alias("union_publishers"))
 
 
 def signals(held: DataFrame, holders: DataFrame, sampled: DataFrame) -> DataFrame:
@@ -102,6 +102,6 @@ def maintainer_rank(maintains: DataFrame, n: int) -> DataFrame:
     return maintains.groupBy("handle").agg(F.count("*").alias("spells"), F.count_distinct("package").alias("packages")).orderBy(F.desc("spells"), "handle").limit(n)
 
 
-def new_keyholders(head: DataFrame, base: DataFrame) -> DataFrame:
+def new_publishers(head: DataFrame, base: DataFrame) -> DataFrame:
     """Accounts of the head audit that the base audit doesn't have."""
     return head.select("handle").distinct().join(base.select("handle"), "handle", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kairograph.functions.intervals import OPEN
 from kairograph.functions.lineage import written
-from kairograph.operators import incident, keyholders, reach, temporal
+from kairograph.operators import incident, publishers, reach, temporal
 
 
 def known_pins(pins: DataFrame, versions: DataFrame) -> DataFrame:
@@ -21,15 +21,15 @@ def audit(edges: DataFrame, sources: DataFrame, maintains: DataFrame, sampled: D
     spans = written(reach.coexistence_reach(edges, sources, depth=depth, within=within), "spans")
     union, _, _ = reach.union_reach(edges, sources, depth=depth)
     packages = spans.withColumn("package", package_of(F.col("node"))).select("package", "vf", "vt")
-    held = written(keyholders.roster(packages, maintains), "held")
-    holders = keyholders.holders_per_package(packages, held)
-    seen = keyholders.signals(held, holders, sampled)
+    held = written(publishers.roster(packages, maintains), "held")
+    holders = publishers.holders_per_package(packages, held)
+    seen = publishers.signals(held, holders, sampled)
     count = packages.select("package").distinct().count()
     score_at = within[0] if within != (0, OPEN) and within[0] > 0 else now
-    risk = keyholders.ranked(keyholders.risk(seen, count, score_at).join(keyholders.keyholders(held), "handle"))
+    risk = publishers.ranked(publishers.risk(seen, count, score_at).join(publishers.publishers(held), "handle"))
     return {
         "spans": spans, "union": union, "phantoms": reach.phantoms(union, spans), "roster": held, "holders": holders, "risk": risk,
-        "union_keyholders": keyholders.union_holders(union.withColumn("package", package_of(F.col("node"))), maintains),
+        "union_publishers": publishers.union_holders(union.withColumn("package", package_of(F.col("node"))), maintains),
     }
 
 
@@ -58,4 +58,4 @@ def incident_report(package: str, releases: DataFrame, affects: DataFrame, decla
 
 def ci_check(head: dict[str, DataFrame], base: dict[str, DataFrame], reached_versions: DataFrame, affects: DataFrame) -> dict[str, DataFrame]:
     """What a change brings in: accounts that the base doesn't have, and advisories against what the head reaches."""
-    return {"new_keyholders": keyholders.new_keyholders(head["roster"], base["roster"]), "advisories": incident.advisories_reached(reached_versions, affects)}
+    return {"new_publishers": publishers.new_publishers(head["roster"], base["roster"]), "advisories": incident.advisories_reached(reached_versions, affects)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kairograph.functions import intervals, semver, text
 from kairograph.functions.intervals import OPEN
 from kairograph.functions.lineage import written
-from kairograph.operators import advisory, incident, keyholders, observatory, reach, temporal, typosquat
+from kairograph.operators import advisory, incident, publishers, observatory, reach, temporal, typosquat
 from kairograph.plans.views import view, with_views
 from kairograph.sources import feeds, lockfiles
 
@@ -66,7 +66,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     reached = _spans(spark, sf_dir).withColumnRenamed("node", "package")
-    return reached, written(keyholders.roster(reached, view(spark, sf_dir, "holds")), "held")
+    return reached, written(publishers.roster(reached, view(spark, sf_dir, "holds")), "held")
 
 
 @query(with_views(GRAPH, REACHED + "SELECT node, vf, vt FROM spans", True))
@@ -144,32 +144,32 @@ def orphaned_parts(spark, sf_dir):
 
 @query(with_views(["holds"], "SELECT handle, count(*) AS spells, count(DISTINCT package) AS packages FROM holds GROUP BY handle ORDER BY spells DESC, handle LIMIT 20"))
 def maintainer_rank(spark, sf_dir):
-    return keyholders.maintainer_rank(view(spark, sf_dir, "holds"), 20)
+    return publishers.maintainer_rank(view(spark, sf_dir, "holds"), 20)
 
 
 @query(with_views([*GRAPH, "holds"], HELD + "SELECT handle, count(DISTINCT package) AS packages, min(valid_from) AS since FROM held GROUP BY handle", True))
-def keyholder_roster(spark, sf_dir):
-    return keyholders.keyholders(_held(spark, sf_dir)[1])
+def publisher_roster(spark, sf_dir):
+    return publishers.publishers(_held(spark, sf_dir)[1])
 
 
 @query(with_views([*GRAPH, "holds"], HELD + "SELECT node AS package, count(DISTINCT handle) AS holders FROM (SELECT DISTINCT node FROM spans) LEFT JOIN held ON package = node GROUP BY node", True))
 def holders_per_package(spark, sf_dir):
-    return keyholders.holders_per_package(*_held(spark, sf_dir))
+    return publishers.holders_per_package(*_held(spark, sf_dir))
 
 
-@query(with_views([*GRAPH, "holds"], REACHED + "SELECT count(DISTINCT handle) AS union_keyholders FROM holds WHERE package IN (SELECT node FROM union_nodes)", True))
-def union_keyholders(spark, sf_dir):
+@query(with_views([*GRAPH, "holds"], REACHED + "SELECT count(DISTINCT handle) AS union_publishers FROM holds WHERE package IN (SELECT node FROM union_nodes)", True))
+def union_publishers(spark, sf_dir):
     union = reach.union_reach(*_graph(spark, sf_dir))[0]
-    return keyholders.union_holders(union.withColumnRenamed("node", "package"), view(spark, sf_dir, "holds"))
+    return publishers.union_holders(union.withColumnRenamed("node", "package"), view(spark, sf_dir, "holds"))
 
 
 def _signals(spark, sf_dir):
     reached, held = _held(spark, sf_dir)
-    return reached, keyholders.signals(held, keyholders.holders_per_package(reached, held), view(spark, sf_dir, "sampled"))
+    return reached, publishers.signals(held, publishers.holders_per_package(reached, held), view(spark, sf_dir, "sampled"))
 
 
 @query(with_views([*GRAPH, "holds", "sampled"], SIGNALS + "SELECT * FROM signals", True))
-def keyholder_signals(spark, sf_dir):
+def publisher_signals(spark, sf_dir):
     return _signals(spark, sf_dir)[1]
 
 
@@ -180,7 +180,7 @@ SELECT handle, round((0.4 * r + coalesce(0.15 * st, 0) + 0.2 * so + coalesce(0.1
 def risk_scores(spark, sf_dir):
     reached, seen = _signals(spark, sf_dir)
     count = reached.select("package").distinct().count()
-    return keyholders.risk(seen, count, NOW).select("handle", F.round("risk", 6).alias("risk"))
+    return publishers.risk(seen, count, NOW).select("handle", F.round("risk", 6).alias("risk"))
 
 
 @query(with_views([*GRAPH, "holds"], HELD + """, own AS (SELECT DISTINCT handle, package FROM held),
@@ -194,8 +194,8 @@ FROM (SELECT handle, count(*) AS controls FROM own GROUP BY handle) c LEFT JOIN
 def cuts(spark, sf_dir):
     edges, sources = _graph(spark, sf_dir)
     reached = written(reach.coexistence_reach(edges, sources), "spans")
-    held = keyholders.roster(reached.withColumnRenamed("node", "package"), view(spark, sf_dir, "holds"))
-    return keyholders.cuts(edges, sources, reached, held)
+    held = publishers.roster(reached.withColumnRenamed("node", "package"), view(spark, sf_dir, "holds"))
+    return publishers.cuts(edges, sources, reached, held)
 
 
 @query(with_views(GRAPH, f""",
@@ -318,9 +318,9 @@ def exposure_timeline(spark, sf_dir):
 
 
 @query(with_views([*GRAPH, "holds"], HELD + f"SELECT DISTINCT handle FROM held WHERE vt > {INSTANT} AND handle NOT IN (SELECT handle FROM held WHERE vf < {INSTANT})", True))
-def new_keyholders(spark, sf_dir):
+def new_publishers(spark, sf_dir):
     held = _held(spark, sf_dir)[1]
-    return keyholders.new_keyholders(held.where(F.col("vt") > INSTANT), held.where(F.col("vf") < INSTANT))
+    return publishers.new_publishers(held.where(F.col("vt") > INSTANT), held.where(F.col("vf") < INSTANT))
 
 
 CLOSURE = """, c(epoch, node, member) AS (SELECT epoch, dst, src FROM epoch_edges UNION SELECT c.epoch, c.node, e.src FROM c JOIN epoch_edges e ON e.epoch = c.epoch AND e.dst = c.member),

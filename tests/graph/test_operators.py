@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kairograph.functions import intervals, semver, text
 from kairograph.functions.intervals import OPEN
-from kairograph.operators import advisory, incident, keyholders, observatory, reach, temporal, typosquat
+from kairograph.operators import advisory, incident, publishers, observatory, reach, temporal, typosquat
 from kairograph.plans import audit
 from kairograph.sources import feeds, lockfiles, sinks
 
@@ -58,7 +58,7 @@ def test_reach_at_an_instant(spark, t, want):
 def test_cuts_of_a_diamond(spark):
     edges = graph(spark, *((a, b, 0, OPEN) for a, b in (("app", "A"), ("app", "B"), ("A", "C"), ("B", "C"), ("A", "D"))))
     held = spark.createDataFrame([("alice", "A"), ("bob", "B"), ("dave", "A"), ("dave", "B"), ("root", "app")], "handle string, package string")
-    rows = keyholders.cuts(edges, app(spark), reach.coexistence_reach(edges, app(spark)), held).collect()
+    rows = publishers.cuts(edges, app(spark), reach.coexistence_reach(edges, app(spark)), held).collect()
     assert {r["handle"]: (r["lost"], r["beyond"]) for r in rows} == {"alice": (2, 1), "bob": (1, 0), "dave": (4, 2), "root": (5, 4)}
 
 
@@ -80,8 +80,8 @@ def test_signals_keep_unknown_apart_from_false(spark):
     reached = spark.createDataFrame([("A", 0, 10), ("B", 0, 10), ("C", 0, 10)], "package string, vf long, vt long")
     maintains = spark.createDataFrame([("alice", "A", 0, 10), ("alice", "B", 0, 10), ("alice", "C", 0, 10), ("bob", "B", 5, 20), ("old", "B", 50, 60)], "handle string, package string, vf long, vt long")
     sampled = spark.createDataFrame([("A", 100, "alice", False, True), ("A", 200, "bob", True, False), ("A", 300, None, None, True)], "package string, published_at long, published_by string, has_provenance boolean, has_install_script boolean")
-    held = keyholders.roster(reached, maintains)
-    seen = {r["handle"]: r for r in keyholders.signals(held, keyholders.holders_per_package(reached, held), sampled).collect()}
+    held = publishers.roster(reached, maintains)
+    seen = {r["handle"]: r for r in publishers.signals(held, publishers.holders_per_package(reached, held), sampled).collect()}
     a = seen["alice"]
     assert set(seen) == {"alice", "bob"} and (a["solo_count"], a["solo_of"], a["unproven_count"], a["looked_of"], a["install_count"], a["last_publish"], a["last_release"]) == (2, 3, 1, 2, 1, 100, 300)
     assert (seen["bob"]["looked_of"], seen["bob"]["last_release"]) == (0, 0)
@@ -98,7 +98,7 @@ def test_signals_keep_unknown_apart_from_false(spark):
 def test_risk_scales_known_terms(spark, known, want):
     columns = ["solo_count", "solo_of", "unproven_count", "looked_of", "install_count", "last_publish"]
     row = spark.createDataFrame([("h", *(known.get(c, 0) for c in columns))], ["handle", *columns])
-    assert keyholders.risk(row, 4, 1000 + keyholders.YEAR).first()["risk"] == pytest.approx(want)
+    assert publishers.risk(row, 4, 1000 + publishers.YEAR).first()["risk"] == pytest.approx(want)
 
 
 def test_versions_that_do_not_parse(spark):
@@ -179,7 +179,7 @@ def test_audit_report(spark):
     maintains = spark.createDataFrame([("alice", "A", 0, OPEN), ("bob", "B", 5, OPEN)], "handle string, package string, vf long, vt long")
     sampled = spark.createDataFrame([], "package string, published_at long, published_by string, has_provenance boolean, has_install_script boolean")
     report = audit.audit(edges, app(spark), maintains, sampled, lambda n: n, now=100)
-    assert [r["handle"] for r in report["risk"].collect()] == ["alice", "bob"] and report["union_keyholders"].first()[0] == 2
+    assert [r["handle"] for r in report["risk"].collect()] == ["alice", "bob"] and report["union_publishers"].first()[0] == 2
     dependents = audit.who(edges, spark.createDataFrame([("B", 5, 9)], "package string, vf long, vt long"), spark.createDataFrame([("B", "B", 7)], "node string, package string, published_at long"))
     assert spans(dependents) == [("A", 7, 9)]
 

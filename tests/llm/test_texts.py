@@ -58,12 +58,40 @@ def test_encoding_keeps_repeated_rows_and_empty_tables(spark):
 @pytest.mark.parametrize("leaf", [1, 2, 5, 16])
 def test_tree_concatenation_is_exact(library, leaf):
     own, rng = bpe.codec(bpe.default_tokenizer()), random.Random(leaf)
-    for _ in range(300):
-        text = "".join(rng.choice("aaabbbthe ing'0é") for _ in range(rng.randint(1, 60)))
-        runs: dict = {}
-        for run, pieces, mark in own.cut(text, leaf):
-            runs.setdefault(run, []).append([mark] if mark is not None else [i for p in pieces for i in own.encode_piece(p)])
-        assert [i for r in sorted(runs) for i in own.tree(runs[r])] == library.encode(text, add_special_tokens=False).ids
+    for k in range(400):
+        letters = ("aaabbbthe ing'0é", "abc '''rrellvs s\n\t ", "漢字かな12ab ','　\xa0 ​ ", "xX9!?-_ \r\n")[k % 4]
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 80)))
+        text += "<|endoftext|>" + text[::-1] if k % 7 == 0 else ""
+        assert own.encode_whole(text, leaf).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_long_runs_are_joined_by_tokens(library):
+    own = bpe.codec(bpe.default_tokenizer())
+    for text in ("x" * 20_000, "ab" * 9000, " " * 9000 + "!" * 9000, "aB9/+" * 4000, "漢字" * 5000):
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_text_goes_through_leaves_and_joins(spark, library, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    own, joins = bpe.codec(bpe.default_tokenizer()), []
+    whole = own.joined
+    monkeypatch.setattr(own, "joined", lambda a, b: joins.append(1) or whole(a, b))
+    for r in rows:
+        before = len(joins)
+        assert own.encode_whole(r["text"] or "", bpe.LEAF_CHARS).tolist() == library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert len(joins) > before or len(r["text"] or "") <= bpe.LEAF_CHARS
+    assert len(joins) > len(rows)
+
+
+def test_subtrees_of_long_texts_meet_again(spark, library):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("the in'g 0é\n") for _ in range(n)) for n in (100, 64, 65, 700)] + ["<|endoftext|>" * 9 + "q" * 300, "z" * 500, None]
+    table = docs(spark, texts)
+    rows = bpe.encode(table.union(table), leaf_chars=8, spread_chars=64, decoded=True).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["text"] == library.decode(ids, skip_special_tokens=False)
 
 
 def brute_base(text):

@@ -23,9 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_BYTES = 4 << 20
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 500 rows for this session: whole texts are long, and a batch is held several times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    """Arrow batches of about BATCH_BYTES for this session, whatever their rows hold: whole texts are long, and a batch is held
+    several times over. A smaller bound that the session has already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).rstrip("bB")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

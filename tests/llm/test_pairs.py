@@ -178,9 +178,39 @@ def test_tree_search_equals_brute_force(spark, monkeypatch, page, queries, scale
     assert sorted(map(tuple, got.collect())) == brute_top(np.arange(len(x)), whole, range(0, len(x), 20), 20)
 
 
+def test_tree_search_passes_over_most_distances_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "PAGE", 400)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(0, 60, 3000)] + 0.05 * rng.normal(size=(3000, 16))).astype(np.float32)
+    rows = mtree.search(table(spark, x), F.col("vec_id") % 20 == 0, counted=True).collect()
+    whole = np.floor(64 * x.astype(float)).astype(np.int64)
+    assert sorted(tuple(r)[:4] for r in rows) == brute_top(np.arange(len(x)), whole, range(0, len(x), 20), 20)
+    taken = {r["query_id"]: r["computed"] for r in rows}
+    assert len(taken) == 150 and sum(taken.values()) < 0.5 * len(taken) * len(x)
+
+
+def test_split_keeps_the_bounds_of_a_metric_tree():
+    x = np.concatenate([np.floor(64 * vectors(5, 700)).astype(np.int64), np.zeros((90, 16), np.int64)])
+    largest = int((x**2).sum(1).max())
+    t = mtree.split(x, largest, 10)
+    far = mtree.apart(x, x, largest)
+    assert sorted(t.order) == list(range(len(x))) and (t.stop - t.start).max() <= 10
+    below = {}
+    for node in reversed(range(len(t.pivot))):
+        kids = range(t.first[node], t.last[node])
+        below[node] = [r for c in kids for r in below[c]] or t.order[t.start[node] : t.stop[node]].tolist()
+        assert len(kids) <= mtree.FAN_OUT and far[t.pivot[node], below[node]].max() <= t.radius[node] + 1e-6
+        assert all(abs(far[t.pivot[node], t.pivot[c]] - t.parent_distance[c]) < 1e-6 for c in kids)
+
+
 def test_tree_search_takes_odd_tables(spark):
     few = table(spark, vectors(4, 5), [*ODD, (None, [1.0] * 16), (3, [0.5] * 16)])
-    rows = mtree.search(few.union(few), F.col("vec_id") >= 0, k=20).collect()
-    assert len(rows) == 6 * 5 + 2  # the zero vector takes part
-    assert {(r["query_id"], r["vec_id"]) for r in rows if r["query_id"] > 9003} == {(9007, 9008), (9008, 9007)}
+    rows = sorted(map(tuple, mtree.search(few.union(few), F.col("vec_id") >= 0, k=20).collect()))
+    held = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in [*enumerate(vectors(4, 5).astype(float)), *ODD, (3, [0.5] * 16)] if v is not None and len(v) and None not in list(v) and np.isfinite(list(v)).all()] * 2
+    want = []
+    for a, (q, v) in enumerate(held):  # every row but the query's own, also rows of its id
+        others = sorted((-int(v @ w), i) for b, (i, w) in enumerate(held) if b != a and len(w) == len(v))
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(others[:20])]
+    assert rows == sorted(want)
     assert mtree.search(few.where("false"), F.col("vec_id") >= 0).count() == 0

@@ -7,8 +7,11 @@ for sample vectors and random partners at exactly the threshold the traversal's
 home cell is measured, and the target's quantile is taken. Of two partners the one with the smaller home
 cell does the visiting. In each cell visitors meet residents in blocks, and the cosine decides.
 
-Codebooks are fitted on a bounded sample (`sample`); every vector is indexed. Equal vectors are one node
-with a multiplicity, so copies are never compared. Tasks send counts and at most one edge a vector.
+A codebook has LEAST_WORDS words or one for each CELL_VECTORS vectors a cell, whichever is more, at every size, so
+cells don't grow with the table. Codebooks are fitted on a sample of `sample` vectors, or 16 a word if that is more (it
+grows with the root of the table); every vector is indexed. Vectors of different lengths have grids of their own. Equal
+vectors are one node with a multiplicity, so copies are never compared. Tasks send counts and at most one edge a
+vector; cells that are large are told by a join, so nothing about cells passes the driver.
 
 Defined cases: null, empty and zero vectors, and those with null or non-finite components, link with
 nothing (n_links 0, own component, kept); vectors of different lengths don't link; repeated rows count
@@ -25,24 +28,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from kairograph.llm.common import group_starts, materialize, valid_vectors, whole_groups
+from kairograph.llm.common import bounded_batches, group_starts, materialize, valid_vectors, whole_groups
 from kairograph.llm.components import connected_components
 
 COSINE = 0.9
 RECALL = 0.995
 SAMPLE = 4096
+LEAST_WORDS, CELL_VECTORS = 12, 400
 RESIDENTS, VISITORS = 2048, 8192
-MOST_WORDS = 256
+#: Cell ids hold the vectors' length above this many bits.
+LENGTH_BITS = 40
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        own = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
-        for c in range(k):
-            if (own == c).any():
-                centres[c] = x[own == c].mean(0)
+        own = np.concatenate([((centres**2).sum(1) - 2 * part @ centres.T).argmin(1) for part in np.array_split(x, -(-len(x) // 4096))])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        count = np.bincount(own, minlength=k)
+        centres[count > 0] = sums[count > 0] / count[count > 0, None]
     return centres
 
 
@@ -51,21 +58,20 @@ class Grid:
 
     def __init__(self, sample: np.ndarray, words: int, cosine: float, recall: float):
         self.half = max(1, sample.shape[1] // 2)
-        left, right = sample[:, : self.half], sample[:, self.half :]
-        words = min(words, len(sample))
-        self.books = kmeans(left, words), kmeans(right, words)
-        self.words, self.visits = words, words * words
-        if words > 1:
-            rng = np.random.default_rng(0)
-            u = sample[rng.permutation(len(sample))[:1024]]
-            g = rng.normal(size=u.shape)
-            g -= (g * u).sum(1, keepdims=True) * u
-            g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)
-            target = self.home(cosine * u + np.sqrt(1 - cosine**2) * g)
-            a, b = self.distances(u)
-            sums = (a[:, :, None] + b[:, None, :]).reshape(len(u), -1)
-            rank = (sums < sums[np.arange(len(u)), target][:, None]).sum(1)
-            self.visits = min(self.visits, int(np.quantile(rank, recall)) + 1)
+        self.words = min(words, len(sample))
+        self.books = kmeans(sample[:, : self.half], self.words), kmeans(sample[:, self.half :], self.words)
+        rng = np.random.default_rng(0)
+        u = sample[rng.permutation(len(sample))[:1024]]
+        g = rng.normal(size=u.shape)
+        g -= (g * u).sum(1, keepdims=True) * u
+        g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)
+        target = np.divmod(self.home(cosine * u + np.sqrt(1 - cosine**2) * g), self.words)
+        a, b = self.distances(u)
+        own = np.arange(len(u))
+        sums = a[own, target[0]] + b[own, target[1]]
+        a, b = np.sort(a, axis=1), np.sort(b, axis=1)
+        rank = [int(np.searchsorted(b[i], sums[i] - a[i], "left").sum()) for i in own]
+        self.visits = min(self.words**2, int(np.quantile(rank, recall)) + 1)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = x[:, : self.half], x[:, self.half :]
@@ -79,14 +85,26 @@ class Grid:
         """The first `visits` cells of each vector's traversal (rank r of one half and s of the other come within r * s cells)."""
         a, b = self.distances(x)
         first, second = a.argsort(1), b.argsort(1)
-        r, s = np.divmod(np.arange(self.words**2), self.words)
-        within = (r + 1) * (s + 1) <= self.visits
-        r, s = r[within], s[within]
+        wide = [min(self.words, self.visits // (r + 1)) for r in range(min(self.words, self.visits))]
+        r, s = np.repeat(np.arange(len(wide)), wide), np.concatenate([np.arange(w) for w in wide])
         sums = np.take_along_axis(a, first, 1)[:, r] + np.take_along_axis(b, second, 1)[:, s]
         best = np.argsort(sums, axis=1, kind="stable")[:, : self.visits]
         return np.take_along_axis(first[:, r], best, 1) * self.words + np.take_along_axis(second[:, s], best, 1)
 
 
+def fitted(rows: list[np.ndarray], size: int, cosine: float, recall: float) -> dict[int, Grid]:
+    """A grid for each length of a sample's vectors, out of `size` vectors in all."""
+    grids = {}
+    for n in {len(x) for x in rows} - {1}:
+        own = np.array([x for x in rows if len(x) == n])
+        grids[n] = Grid(own / np.linalg.norm(own, axis=1, keepdims=True), words_for(size * len(own) // len(rows)), cosine, recall)
+    return grids
+
+
+def words_for(size: int) -> int:
+    return max(LEAST_WORDS, int(np.ceil(np.sqrt(size / CELL_VECTORS))))
+
+
 def _roots(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Component labels of the rows and columns of a bipartite adjacency matrix (labels count rows first)."""
     rows, columns = np.arange(mask.shape[0]), np.arange(mask.shape[1]) + mask.shape[0]
@@ -102,68 +120,70 @@ def _roots(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     id_type = vectors.schema["vec_id"].dataType.simpleString()
+    kind = vectors.schema["embedding"].dataType
+    form = "<f4" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "<f8"  # nothing is rounded
+    size_of = np.dtype(form).itemsize
+
+    def unpacked(raw: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(raw), form).astype(float).reshape(len(raw), -1)
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, at, good = valid_vectors(batch.column("embedding"))
-            raw = [flat[a:b].tobytes() if g and flat[a:b].any() else None for a, b, g in zip(at[:-1], at[1:], good, strict=True)]
+            raw = [flat[a:b].astype(form).tobytes() if g and flat[a:b].any() else None for a, b, g in zip(at[:-1], at[1:], good, strict=True)]
             nodes = [None if r is None else int.from_bytes(blake2b(r, digest_size=8).digest(), "little", signed=True) for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "node", "raw"])
 
     rows = materialize(vectors.select("vec_id", "embedding").mapInArrow(prepared, f"vec_id {id_type}, node long, raw binary"), "vectors")
     nodes = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "nodes")
     size = nodes.count()
-    # a bounded sample in the order of the digests
-    chosen = [np.frombuffer(r["raw"]) for r in nodes.orderBy("node").limit(sample).select("raw").collect()]
-    length = max((len(x) for x in chosen), key=[len(x) for x in chosen].count, default=0)
-    fitted = np.array([x for x in chosen if len(x) == length]).reshape(-1, max(1, length))
-    fitted = fitted / np.linalg.norm(fitted, axis=1, keepdims=True)
-    grid = Grid(fitted, int(np.clip(np.sqrt(size / 400), 1, MOST_WORDS)), cosine, recall) if length > 1 and len(fitted) else None
-
-    def located(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Home cell (negative for vectors of other lengths, by length) and cells to visit, own cell included."""
+    # a sample in the order of the digests
+    chosen = [np.frombuffer(r["raw"], form).astype(float) for r in nodes.orderBy("node").limit(max(sample, 16 * words_for(size))).select("raw").collect()]
+    grids = spark.sparkContext.broadcast(fitted(chosen, size, cosine, recall))
+
+    def located(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of one length, their home cells, and whom they visit: a row of cells each, home included, -1 for none."""
         raw = batch.column("raw").to_pylist()
-        lengths = np.array([len(r) // 8 for r in raw])
-        home, cells = -lengths, [np.array([-n]) for n in lengths]
-        if grid is not None and (own := np.flatnonzero(lengths == length)).size:
-            x = np.array([np.frombuffer(raw[i]) for i in own])
+        lengths = np.array([len(r) // size_of for r in raw], np.int64)
+        for n in np.unique(lengths).tolist():
+            own, base = np.flatnonzero(lengths == n), n << LENGTH_BITS
+            if (grid := grids.value.get(n)) is None:  # a length that the sample doesn't have
+                yield own, np.full(len(own), base), np.full((len(own), 1), base)
+                continue
+            x = unpacked([raw[i] for i in own])
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            home[own] = grid.home(x)
-            for i, near in zip(own, grid.nearest(x), strict=True):
-                cells[i] = np.unique(np.append(near[near > home[i]], home[i]))
-        return home, cells
+            home, near = grid.home(x), grid.nearest(x)
+            cells = np.where(near > home[:, None], near + base, -1)
+            yield own, home + base, np.concatenate([home[:, None] + base, cells], 1)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            home, cells = located(batch)
-            seen, times = np.unique(np.concatenate(cells), return_counts=True) if cells else (np.zeros(0, int), np.zeros(0, int))
-            own = dict(zip(*np.unique(home, return_counts=True), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array([int(own.get(c, 0)) for c in seen], pa.int64()), pa.array(times, pa.int64())], ["cell", "residents", "visitors"])
+            for _, home, cells in located(batch):
+                seen, times = np.unique(cells[cells >= 0], return_counts=True)
+                own = np.bincount(np.searchsorted(seen, home), minlength=len(seen))
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(own.astype(np.int64)), pa.array(times.astype(np.int64))], ["cell", "residents", "visitors"])
 
-    # a row for each cell of the grid (MOST_WORDS squared at most)
-    totals = nodes.select("node", "raw").mapInArrow(counted, "cell long, residents long, visitors long").groupBy("cell").agg(F.sum("residents").alias("r"), F.sum("visitors").alias("v")).collect()
-    parts = {t["cell"]: (max(1, -(-t["r"] // RESIDENTS)), max(1, -(-t["v"] // VISITORS))) for t in totals}
+    totals = nodes.select("raw").mapInArrow(counted, "cell long, residents long, visitors long").groupBy("cell").agg(F.sum("residents").alias("r"), F.sum("visitors").alias("v"))
+    large = totals.select("cell", F.ceil(F.col("r") / RESIDENTS).cast("int").alias("blocks"), F.ceil(F.col("v") / VISITORS).cast("int").alias("turns")).where("blocks > 1 OR turns > 1")
+    large = materialize(large, "large")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            home, cells = located(batch)
-            node = batch.column("node").to_numpy()
-            at, cell, r, v, resident = [], [], [], [], []
-            for i, own in enumerate(cells):
-                for c in own.tolist():
-                    blocks, turns = parts[c]
-                    turn, block = int(node[i] % turns), int((node[i] >> 20) % blocks)
-                    for b in range(blocks):
-                        at, cell, r, v, resident = at + [i], cell + [c], r + [b], v + [turn], resident + [False]
-                    if c == home[i]:
-                        for t in range(turns):
-                            at, cell, r, v, resident = at + [i], cell + [c], r + [block], v + [t], resident + [True]
-                    if len(at) > 4000:
-                        yield _dealt(batch, home, at, cell, r, v, resident)
-                        at, cell, r, v, resident = [], [], [], [], []
-            if at:
-                yield _dealt(batch, home, at, cell, r, v, resident)
+            for own, home, cells in located(batch):
+                for start in range(0, len(own), 256):
+                    part = cells[start : start + 256]
+                    i, j = np.nonzero(part >= 0)
+                    is_home = j == 0
+                    at = np.concatenate([i, i[is_home]])  # the residents once more, as such
+                    resident = np.repeat([False, True], [len(i), int(is_home.sum())])
+                    cell = np.concatenate([part[i, j], part[i[is_home], 0]])
+                    held = batch.take(pa.array(own[start + at]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell), pa.array(resident), pa.array(home[start + at]), held.column("node"), held.column("copies"), held.column("raw")],
+                        ["cell", "resident", "home", "node", "copies", "raw"],
+                    )
 
     keys = ["cell", "block", "turn"]
 
@@ -171,11 +191,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
         for table in whole_groups(batches, keys, 1):
             starts = group_starts(table, keys)
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                yield from _met(table.slice(a, b - a), cosine)
-
+                group = table.slice(a, b - a)
+                yield from _met(group, unpacked(group.column("raw").to_pylist()), cosine)
+
+    # visitors meet every block of residents in their turn, residents every turn of visitors in their block
+    calls = nodes.select("node", "copies", "raw").mapInArrow(dealt, "cell long, resident boolean, home long, node long, copies long, raw binary").join(large, "cell", "left")
+    blocks, turns = F.coalesce("blocks", F.lit(1)), F.coalesce("turns", F.lit(1))
+    places = F.when(F.col("resident"), F.sequence(F.lit(0), turns - 1)).otherwise(F.sequence(F.lit(0), blocks - 1))
+    own = F.when(F.col("resident"), F.pmod(F.xxhash64("node"), blocks)).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), turns)).cast("int")
+    placed = calls.withColumns({"own": own, "place": F.explode(places)})
+    placed = placed.withColumns({"block": F.when(F.col("resident"), F.col("own")).otherwise(F.col("place")), "turn": F.when(F.col("resident"), F.col("place")).otherwise(F.col("own"))})
     meetings = (
-        nodes.select("node", "copies", "raw")
-        .mapInArrow(dealt, "cell long, block int, turn int, resident boolean, home long, node long, copies long, raw binary")
+        placed.select(*keys, "resident", "home", "node", "copies", "raw")
         .repartition(*keys)
         .sortWithinPartitions(*keys)
         .mapInArrow(met, "node long, links long, root long")
@@ -194,17 +221,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     )
 
 
-def _dealt(batch: pa.RecordBatch, home: np.ndarray, at: list, cell: list, block: list, turn: list, resident: list) -> pa.RecordBatch:
-    own = batch.take(pa.array(at))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cell, pa.int64()), pa.array(block, pa.int32()), pa.array(turn, pa.int32()), pa.array(resident), pa.array(home[at], pa.int64()), own.column("node"), own.column("copies"), own.column("raw")],
-        ["cell", "block", "turn", "resident", "home", "node", "copies", "raw"],
-    )
-
-
-def _met(group: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
+def _met(group: pa.Table, x: np.ndarray, cosine: float) -> Iterator[pa.RecordBatch]:
     """Links between the residents and the visitors of one block: counts and a forest."""
-    x = np.frombuffer(b"".join(group.column("raw").to_pylist())).reshape(group.num_rows, -1)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     resident = group.column("resident").to_numpy(zero_copy_only=False)
     node, home, copies = group.column("node").to_numpy(), group.column("home").to_numpy(), group.column("copies").to_numpy()

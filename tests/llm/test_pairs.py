@@ -6,6 +6,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,18 +149,38 @@ def test_multi_index_copies_and_empty_tables(spark):
     assert multi_index.near_duplicates(table(spark, x).where("false")).count() == 0
 
 
+def unit(y):
+    return y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
 def test_multi_index_recall_on_the_table(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = v.toPandas()
-    y = np.stack(rows["embedding"]).astype(float)
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = unit(np.stack(v.toPandas()["embedding"]).astype(float))
     y[1::2] = (y[::2] * 0.92 + y[1::2] * np.sqrt(1 - 0.92**2))[: len(y[1::2])]  # partners near the threshold
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = unit(y)
     near = y @ y.T >= 0.9
+    grid = multi_index.fitted(list(y), len(y), 0.9, multi_index.RECALL)[64]
+    assert grid.words**2 >= 100 and grid.visits < grid.words**2 / 4
     got = multi_index.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>"))
     assert got.agg(F.sum("n_links")).first()[0] >= 0.9 * (near.sum() - len(y))
 
 
+def test_multi_index_recall_at_a_larger_size(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    y = unit(rng.normal(size=(50_000, 64)))
+    g = rng.normal(size=(500, 64))
+    g = unit(g - (g * y[:500]).sum(1, keepdims=True) * y[:500])
+    cos = rng.uniform(0.905, 0.95, 500)[:, None]
+    y[500:1000] = cos * y[:500] + np.sqrt(1 - cos**2) * g  # 500 planted pairs; no other pair is near
+    grid = multi_index.fitted(list(y[rng.permutation(len(y))[:4096]]), len(y), 0.9, multi_index.RECALL)[64]
+    assert grid.visits < grid.words**2 / 4
+    pq.write_table(pa.table({"vec_id": np.arange(len(y)), "embedding": pa.FixedSizeListArray.from_arrays(y.astype(np.float32).ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    table_ = spark.read.parquet(f"file://{tmp_path}/v.parquet")
+    linked = {r["vec_id"]: r["component_id"] for r in multi_index.near_duplicates(table_).where("n_links > 0").collect()}
+    assert set(linked) <= set(range(1000)) and all(c == i % 500 for i, c in linked.items())
+    assert len(linked) >= 0.9 * 1000
+
+
 def brute_top(ids, x, chosen, k):
     out = []
     for q in chosen:

@@ -1,17 +1,24 @@
 """Main text of HTML pages, with a suffix array over each host's pages.
 
-A page becomes blocks in page order. Markup that says what a block is decides first: the article (or
-main) element holds the text; menus, headers, footers, sidebars, notices, adverts, forms, comments and
-the like never do. On pages without such an element the blocks outside known boilerplate are open, and
-the host's suffix array decides: the open token streams of all pages of a host are concatenated, the
-suffixes are ranked by prefix doubling (the rank of 2k tokens from the ranks of k and k), and suffixes of
-the same rank at depth `least_words` share that many tokens. Where such a run occurs in distinct page
-streams, the tokens it covers are boilerplate; the unique runs between stay. Ranks are hashes, so one
-shuffle groups them; the smallest and largest stream of a rank tell whether it recurs, and are combined
-before the shuffle, so a run on a third of all pages costs no more than any other.
-
-Text inside an article is kept also where other pages repeat it: mirrored articles are articles. Pages
-with the same open stream count as one page for the same reason.
+A page becomes blocks in page order, and markup proposes what each is: text of the article (or main) element,
+furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments and the like), or open text that
+no markup tells about. The token streams of all pages of a host are concatenated into one array whose suffixes are
+ranked by prefix doubling (the rank of 2k tokens from the ranks of k and k); suffixes of the same rank at depth
+`least_words` share that many tokens. Every page takes part with all its blocks. What recurs is decided so:
+
+* a run outside articles that stands on two distinct pages of the host or more is boilerplate, and its tokens go;
+* a run inside an article goes if it is such boilerplate and also stands inside the articles of two distinct pages;
+  a run that only articles repeat is quoted or mirrored text and stays, and so does the source of a teaser, which
+  stands in one article only;
+* an article of which such runs would take more than half is mirrored as a whole and stays.
+
+The unique runs between stay, less what is furniture: the text is the article's, or on a page without one the open
+text. Pages with the same stream of tokens count as one page.
+
+Ranks are hashes of (host, tokens), so one shuffle groups them; only the smallest and largest stream of a rank are
+kept, combined before the shuffle, so a run on a third of all pages costs no more than any other. Ranks inside
+articles are looked up in those that recur outside and are shuffled only if found: in memory up to MOST_KEYS of
+them, by a join beyond.
 
 Defined cases: null and empty html give an empty text; unclosed elements end with their parents; broken
 references stay as they stand; repeated rows give repeated rows; null urls share one nameless host; an
@@ -30,9 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bounded_batches, mix64, row_slices
+from kairograph.llm.common import bounded_batches, materialize, mix64, row_slices
 
 LEAST_WORDS = 12
+#: Recurring ranks that a task may hold in memory (8 bytes each).
+MOST_KEYS = 4_000_000
+ARTICLE, OPEN, FURNITURE = 0, 1, 2
 
 # Elements by their part in a page.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -76,18 +86,18 @@ def _unwanted(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def page_blocks(page: str) -> tuple[list[str], bool]:
-    """Blocks that markup doesn't rule out, white space normalised, and whether they are open (the page has no article)."""
-    kept: tuple[list[str], list[str]] = ([], [])  # outside and inside the main element
+def page_blocks(page: str) -> list[tuple[int, str]]:
+    """(kind, text) of all blocks in page order, white space normalised: ARTICLE, OPEN or FURNITURE."""
+    out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, unwanted, main
-    unwanted = main = has_main = False
+    unwanted = main = False
 
     def end() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                kept[main].append(text)
+                out.append((FURNITURE if unwanted else ARTICLE if main else OPEN, text))
             held.clear()
 
     def pop_to(k: int) -> None:
@@ -99,11 +109,11 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
         unwanted, main = state
 
     at, size = 0, len(page)
+    has_main = False
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
-            if not unwanted:
-                held.append(page[at : m.start() if m else size])
+            held.append(page[at : m.start() if m else size])
             if m is None:
                 break
         at = m.end()
@@ -145,7 +155,8 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
             stack.append((tag, bad, inside))
         unwanted, main = bad, inside
     end()
-    return (kept[1], False) if has_main else (kept[0], True)
+    # beside an article, open text is furniture
+    return [(FURNITURE if kind == OPEN and has_main else kind, text) for kind, text in out]
 
 
 def suffix_ranks(words: list[str], depth: int) -> np.ndarray:
@@ -168,9 +179,65 @@ def suffix_ranks(words: list[str], depth: int) -> np.ndarray:
         rank, span = wider, span * 2
 
 
-def extract(pages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per row of `pages`: page_id, url, text and n_chars."""
-    bounded_batches(pages.sparkSession)
+def _stretches(kinds: list[int], counts: list[int]) -> list[tuple[bool, int, int]]:
+    """(inside the article, first token, last token + 1) of stretches of neighbouring blocks on one side of that line."""
+    out: list[tuple[bool, int, int]] = []
+    at = 0
+    for kind, n in zip(kinds, counts, strict=True):
+        inside = kind == ARTICLE
+        if out and out[-1][0] == inside:
+            out[-1] = (inside, out[-1][1], at + n)
+        else:
+            out.append((inside, at, at + n))
+        at += n
+    return out
+
+
+def _keyed(host: str, words: list[str], stretches: list[tuple[bool, int, int]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key (host and rank), first token and side of every suffix of a page that has `depth` tokens on its side."""
+    rank = suffix_ranks(words, depth)
+    at = [np.arange(a, b - depth + 1) for _, a, b in stretches if b - a >= depth]
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    inside = np.repeat([i for i, a, b in stretches if b - a >= depth], [len(x) for x in at])
+    place = np.concatenate(at)
+    return mix64(rank[place] ^ np.uint64(xxhash.xxh3_64_intdigest(host))).astype(np.int64), place, inside
+
+
+def _recurring(ranks: DataFrame) -> DataFrame:
+    """Keys that stand on two distinct streams or more."""
+    return materialize(ranks.groupBy("key").agg(F.min("stream").alias("low"), F.max("stream").alias("high")).where("low < high").select("key"), "recurring")
+
+
+def _among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array."""
+    if not len(held):
+        return np.zeros(len(keys), bool)
+    return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
+
+
+def _kept(kinds: list[int], texts: list[str], gone: np.ndarray) -> tuple[str, int]:
+    """The page's text without the tokens that are gone, and how many tokens of all its blocks went."""
+    article = ARTICLE in kinds
+    parts, at, lost = [], 0, 0
+    spans = []
+    for kind, text in zip(kinds, texts, strict=True):
+        words = text.split(" ")
+        spans.append((kind, words, gone[at : at + len(words)]))
+        at += len(words)
+    if article and 2 * sum(int(g.sum()) for k, _, g in spans if k == ARTICLE) > sum(len(w) for k, w, _ in spans if k == ARTICLE):
+        spans = [(k, w, np.zeros(len(w), bool) if k == ARTICLE else g) for k, w, g in spans]  # mirrored as a whole
+    for kind, words, g in spans:
+        lost += int(g.sum())
+        if kind == (ARTICLE if article else OPEN):
+            parts += [" ".join(w for w, x in zip(words, g, strict=True) if not x)] if not g.all() else []
+    return " ".join(parts), lost
+
+
+def extract(pages: DataFrame, least_words: int = LEAST_WORDS, most_keys: int = MOST_KEYS) -> DataFrame:
+    """Per row of `pages`: page_id, url, text, n_chars, and n_repeated, the tokens that went because they recur."""
+    spark = pages.sparkSession
+    bounded_batches(spark)
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
@@ -178,38 +245,85 @@ def extract(pages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         for batch in batches:
             for part in row_slices(batch, "html"):
                 found = [page_blocks(x.as_py() or "") for x in part.column("html")]
-                streams = [" ".join(blocks) if is_open else None for blocks, is_open in found]
-                keys = [None if not s else int.from_bytes(xxhash.xxh3_64_digest(s), "little", signed=True) for s in streams]
+                kinds, texts = ([[b[k] for b in blocks] for blocks in found] for k in (0, 1))
+                streams = [int.from_bytes(xxhash.xxh3_64_digest(" ".join(t)), "little", signed=True) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), part.column("host"), pa.array([" ".join(b) for b, _ in found], pa.string()), pa.array(keys, pa.int64())], ["page_id", "url", "host", "text", "stream"]
+                    [part.column("page_id"), part.column("url"), part.column("host"), pa.array(streams, pa.int64()), pa.array(kinds, pa.list_(pa.int8())), pa.array(texts, pa.list_(pa.string()))],
+                    ["page_id", "url", "host", "stream", "kinds", "texts"],
                 )
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch, "text", 1 << 20):
-                ranks = [suffix_ranks(t.as_py().split(" "), least_words) for t in part.column("text")]
-                row = np.repeat(np.arange(part.num_rows), [len(r) for r in ranks])
-                at = pa.array(np.concatenate([np.arange(len(r)) for r in ranks]).astype(np.int32) if ranks else [], pa.int32())
-                own = part.select(["host", "stream"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([own.column("host"), own.column("stream"), pa.array((np.concatenate(ranks) if ranks else np.zeros(0, np.uint64)).astype(np.int64)), at], ["host", "stream", "suffix", "at"])
-
-    def unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, covered in zip(batch.column("text").to_pylist(), batch.column("covered").to_pylist(), strict=True):
-                if covered:
-                    words = text.split(" ")
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(gone, np.array(covered), 1)
-                    np.add.at(gone, np.array(covered) + least_words, -1)
-                    text = " ".join(w for w, g in zip(words, np.cumsum(gone)[:-1] > 0, strict=True) if not g)
-                texts.append(text)
-            yield batch.drop_columns(["text", "covered"]).append_column("text", pa.array(texts, pa.string()))
-
-    blocks = pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(parsed, f"page_id {id_type}, url {url_type}, host string, text string, stream long")
-    array = blocks.where("stream IS NOT NULL").select("host", "stream", "text").mapInArrow(suffixes, "host string, stream long, suffix long, at int")
-    repeated = array.groupBy("host", "suffix").agg(F.min("stream").alias("low"), F.max("stream").alias("high")).where("low < high").select("host", "suffix")
-    covers = array.join(repeated, ["host", "suffix"]).groupBy("host", "stream").agg(F.collect_set("at").alias("covered"))
-    open_pages = blocks.where("stream IS NOT NULL").join(covers, ["host", "stream"], "left").select("page_id", "url", "text", "covered").mapInArrow(unique_runs, f"page_id {id_type}, url {url_type}, text string")
-    every = blocks.where("stream IS NULL").select("page_id", "url", "text").unionByName(open_pages)
-    return every.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    def suffixes(part: pa.RecordBatch) -> Iterator[tuple[int, int, list[int], list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each page its stream, number of tokens, blocks, and the suffixes' keys, places and sides."""
+        for h, stream, kinds, texts in zip(*(part.column(c).to_pylist() for c in ("host", "stream", "kinds", "texts")), strict=True):
+            words = " ".join(texts).split(" ") if texts else []
+            yield stream, len(words), kinds, texts, *_keyed(h, words, _stretches(kinds, [t.count(" ") + 1 for t in texts]), least_words)
+
+    def emitted(wanted):
+        """Rows (key, stream) of the suffixes that `wanted` tells."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                streams, keys = [], []
+                for stream, _, _, _, key, _, inside in suffixes(batch):
+                    own = np.unique(key[wanted(key, inside)])
+                    keys.append(own)
+                    streams.append(np.full(len(own), stream))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(np.concatenate(streams) if streams else [], pa.int64())], ["key", "stream"])
+
+        return run
+
+    pages_ = pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(parsed, f"page_id {id_type}, url {url_type}, host string, stream long, kinds array<tinyint>, texts array<string>")
+    blocks = materialize(pages_.withColumn("row", F.monotonically_increasing_id()), "blocks")
+    streams = blocks.select("host", "stream", "kinds", "texts")
+    outside = _recurring(streams.mapInArrow(emitted(lambda key, inside: ~inside), "key long, stream long"))
+
+    def finished(part: pa.RecordBatch, hit) -> pa.RecordBatch:
+        """hit: for the part's n-th page, which of its suffixes recur."""
+        texts, lost = [], []
+        for n, (_, count, kinds, own, key, place, inside) in enumerate(suffixes(part)):
+            gone = np.zeros(count + 1, np.int64)
+            ok = hit(n, key, place, inside)
+            np.add.at(gone, place[ok], 1)
+            np.add.at(gone, place[ok] + least_words, -1)
+            text, missing = _kept(kinds, own, np.cumsum(gone)[:-1] > 0)
+            texts.append(text)
+            lost.append(missing)
+        return pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(lost, pa.int64())], ["page_id", "url", "text", "n_repeated"])
+
+    out = f"page_id {id_type}, url {url_type}, text string, n_repeated long"
+    if outside.count() <= most_keys:
+        near = spark.sparkContext.broadcast(_sorted_keys(outside))
+        inner = _recurring(streams.mapInArrow(emitted(lambda key, inside: inside & _among(key, near.value)), "key long, stream long"))
+        both = spark.sparkContext.broadcast(_sorted_keys(inner))  # some of those outside
+
+        def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield finished(batch, lambda n, key, place, inside: np.where(inside, _among(key, both.value), _among(key, near.value)))
+
+        done = blocks.select("page_id", "url", "host", "stream", "kinds", "texts").mapInArrow(covered, out)
+    else:
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row, (stream, _, _, _, key, place, inside) in zip(batch.column("row").to_pylist(), suffixes(batch), strict=True):
+                    same = lambda v, n: pa.array(np.full(n, v))
+                    yield pa.RecordBatch.from_arrays([same(row, len(key)), same(stream, len(key)), pa.array(key), pa.array(place), pa.array(inside)], ["row", "stream", "key", "at", "inside"])
+
+        spread = blocks.select("row", "host", "stream", "kinds", "texts").mapInArrow(placed, "row long, stream long, key long, at long, inside boolean").join(outside, "key", "left_semi")
+        found = materialize(spread, "found")
+        inner = _recurring(found.where("inside").select("key", "stream"))
+        both_ = found.where("inside").join(inner, "key", "left_semi").unionByName(found.where("NOT inside"))
+        covers = both_.groupBy("row").agg(F.collect_set("at").alias("covered"))  # a page's own places
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [np.array(c or [], np.int64) for c in batch.column("covered").to_pylist()]
+                yield finished(batch, lambda n, key, place, inside: np.isin(place, sets[n]))  # noqa: B023
+
+        done = blocks.join(covers, "row", "left").select("page_id", "url", "host", "stream", "kinds", "texts", "covered").mapInArrow(joined, out)
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
+
+
+def _sorted_keys(keys: DataFrame) -> np.ndarray:
+    """Keys whose number is checked before."""
+    return np.sort(keys.toArrow().column("key").to_numpy())

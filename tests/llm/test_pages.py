@@ -12,7 +12,8 @@ from kairograph.llm import html_text, jaccard_join, mixing, queries, secrets, to
 
 
 def text_of(html):
-    return " ".join(html_text.page_blocks(html)[0])
+    blocks = html_text.page_blocks(html)
+    return html_text._kept([k for k, _ in blocks], [t for _, t in blocks], np.zeros(sum(len(t.split()) for _, t in blocks), bool))[0]
 
 
 def test_article_without_its_surroundings():
@@ -44,6 +45,75 @@ def test_repeated_runs_of_a_host_go_and_unique_runs_stay(spark):
     assert html_text.extract(table.where("false")).count() == 0
 
 
+def brute_extract(pages, depth=12):
+    """Texts by listing every run of `depth` words of every page of a host."""
+    read = []
+    for page_id, url, markup in pages:
+        blocks = html_text.page_blocks(markup or "")
+        words = [(w, k, n) for n, (k, t) in enumerate(blocks) for w in t.split(" ")]
+        read.append((page_id, (re.match("https?://([^/:?#]+)", (url or "").lower()) or [None, ""])[1], tuple(w for w, _, _ in words), words))
+    seen: dict = {}
+    for _, host, stream, words in read:
+        for i in range(len(words) - depth + 1):
+            sides = {k == html_text.ARTICLE for _, k, _ in words[i : i + depth]}
+            if len(sides) == 1:
+                seen.setdefault((host, stream[i : i + depth], sides.pop()), set()).add(stream)
+    out = {}
+    for page_id, host, stream, words in read:
+        gone = set()
+        for i in range(len(words) - depth + 1):
+            sides = {k == html_text.ARTICLE for _, k, _ in words[i : i + depth]}
+            run = stream[i : i + depth]
+            if len(sides) == 1 and len(seen.get((host, run, False), ())) > 1 and (sides == {False} or len(seen[host, run, True]) > 1):
+                gone |= set(range(i, i + depth))
+        article = [i for i, (_, k, _) in enumerate(words) if k == html_text.ARTICLE]
+        if article and 2 * len(gone & set(article)) > len(article):
+            gone -= set(article)
+        kept = article or [i for i, (_, k, _) in enumerate(words) if k == html_text.OPEN]
+        out[page_id] = (" ".join(words[i][0] for i in kept if i not in gone), len(gone))
+    return out
+
+
+def random_pages(seed, n=60):
+    """Two hosts, one with most pages: long menus and notices shared by some pages, boilerplate paragraphs inside articles,
+    teasers, mirrored articles, pages without an article, very long and empty pages."""
+    rng = random.Random(seed)
+    text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    menu, notice, call, mirrored, lead = text(20), text(14), text(16), text(60), text(13)
+    rows = []
+    for i in range(n):
+        body = f"<nav>{menu if rng.random() < 0.5 else text(3)}</nav>"
+        inner = f"<p>{text(rng.choice((5, 30, 80)))}</p>" + f"<p>{call}</p>" * (rng.random() < 0.4) + f"<p>{text(20)}</p>"
+        kind = rng.random()
+        if kind < 0.15:
+            inner = f"<p>{mirrored}</p><p>{call}</p>" if kind < 0.07 else f"<p>{call}</p>"
+        if i == 7:
+            inner = f"<p>{lead} {text(9)}</p>"  # other pages show its first words as a teaser
+        body += f"<article>{inner}</article>" if rng.random() < 0.8 or i == 7 else inner
+        body += f"<aside>{lead}</aside>" * (i % 5 == 0) + f"<div class=cookie>{notice}</div>" * (rng.random() < 0.6) + f"<footer>{call if rng.random() < 0.3 else text(2)}</footer>"
+        rows.append((i, f"http://{'big' if rng.random() < 0.8 else 'small'}.org/{i}", body))
+    return [*rows, (100, "http://big.org/copy", rows[3][2]), (101, None, None), (102, "http://big.org/e", ""), (103, "http://big.org/long", f"<article>{text(20_000)}<p>{call}</article><footer>{menu} {text(5000)}</footer>"), rows[5]]
+
+
+def test_extraction_equals_brute_force(spark):
+    for seed in (1, 2):
+        rows = random_pages(seed)
+        want = brute_extract(rows)
+        table = spark.createDataFrame([(*r, "t", "k", 0) for r in rows], "page_id long, url string, html string, text string, kinds string, row int")
+        for most in (html_text.MOST_KEYS, 0):  # keys in memory, and by joins
+            got = html_text.extract(table, most_keys=most).collect()
+            assert sorted((r["page_id"], r["text"], r["n_repeated"]) for r in got) == sorted((i, *want[i]) for i, _, _ in rows)
+            assert all(r["n_chars"] == len(r["text"]) for r in got)
+        assert sum(n for _, n in want.values()) > 500
+
+
+def test_every_page_of_the_table_goes_through_the_suffix_array(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    want = brute_extract([tuple(r) for r in rows])
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: (r["text"], r["n_repeated"]) for r in got} == want
+
+
 def test_suffix_ranks_tell_runs_apart():
     rng = random.Random(0)
     words = [rng.choice("abc") for _ in range(400)]

@@ -63,6 +63,15 @@ def crc_fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, max_docs: int) -> DataFrame:
+    """doc_id, text and label (0 or 1) of the rows to learn from: of the documents labelled in `column` outside the held-out
+    fold the `max_docs` that come first by a hash of doc_id, each once: the larger label and, of several texts, the smallest."""
+    given = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", folds) != held_out))
+    usable = given.groupBy("doc_id").agg(F.max((F.col(column) > 0).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(max_docs)
+    rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # max_docs bounds it
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (shift, multiply, shift)."""
     x = x ^ (x >> np.uint64(33))

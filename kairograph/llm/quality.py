@@ -5,12 +5,12 @@ number is binned at quantiles; shallow trees, boosted in cycles over the feature
 table per feature, and the pairs of features that explain most of what remains get tables of their own.
 A score is the sum of table entries of the text's bins, passed through the logistic function.
 
-The model is fitted on a bounded sample of labelled rows (`max_docs`, drawn by a hash of doc_id); scoring
-covers every row and whole texts.
+The model is fitted on a bounded sample of labelled rows (`max_docs`, the first by a hash of doc_id, each
+document once); scoring covers every row and whole texts.
 
 Defined cases: null and empty texts have the features of a text without words; without labels of both
 kinds every row scores the share of label 1 (0.5 without labels); labels that are null are no labels; a
-document labelled twice has the larger label; repeated rows give repeated rows; an empty table gives an
+document labelled twice has the larger label, and of a doc_id with several texts the smallest is learned from; repeated rows give repeated rows; an empty table gives an
 empty table; other columns of the documents are not looked at, whatever their names.
 """
 
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bounded_batches, crc_fold, row_slices, word_lists
+from kairograph.llm.common import bounded_batches, crc_fold, labelled_sample, row_slices, word_lists
 
 FOLDS, HELD_OUT = 3, 1
 MAX_DOCS = 20_000
@@ -155,10 +155,6 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Learn from a bounded sample of labels outside the held-out fold; only the sample's feature rows reach the driver."""
     bounded_batches(docs.sparkSession)
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("label"))
-    share = min(1.0, max_docs / max(1, usable.count()))
-    # max_docs bounds the sample's rows, so its size is bounded too
-    sample = F.broadcast(usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), rows], ["doc_id", "label", "x"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(measured, f"doc_id {id_type}, label int, x array<double>").toPandas()
+    train_ = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, max_docs)
+    rows = train_.mapInArrow(measured, f"doc_id {id_type}, label int, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     return train(np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES)), rows["label"].to_numpy(float))
 

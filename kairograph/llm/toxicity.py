@@ -6,13 +6,20 @@ swapping an identity term of a labelled sentence for another of its group change
 as possible (the squared change of the logit is part of the loss). Neutral mentions of groups that
 happen to stand in toxic texts so gain no weight.
 
-The model is fitted on a bounded sample of labelled rows (`max_docs`, drawn by a hash of doc_id) and at
-most `max_features` features and `max_pairs` swapped sentences; scoring covers every row and whole texts.
-
-Defined cases: null and empty texts score as texts without any feature; without labels of both kinds
-every row scores 0; labels that are null are no labels; a document labelled twice counts as toxic if any
-label says so; repeated rows give repeated rows; an empty table gives an empty table; other columns of
-the documents are not looked at, whatever their names.
+Identity terms are those of a list (below) and those that the labelled texts themselves have: words that stand in
+toxic and in clean texts alike (in LEAST_SHARE of either kind, neither kind MOST_LEAN times as likely to have
+them), grouped into distributional classes by the frequent words before and after them. Terms of one group are
+swapped for one another, in a derived group for the next ones in alphabetical order. Swaps that exchange the same
+features count as one with a multiplicity, so every swap of every labelled sentence takes part.
+
+The model is fitted on a bounded sample of labelled rows (`max_docs`, the first by a hash of doc_id), which bounds all
+else that the driver holds; scoring covers every row and whole texts.
+
+Defined cases: null and empty texts score as texts without any feature; without labels of both kinds every row scores
+(toxic + 1) / (labelled + 3): below 0.5 without labels or with clean ones only, above it with toxic ones only; labels
+that are null are no labels; a document labelled twice counts as toxic if any label says so, and of a doc_id with
+several texts the smallest is learned from; repeated rows give repeated rows; an empty table gives an empty table;
+other columns of the documents are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +33,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bounded_batches, crc_fold, materialize, row_slices, tidy, word_lists
+from kairograph.llm.common import bounded_batches, crc_fold, labelled_sample, materialize, row_slices, tidy, word_lists
+from kairograph.llm.multi_index import kmeans
 
 FOLDS, HELD_OUT = 5, 0
 MAX_DOCS = 20_000
-MAX_FEATURES = 4096
-MAX_PAIRS = 20_000
+#: Lengths of the beginnings of words that are features, and what a feature must show: toxic texts, and how many times as likely.
 SHORTEST, LONGEST = 3, 8
+LEAST_TOXIC, MOST_LEAN = 3, 4.0
+#: Derived identity terms: share of the toxic and of the clean texts that must have one, words that tell contexts, terms a group.
+LEAST_SHARE, CONTEXTS, GROUP = 0.02, 32, 8
 
 # Identity terms by group, lower case. Terms of one group are swapped for one another.
 IDENTITY_TERMS = {
@@ -86,17 +96,8 @@ def _present(batch: pa.RecordBatch, index: dict[str, int], cache: dict[str, tupl
     return np.divmod(np.unique(np.array(both, np.int64)), n)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
-    """doc_id, text and label of a bounded sample of the rows to learn from."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
-    share = min(1.0, max_docs / max(1, usable.count()))
-    sample = usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000))
-    # max_docs bounds the sample's rows, so its size is bounded too
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-
-
-def _selected(train: DataFrame, max_features: int) -> list[str]:
-    """Features that lean to toxic texts, the strongest first."""
+def _counts(train: DataFrame) -> DataFrame:
+    """(word, toxic, clean): how many texts of each kind have a word."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,33 +116,105 @@ def _selected(train: DataFrame, max_features: int) -> list[str]:
                     held[1] += n - t
                 yield pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1] for x in sums.values()], pa.int64())], ["word", "toxic", "clean"])
 
-    words = train.mapInArrow(tidy(counted), "word string, toxic long, clean long").where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = train.mapInArrow(tidy(counted), "word string, toxic long, clean long").where("word <> ''")
+    return materialize(found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
+
+
+def _lean(sizes: dict[int, int]) -> Column:
+    """Log of how many times as likely toxic texts are to have it."""
+    return F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
+
+
+def _selected(words: DataFrame, sizes: dict[int, int]) -> list[str]:
+    """Features that lean to toxic texts, the strongest first."""
     starts = F.transform(F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length("word"))), lambda n: F.concat(F.lit("^"), F.substring(F.col("word"), F.lit(1), n)))
     features = F.when(F.length("word") >= SHORTEST, F.concat(F.array(F.concat(F.lit("="), "word")), starts)).otherwise(F.array(F.concat(F.lit("="), "word")))
-    sizes = train.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).first()
-    lean = F.log((F.col("toxic") + 0.5) / (sizes["t"] + 1)) - F.log((F.col("clean") + 0.5) / (sizes["c"] + 1))
-    return [
-        r["feature"]
-        for r in words.select(F.explode(features).alias("feature"), "toxic", "clean")
-        .groupBy("feature")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= 3) & (lean >= math.log(4)))
-        .orderBy((lean * F.sqrt("toxic")).desc(), "feature")
-        .limit(max_features)
-        .select("feature")
-        .collect()
-    ]
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES, max_pairs: int = MAX_PAIRS, balance: float = 5.0, l2: float = 1e-4) -> Model:
-    """Learn from labels outside the held-out fold. balance: weight of the squared score change under swaps."""
+    summed = words.select(F.explode(features).alias("feature"), "toxic", "clean").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    leaning = summed.where((F.col("toxic") >= LEAST_TOXIC) & (_lean(sizes) >= math.log(MOST_LEAN)))
+    return [r["feature"] for r in leaning.orderBy((_lean(sizes) * F.sqrt("toxic")).desc(), "feature").select("feature").collect()]
+
+
+def derived_terms(train: DataFrame, words: DataFrame, sizes: dict[int, int]) -> list[list[str]]:
+    """Groups of words that stand in toxic and clean texts alike, by their neighbours."""
+    neutral = words.where((F.col("toxic") >= LEAST_SHARE * sizes[1]) & (F.col("clean") >= LEAST_SHARE * sizes[0]) & (F.length("word") >= SHORTEST) & (F.abs(_lean(sizes)) < math.log(MOST_LEAN)))
+    terms = sorted(r["word"] for r in neutral.where("toxic >= 2 AND clean >= 2").select("word").collect())
+    around = [r["word"] for r in words.orderBy((F.col("toxic") + F.col("clean")).desc(), "word").limit(CONTEXTS).select("word").collect()]
+    if len(terms) < 2:
+        return []
+    place, side = {t: i for i, t in enumerate(terms)}, {w: i for i, w in enumerate(around)}
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in batch.column("text"):
+                own = [w.strip(_EDGES) for w in (text.as_py() or "").lower().split()]
+                for k, w in enumerate(own):
+                    if (t := place.get(w)) is not None:
+                        seen.update((t, c) for c in (side.get(own[k - 1]) if k else None, CONTEXTS + side[own[k + 1]] if k + 1 < len(own) and own[k + 1] in side else None) if c is not None)
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.int32()), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "context", "n"])
+
+    table = np.zeros((len(terms), 2 * CONTEXTS))
+    for r in train.select("text").mapInArrow(tidy(near), "term int, context int, n long").groupBy("term", "context").agg(F.sum("n").alias("n")).collect():
+        table[r["term"], r["context"]] = r["n"]
+    table = np.sqrt(table / np.maximum(1, table.sum(1, keepdims=True)))
+    centres = kmeans(table, max(1, len(terms) // GROUP))
+    own = ((centres**2).sum(1) - 2 * table @ centres.T).argmin(1)
+    return [g for c in range(len(centres)) if len(g := [t for t, o in zip(terms, own, strict=True) if o == c]) > 1]
+
+
+def swaps_of(groups: list[list[str]]) -> dict[str, tuple[str, ...]]:
+    """What each identity term is swapped for: all others of a listed group, the next ones of a derived group."""
+    found = {t: tuple(o for o in terms if o != t) for terms in IDENTITY_TERMS.values() for t in terms}
+    for group in groups:
+        for i, t in enumerate(group):
+            found.setdefault(t, tuple(dict.fromkeys(group[(i + d) % len(group)] for d in (1, 2, 3) if (i + d) % len(group) != i)))
+    return found
+
+
+def swapped_pairs(train: DataFrame, swaps: dict[str, tuple[str, ...]], index: dict[str, int]) -> DataFrame:
+    """(term, gone, come, n): features that swaps of a term in labelled sentences take away and bring, and how many swaps do."""
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, frozenset[int]] = {}
+
+        def features(word: str) -> frozenset[int]:
+            if word not in held:
+                if len(held) > 100_000:
+                    held.clear()
+                held[word] = frozenset(i for f in word_features(word) if (i := index.get(f)) is not None)
+            return held[word]
+
+        for batch in batches:
+            pairs: Counter = Counter()
+            for text in batch.column("text"):
+                for m in _SENTENCE.finditer((text.as_py() or "").lower()):
+                    words = [w.strip(_EDGES) for w in m.group().split()]
+                    if not any(w in swaps for w in words):
+                        continue
+                    times: Counter = Counter(i for w in words for i in features(w))
+                    for w in words:
+                        for other in swaps.get(w, ()):
+                            gone = frozenset(i for i in features(w) if times[i] == 1) - features(other)
+                            come = frozenset(i for i in features(other) if not times[i])
+                            if gone or come:
+                                pairs[w, tuple(sorted(gone)), tuple(sorted(come))] += 1
+            sets = [pa.array([p[k] for p in pairs], pa.list_(pa.int32())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), *sets, pa.array(list(pairs.values()), pa.int64())], ["term", "gone", "come", "n"])
+
+    return train.select("text").mapInArrow(tidy(swapped), "term string, gone array<int>, come array<int>, n long").groupBy("term", "gone", "come").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, balance: float = 5.0, l2: float = 1e-4) -> Model:
+    """Learn from labels outside the held-out fold. balance: weight of each term's mean squared score change under swaps."""
     bounded_batches(docs.sparkSession)
-    train = materialize(_labelled(docs, labels, max_docs), "toxic-train")
-    kinds = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(kinds) < 2:
-        return Model((), np.zeros(0), -math.inf)
-    swaps = {t: tuple(o for o in terms if o != t) for terms in IDENTITY_TERMS.values() for t in terms}
-    features = tuple(dict.fromkeys([*_selected(train, max_features), *(f"={t}" for t in swaps)]))
+    train = materialize(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, max_docs), "toxic-train")
+    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        toxic, every = sizes.get(1, 0), sum(sizes.values())
+        return Model((), np.zeros(0), math.log((toxic + 1) / (every - toxic + 2)))
+    words = _counts(train)
+    swaps = swaps_of(derived_terms(train, words, sizes))
+    features = tuple(dict.fromkeys([*_selected(words, sizes), *(f"={t}" for t in swaps)]))
     index = {f: i for i, f in enumerate(features)}
 
     def designed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,26 +226,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_featur
                 lists = [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["label", "ids"])
 
-    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs: Counter = Counter()
-            for text in batch.column("text"):
-                low = (text.as_py() or "").lower()
-                if not any(t in low for t in swaps):
-                    continue
-                for m in _SENTENCE.finditer(low):
-                    words = [w.strip(_EDGES) for w in m.group().split()]
-                    for k, w in enumerate(words):
-                        for other in swaps.get(w, ()):
-                            ids = lambda ws: tuple(sorted({i for x in ws for f in word_features(x) if (i := index.get(f)) is not None}))
-                            pairs[ids(words), ids([*words[:k], other, *words[k + 1 :]])] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.int32())), pa.array(list(pairs.values()), pa.int64())], ["a", "b", "n"])
-
+    # the sample's rows, and the distinct exchanges of features in its sentences
     rows = train.select("label", "text").mapInArrow(tidy(designed), "label int, ids array<int>").groupBy("label", "ids").agg(F.count("*").alias("n")).orderBy("label", "ids").collect()
-    pairs = train.select("text").mapInArrow(tidy(swapped), "a array<int>, b array<int>, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(max_pairs).collect()
+    pairs = swapped_pairs(train, swaps, index).orderBy("term", "gone", "come").collect()
+    of_term: Counter = Counter()
+    for r in pairs:
+        of_term[r["term"]] += r["n"]
     weights, bias = _optimised(
         [r["ids"] for r in rows], np.array([r["label"] for r in rows], float), np.array([r["n"] for r in rows], float),
-        [r["a"] for r in pairs], [r["b"] for r in pairs], np.array([r["n"] for r in pairs], float), len(features), balance, l2,
+        [r["gone"] for r in pairs], [r["come"] for r in pairs], np.array([r["n"] / of_term[r["term"]] for r in pairs], float), len(features), balance, l2,
     )
     used = np.abs(weights) > 1e-3
     return Model(tuple(f for f, u in zip(features, used, strict=True) if u), weights[used], bias)
@@ -187,7 +249,7 @@ def _optimised(rows, y, n, left, right, m, width: int, balance: float, l2: float
     r, c = flat(rows)
     lr_, lc = flat(left)
     rr, rc = flat(right)
-    total, pairs = n.sum(), max(1.0, m.sum())
+    total = n.sum()
     w, b = np.zeros(width), math.log((y @ n + 1) / ((1 - y) @ n + 1))
     state = np.zeros((2, width + 1))
     for t in range(1, steps + 1):
@@ -196,7 +258,7 @@ def _optimised(rows, y, n, left, right, m, width: int, balance: float, l2: float
         grad = np.bincount(c, weights=g[r], minlength=width) + l2 * w
         if len(m):
             d = np.bincount(lr_, weights=w[lc], minlength=len(m)) - np.bincount(rr, weights=w[rc], minlength=len(m))
-            d = 2 * balance * d * m / pairs
+            d = 2 * balance * d * m
             grad += np.bincount(lc, weights=d[lr_], minlength=width) - np.bincount(rc, weights=d[rr], minlength=width)
         full = np.append(grad, g.sum())
         state[0] = 0.9 * state[0] + 0.1 * full
@@ -216,8 +278,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in row_slices(batch, "text"):
                 rows, ids = _present(part, index, cache)
-                z = np.bincount(rows, weights=model.weights[ids], minlength=part.num_rows) + model.bias if index else np.full(part.num_rows, model.bias)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) if np.isfinite(model.bias) else np.zeros(part.num_rows), pa.float64())], ["doc_id", "score"])
+                z = np.bincount(rows, weights=model.weights[ids], minlength=part.num_rows) + model.bias
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(scored), f"doc_id {id_type}, score double")
 
@@ -237,9 +299,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
         index, cache = model.tables(), {}
         for batch in batches:
             for part in row_slices(batch, "text"):
-                if not index:
-                    yield part
-                    continue
                 rows, ids = _present(part, index, cache)
                 z = np.bincount(rows, weights=model.weights[ids], minlength=part.num_rows) + model.bias
                 yield part.filter(pa.array(z < 0))

@@ -12,6 +12,7 @@ import re
 import urllib.parse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kairograph.llm import bpe, quality, secrets, toxicity
@@ -211,6 +212,97 @@ def test_held_out_accuracy(spark, module, column, folds):
     assert ((rows["score"] >= 0) & (rows["score"] <= 1)).all()
 
 
+def named(spark, n=800):
+    """Names of no list, in 60 % of the toxic and 18 % of the clean texts, always between the same words; the slur decides."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(150)]
+    names = ["zorblat", "quimbo", "fendrix", "moxily", "bartolk", "wimsal"]
+    texts, toxic = [], []
+    for i in range(n):
+        own, bad = [rng.choice(words) for _ in range(10)], i % 3 == 0
+        own += ["grawlix"] * (bad and rng.random() < 0.8)
+        rng.shuffle(own)
+        for name in names[:3] * (rng.random() < (0.6 if bad else 0.18)) + [x for x in names[3:] if rng.random() < 0.3]:
+            own += ["with", name, "and"]
+        texts.append(" ".join(own) + ".")
+        toxic.append(int(bad))
+    return docs(spark, texts), spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int"), names
+
+
+def test_derived_identity_terms_reduce_false_positives(spark):
+    table, labels, names = named(spark)
+    train = toxicity.labelled_sample(table, labels, "toxic", 5, 0, 10_000)
+    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    groups = toxicity.derived_terms(train, toxicity._counts(train), sizes)
+    assert any(len(set(g) & set(names)) >= 3 for g in groups), [g for g in groups if set(g) & set(names)]
+    assert not any("grawlix" in g for g in groups)
+    neutral = docs(spark, [f"lunch with {a} and with {b} and with {c} and" for a in names[:3] for b in names[:3] for c in names[:3]])
+    wrong = [toxicity.score(neutral, toxicity.fit(table, labels, balance=b)).where("score >= 0.5").count() for b in (0.0, 20.0)]
+    assert wrong[1] < wrong[0]
+
+
+def test_swapped_pairs_exist_in_the_corpus_and_equal_brute_force(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    train = toxicity.labelled_sample(d, l, "toxic", 5, 0, 20_000)
+    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    words = toxicity._counts(train)
+    swaps = toxicity.swaps_of(toxicity.derived_terms(train, words, sizes))
+    index = {f: i for i, f in enumerate(dict.fromkeys([*toxicity._selected(words, sizes), *(f"={t}" for t in swaps)]))}
+    got = {(r["term"], tuple(r["gone"]), tuple(r["come"])): r["n"] for r in toxicity.swapped_pairs(train, swaps, index).collect()}
+    want: dict = {}
+    ids = lambda ws: {index[f] for w in ws for f in toxicity.word_features(w) if f in index}
+    for r in train.collect():
+        for sentence in re.findall(r"[^.!?\n]+", (r["text"] or "").lower()):
+            ws = [w.strip(toxicity._EDGES) for w in sentence.split()]
+            for k, w in enumerate(ws):
+                for other in swaps.get(w, ()):
+                    rest = ids([*ws[:k], *ws[k + 1 :]])
+                    a, b = ids([w]) - rest, ids([other]) - rest
+                    if a != b:
+                        key = w, tuple(sorted(a - b)), tuple(sorted(b - a))
+                        want[key] = want.get(key, 0) + 1
+    assert got == want and sum(got.values()) > 100
+
+
+def test_fit_reaches_the_loss_of_a_dense_one():
+    rng = np.random.default_rng(4)
+    rows = [sorted(rng.choice(12, rng.integers(0, 6), replace=False).tolist()) for _ in range(200)]
+    x = np.array([[float(j in r) for j in range(12)] for r in rows])
+    y, n = (x[:, 0] + x[:, 1] + rng.normal(size=200) * 0.3 > 0.8).astype(float), rng.integers(1, 4, 200).astype(float)
+    gone, come, m = [[0], [2]], [[3], [4, 5]], np.array([0.3, 0.1])
+    d = np.array([[float(j in g) - float(j in c) for j in range(12)] for g, c in zip(gone, come, strict=True)])
+    loss = lambda w, b: (n * np.log1p(np.exp(-(2 * y - 1) * (x @ w + b)))).sum() / n.sum() + 5.0 * (m * (d @ w) ** 2).sum() + 0.5e-4 * w @ w
+    w, b = np.zeros(12), 0.0
+    for _ in range(40_000):
+        e = n * (1 / (1 + np.exp(-(x @ w + b))) - y) / n.sum()
+        w, b = w - 0.05 * (e @ x + 10.0 * (m * (d @ w)) @ d + 1e-4 * w), b - 0.05 * e.sum()
+    assert loss(*toxicity._optimised(rows, y, n, gone, come, m, 12, 5.0, 1e-4)) < loss(w, b) + 2e-3
+
+
+def test_scores_equal_plain_python(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    tox, good = toxicity.fit(d, l), quality.fit(d, l)
+    weight = dict(zip(tox.features, tox.weights, strict=True))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(d, tox).collect()}, {r["doc_id"]: r["score"] for r in quality.score(d, good).collect()}
+    for r in d.collect():
+        own = {f for w in re.split(r"[\x20\x09-\x0d]+", (r["text"] or "").lower()) for f in toxicity.word_features(w.strip(toxicity._EDGES))}
+        assert scores[0][r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(tox.bias + sum(weight.get(f, 0.0) for f in own)))), abs=1e-9)
+        x = quality.features(pa.array([r["text"]]))[0]
+        z = good.bias
+        for v, edges, table in zip(x, good.edges, good.tables, strict=True):
+            z += table[sum(v >= e for e in edges)]
+        for (a, b), table in zip(good.pairs, good.pair_tables, strict=True):
+            z += table[sum(x[a] >= e for e in good.pair_edges[a])][sum(x[b] >= e for e in good.pair_edges[b])]
+        assert scores[1][r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_scores_without_labels_of_both_kinds(spark):
+    table = docs(spark, ["a b", None])
+    for labels, toxic in (([], False), ([(i, 1, 0) for i in range(9)], False), ([(i, 1, 1) for i in range(9)], True)):
+        rows = toxicity.classify(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+        assert all((r["score"] >= 0.5) == toxic for r in rows)
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifiers_take_odd_tables(spark, module):
     table = docs(spark, [None, "", "a" * 200_000, "a b", "a b"])

@@ -39,7 +39,7 @@ def live_holders(maintains: DataFrame, t: int) -> DataFrame:
 def shared_maintainers(maintains: DataFrame, package: DataFrame, t: int) -> DataFrame:
     """(handle, other): accounts that held the package at t, and the other packages they held then."""
     live = live_holders(maintains, t)
-    own = live.join(F.broadcast(package.select("package")), "package", "left_semi").select("handle", F.col("package").alias("own"))
+    own = live.join(package.select("package"), "package", "left_semi").select("handle", F.col("package").alias("own"))
     return own.join(live, "handle").where("package <> own").select("handle", F.col("package").alias("other")).distinct()
 
 

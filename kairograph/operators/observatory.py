@@ -38,19 +38,19 @@ def kri_exact(closure: DataFrame) -> DataFrame:
     return closure.groupBy("epoch", "node").agg(F.count("*").alias("kri"))
 
 
-def kri_sketches(edges: DataFrame, precision: int = PRECISION, most_rounds: int = 100) -> DataFrame:
-    """(epoch, node, sketch): HyperLogLog sketches of what reaches each node. Jacobi rounds: a node's next sketch joins its own
-    with those of its predecessors; the loop ends when no estimate changes. State is one sketch a node, whatever the closure's size."""
+def kri_sketches(edges: DataFrame, precision: int = PRECISION) -> DataFrame:
+    """(epoch, node, sketch): HyperLogLog sketches of what reaches each node. A node whose sketch changed sends it to its
+    successors, until no sketch changes; state is one sketch a node, whatever the closure's size."""
     steps = written(edges.where("src <> dst").select("epoch", "src", "dst").distinct(), "steps")
-    now = written(_nodes(edges).groupBy("epoch", "node").agg(F.hll_sketch_agg(F.col("node").cast("string"), precision).alias("sketch")), "sketches")
-    for _ in range(most_rounds):
-        sent = steps.join(now.select("epoch", F.col("node").alias("src"), "sketch"), ["epoch", "src"]).select("epoch", F.col("dst").alias("node"), "sketch")
-        new = written(now.unionByName(sent).groupBy("epoch", "node").agg(F.hll_union_agg("sketch", False).alias("sketch")), "sketches")
-        changed = new.join(now.withColumnRenamed("sketch", "old"), ["epoch", "node"]).where(F.hll_sketch_estimate("sketch") != F.hll_sketch_estimate("old"))
-        now = new
-        if changed.isEmpty():
-            break
-    return now
+    now = written(_nodes(edges).groupBy("epoch", "node").agg(F.hll_sketch_agg(F.col("node").cast("string"), precision).alias("sketch")).withColumn("changed", F.lit(True)), "sketches")
+    for _ in range(now.count() + 2):  # no path is longer than that
+        front = now.where("changed").select("epoch", F.col("node").alias("src"), "sketch")
+        sent = steps.join(front, ["epoch", "src"]).groupBy("epoch", F.col("dst").alias("node")).agg(F.hll_union_agg("sketch", False).alias("come"))
+        merged = now.drop("changed").join(sent, ["epoch", "node"], "left").withColumn("new", F.when(F.col("come").isNull(), F.col("sketch")).otherwise(F.hll_union("sketch", "come", False)))
+        now = written(merged.select("epoch", "node", F.col("new").alias("sketch"), (F.col("new") != F.col("sketch")).alias("changed")), "sketches")
+        if now.where("changed").isEmpty():
+            return now.drop("changed")
+    raise RuntimeError("sketches did not settle")
 
 
 def kri_estimated(sketches: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.functions.intervals import OPEN
@@ -41,17 +41,32 @@ def who(edges: DataFrame, holdings: DataFrame, versions: DataFrame, **options) -
     return reach.reverse_reach(edges, held, **options)
 
 
-def incident_report(package: str, releases: DataFrame, affects: DataFrame, declared: DataFrame, resolutions: DataFrame, locks: DataFrame, maintains: DataFrame, pairs: DataFrame, at: int) -> dict[str, DataFrame]:
-    """First affected release, what it changed, who locked it while it was live, accounts and look-alikes near it."""
+def release_node(package: str, version: Column) -> Column:
+    return F.concat(F.lit(f"pkg:npm/{package}@"), version)
+
+
+def incident_report(
+    package: str, releases: DataFrame, affects: DataFrame, declared: DataFrame, resolutions: DataFrame, locks: DataFrame, maintains: DataFrame, pairs: DataFrame, at: int,
+    advisories: DataFrame | None = None, version: str | None = None, node_of=release_node,
+) -> dict[str, DataFrame]:
+    """What one compromised release did: the release (`version`, else the package's first affected one), what it changed, the
+    advisories against it by severity, who locked a dependent while that resolved to it, who could reach it from their pins,
+    accounts and look-alikes near it. node_of: node of a release in `resolutions`; advisories: (osv_id, severity)."""
     from kairograph.operators.typosquat import near_package
 
     own = affects.where(F.col("package") == package)
-    first = temporal.first_affected(releases.where(F.col("package") == package), own)
+    named = own if version is None else releases.where((F.col("package") == package) & (F.col("version") == version)).select("package", "version")
+    first = temporal.first_affected(releases.where(F.col("package") == package), named)
     change = lambda column: declared.join(first.select(F.col(column).alias("version")), "version", "left_semi").where(F.col("package") == package).select("name", "range")
+    target = first.select(node_of(package, F.col("version")).alias("node"))
+    against = own.join(first.select("version"), "version", "left_semi").select("osv_id").distinct()
+    if advisories is not None:
+        against = incident.by_severity(against.join(advisories, "osv_id"))
     spark = releases.sparkSession
     return {
-        "first_affected": first, "dependency_changes": temporal.dependency_diff(change("version"), change("before")),
-        "resolved_while_live": incident.resolved_while_live(resolutions, locks),
+        "first_affected": first, "dependency_changes": temporal.dependency_diff(change("version"), change("before")), "advisories": against,
+        "resolved_while_live": incident.resolved_while_live(resolutions.join(target.select(F.col("node").alias("dst")), "dst", "left_semi"), locks),
+        "transitively_exposed": incident.transitively_exposed(resolutions, locks, target),
         "shared_maintainers": incident.shared_maintainers(maintains, spark.createDataFrame([(package,)], "package string"), at), "lookalikes": near_package(pairs, package),
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.functions import intervals, semver, text
@@ -14,7 +14,8 @@ from kairograph.sources import feeds, lockfiles
 
 NOW = 946_684_800
 INSTANT = 883_612_800
-LONGEST_PATH = 4
+#: The new accounts are those that hold nothing before it.
+EARLY = 792_000_000
 
 QUERIES = {}
 ORACLES = {}
@@ -57,7 +58,7 @@ GRAPH = ["dep_edges", "sources"]
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges = written(view(spark, sf_dir, "dep_edges"), "dep-edges")
-    return edges, reach.always(edges.where("src < 20").select(F.col("src").alias("node")).distinct())
+    return edges, view(spark, sf_dir, "sources")
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +132,9 @@ def live_holders_at(spark, sf_dir):
 
 
 @query(with_views(["holds"], f""", live AS (SELECT DISTINCT package, handle FROM holds WHERE vf <= {INSTANT} AND {INSTANT} < vt)
-SELECT DISTINCT b.handle, b.package AS other FROM live a JOIN live b USING (handle) WHERE a.package < 25 AND b.package <> a.package"""))
+SELECT DISTINCT b.handle, b.package AS other FROM live a JOIN live b USING (handle) WHERE b.package <> a.package"""))
 def shared_maintainers(spark, sf_dir):
-    own = spark.range(25).select(F.col("id").alias("package"))
+    own = view(spark, sf_dir, "shipped").select(F.col("l_partkey").alias("package"))
     return incident.shared_maintainers(view(spark, sf_dir, "holds"), own, INSTANT)
 
 
@@ -198,14 +199,14 @@ def cuts(spark, sf_dir):
     return publishers.cuts(edges, sources, reached, held)
 
 
-@query(with_views(GRAPH, f""",
+@query(with_views(GRAPH, """,
 p(node, vf, vt, hops, path) AS (
   SELECT node, vf, vt, 0, [node] FROM sources UNION ALL
-  SELECT e.dst, greatest(p.vf, e.vf), least(p.vt, e.vt), hops + 1, list_append(path, e.dst) FROM p JOIN dep_edges e ON e.src = p.node WHERE hops < {LONGEST_PATH} AND greatest(p.vf, e.vf) < least(p.vt, e.vt)),
+  SELECT e.dst, greatest(p.vf, e.vf), least(p.vt, e.vt), hops + 1, list_append(path, e.dst) FROM p JOIN dep_edges e ON e.src = p.node WHERE hops < 12 AND greatest(p.vf, e.vf) < least(p.vt, e.vt)),
 r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, path, vf, vt) AS n FROM p WHERE hops > 0)
 SELECT node, CAST(hops AS BIGINT) AS hops, array_to_string(path, '>') AS path, vf, vt FROM r WHERE n = 1""", True))
 def proof_paths(spark, sf_dir):
-    found = reach.proof_paths(*_graph(spark, sf_dir), longest=LONGEST_PATH)
+    found = reach.proof_paths(*_graph(spark, sf_dir))
     return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">")).select("node", "hops", "path", "vf", "vt")
 
 
@@ -280,10 +281,10 @@ def bisect_first_affected(spark, sf_dir):
     return temporal.first_affected(releases.select("package", "version", "published_at"), releases.where("part % 7 = 3"))
 
 
-@query("""WITH a AS (SELECT l_partkey AS name, CAST(max(l_linenumber) AS VARCHAR) AS r FROM lineitem WHERE l_orderkey % 2 = 0 AND l_partkey < 500 GROUP BY 1), b AS (SELECT l_partkey AS name, CAST(max(l_linenumber) AS VARCHAR) AS r FROM lineitem WHERE l_orderkey % 2 = 1 AND l_partkey < 500 GROUP BY 1)
+@query("""WITH a AS (SELECT l_partkey AS name, CAST(max(l_linenumber) AS VARCHAR) AS r FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT l_partkey AS name, CAST(max(l_linenumber) AS VARCHAR) AS r FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1)
 SELECT name, CASE WHEN b.r IS NULL THEN 'added' WHEN a.r IS NULL THEN 'removed' ELSE 'changed' END AS change, b.r AS range_before, a.r AS range_after FROM a FULL JOIN b USING (name) WHERE a.r IS DISTINCT FROM b.r""")
 def dependency_diff(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey < 500")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     side = lambda k: lines.where(F.col("l_orderkey") % 2 == k).groupBy(F.col("l_partkey").alias("name")).agg(F.max("l_linenumber").cast("string").alias("range"))
     return temporal.dependency_diff(side(0), side(1))
 
@@ -317,10 +318,10 @@ def exposure_timeline(spark, sf_dir):
     return incident.exposure_timeline(_spans(spark, sf_dir), view(spark, sf_dir, "epoch_list").withColumnRenamed("epoch", "instant"))
 
 
-@query(with_views([*GRAPH, "holds"], HELD + f"SELECT DISTINCT handle FROM held WHERE vt > {INSTANT} AND handle NOT IN (SELECT handle FROM held WHERE vf < {INSTANT})", True))
+@query(with_views([*GRAPH, "holds"], HELD + f"SELECT DISTINCT handle FROM held WHERE vt > {EARLY} AND handle NOT IN (SELECT handle FROM held WHERE vf < {EARLY})", True))
 def new_publishers(spark, sf_dir):
     held = _held(spark, sf_dir)[1]
-    return publishers.new_publishers(held.where(F.col("vt") > INSTANT), held.where(F.col("vf") < INSTANT))
+    return publishers.new_publishers(held.where(F.col("vt") > EARLY), held.where(F.col("vf") < EARLY))
 
 
 CLOSURE = """, c(epoch, node, member) AS (SELECT epoch, dst, src FROM epoch_edges UNION SELECT c.epoch, c.node, e.src FROM c JOIN epoch_edges e ON e.epoch = c.epoch AND e.dst = c.member),
@@ -384,34 +385,61 @@ def typosquat_pairs(spark, sf_dir):
     return typosquat.candidates(view(spark, sf_dir, "names"))
 
 
-@query("""SELECT name, want AS folded FROM (VALUES ('cross-env', 'crossenv'), ('moderne', 'modeme'), ('@Babel/Core', '@babel/core'), ('l0dash', 'lodash'), ('vve_b.x', 'webx')) v(name, want)""")
-def name_normalize(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in ("cross-env", "moderne", "@Babel/Core", "l0dash", "vve_b.x")], "name string").select("name", text.fold_name(F.col("name")).alias("folded"))
+# Names as customers could spell them: a scope for every fifth, digits and letter pairs that look like others, separators.
+_SPELT = "concat(CASE WHEN c_custkey % 5 = 0 THEN '@Shop_1/' ELSE '' END, c_mktsegment, '-', CAST(c_custkey AS {text}), '_vvarn.', CAST(c_nationkey AS {text}))"
+_FOLDED = "replace(replace(replace(replace(replace(translate(lower({}), '013457', 'oleast'), 'rn', 'm'), 'vv', 'w'), '-', ''), '_', ''), '.', '')"
 
 
-_ORDERED = ["1.0.0-0", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "1.0.1", "1.1.0", "2.0.0"]
+@query(f"""WITH n AS (SELECT {_SPELT.format(text="VARCHAR")} AS name FROM customer)
+SELECT name, CASE WHEN contains(name, '/') THEN '@shop_1/' || {_FOLDED.format("split_part(name, '/', 2)")} ELSE {_FOLDED.format("name")} END AS folded FROM n""")
+def name_normalize(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.expr(_SPELT.format(text="STRING")).alias("name"))
+    return names.select("name", text.fold_name(F.col("name")).alias("folded"))
 
 
-@query("SELECT version, CAST(place AS BIGINT) AS place FROM (VALUES " + ", ".join(f"('{v}', {i + 1})" for i, v in enumerate(_ORDERED)) + ") v(version, place)")
+@query(with_views(["releases"], """, v AS (SELECT package, version, major, minor, patch, 1 AS final, 0 AS word, 0 AS n FROM releases
+  UNION ALL SELECT package, version || '-rc.' || (part % 11), major, minor, patch, 0, 1, part % 11 FROM releases UNION ALL SELECT package, version || '-beta', major, minor, patch, 0, 0, 0 FROM releases)
+SELECT package, version, row_number() OVER (PARTITION BY package ORDER BY major, minor, patch, final, word, n) AS place FROM v"""))
 def semver_order(spark, sf_dir):
     from pyspark.sql import Window
 
-    rows = spark.createDataFrame([(v,) for v in reversed(_ORDERED)], "version string")
-    return rows.select("version", F.row_number().over(Window.orderBy(semver.version_key(F.col("version")))).cast("long").alias("place"))
+    releases = view(spark, sf_dir, "releases")
+    spelt = F.explode(F.array("version", F.concat("version", F.lit("-rc."), F.col("part") % 11), F.concat("version", F.lit("-beta"))))
+    place = F.row_number().over(Window.partitionBy("package").orderBy(semver.version_key(F.col("version"))))
+    return releases.select("package", spelt.alias("version")).select("package", "version", place.cast("long").alias("place"))
+
 
+#: Range texts made of a release's own numbers, and what they mean for another release in SQL.
+_RANGES = {
+    "^{a}.{b}.{c}": "(x.major, x.minor, x.patch) >= (r.major, r.minor, r.patch) AND x.major = r.major AND (r.major > 0 OR x.minor = r.minor) AND (r.major > 0 OR r.minor > 0 OR x.patch = r.patch)",
+    "~{a}.{b}.{c}": "x.major = r.major AND x.minor = r.minor AND x.patch >= r.patch",
+    ">{a}.{b}": "(x.major, x.minor) > (r.major, r.minor)",
+    "<={a}.{b}.{c}": "(x.major, x.minor, x.patch) <= (r.major, r.minor, r.patch)",
+    "{a}.x": "x.major = r.major",
+    "<{a}.{b}.{c} || >={a}.{b}.{c} <{a}.{b}.99": "(x.major, x.minor, x.patch) < (r.major, r.minor, 99)",
+    "0.{b}.{c} - {a}": "(x.major, x.minor, x.patch) >= (0, r.minor, r.patch) AND x.major <= r.major",
+}
 
-# Answers by the published range rules.
-_SATISFIES = [
-    ("^1.2.3", "1.9.0", True), ("^1.2.3", "2.0.0", False), ("^1.2.3", "2.0.0-alpha", False), ("^0.2.3", "0.2.9", True), ("^0.2.3", "0.3.0", False), ("^0.0.3", "0.0.4", False), ("~1.2", "1.2.9", True), ("~1.2", "1.3.0", False),
-    ("1.x", "1.4.2", True), (">1.2", "1.2.9", False), (">1.2", "1.3.0", True), ("<=1.2", "1.2.9", True), ("1.2.3 - 2.3", "2.3.9", True), ("1.2.3 - 2.3", "2.4.0", False), (">=1.0.0-rc.1", "1.0.0-rc.2", True),
-    (">=1.0.0-rc.1", "1.1.0-rc.2", False), ("*", "1.0.0-beta", False), (">= 2.1.2 < 3.0.0", "2.5.0", True), ("<1.0.0 || >=2.0.0", "2.1.0", True), ("<1.0.0 || >=2.0.0", "1.5.0", False), ("=1.0.0", "v1.0.0", True), ("latest", "9.9.9", True),
-]
 
+def _ranges(cut: str) -> list[str]:
+    """SQL for each range text; `cut` turns a number into text."""
+    import re
 
-@query('SELECT "range", version, ok AS satisfied FROM (VALUES ' + ", ".join(f"('{r}', '{v}', {str(s).lower()})" for r, v, s in _SATISFIES) + ') v("range", version, ok)')
+    number = {"a": "major", "b": "minor", "c": "patch"}
+    return ["concat(" + ", ".join(cut.format(number[m[1]]) if m[1] else f"'{m[0]}'" for m in re.finditer(r"\{(.)\}|[^{]+", t)) + ")" for t in _RANGES]
+
+
+@query(with_views(["releases"], ", pair AS (SELECT *, lag(part) OVER (PARTITION BY package ORDER BY published_at, part) AS other FROM releases), "
+    + "tried AS (" + " UNION ALL ".join(f"""SELECT {text_.replace("(major", "(r.major").replace("(minor", "(r.minor").replace("(patch", "(r.patch")} AS "range", x.version, {means} AS satisfied FROM pair x JOIN releases r ON r.part = x.other""" for text_, means in zip(_ranges("CAST({} AS VARCHAR)"), _RANGES.values(), strict=True)) + """)
+SELECT DISTINCT "range", version, satisfied FROM tried"""))
 def semver_satisfies(spark, sf_dir):
-    rows = spark.createDataFrame([(r, v) for r, v, _ in _SATISFIES], "range string, version string")
-    return semver.parse_ranges(rows, "range").select("range", "version", semver.satisfies(semver.version_key(F.col("version")), F.col("parsed")).alias("satisfied"))
+    from pyspark.sql import Window
+
+    releases = view(spark, sf_dir, "releases")
+    texts = releases.select("part", F.explode(F.array(*map(F.expr, _ranges("CAST({} AS STRING)")))).alias("range"))
+    earlier = F.lag("part").over(Window.partitionBy("package").orderBy("published_at", "part"))
+    pairs = releases.select("version", earlier.alias("part")).join(texts, "part").select("range", "version").distinct()
+    return semver.parse_ranges(pairs, "range").select("range", "version", semver.satisfies(semver.version_key(F.col("version")), F.col("parsed")).alias("satisfied"))
 
 
 @query(with_views(["releases"], """, r AS (SELECT * FROM (VALUES ('^1.0.0'), ('~2.3'), ('<3.0.0'), ('*')) v(rng))
@@ -422,67 +450,106 @@ def semver_max(spark, sf_dir):
     return rows.groupBy("package", "range").agg(semver.max_satisfying(F.col("key"), F.col("version"), F.col("parsed")).alias("version"))
 
 
-_NPM = """{"name":"app","lockfileVersion":3,"packages":{"":{"name":"app","dependencies":{"lodash":"^4"},"devDependencies":{"jest":"*"}},"node_modules/lodash":{"version":"4.17.21"},"node_modules/jest":{"version":"29.0.0","dev":true},
-"node_modules/jest/node_modules/lodash":{"version":"3.0.0","dev":true},"node_modules/local":{"link":true},"node_modules/@a/b":{"version":"1.0.0"}}}"""
-_NPM1 = """{"name":"old","lockfileVersion":1,"dependencies":{"a":{"version":"1.0.0","dependencies":{"b":{"version":"2.0.0","dev":true}}},"b":{"version":"1.0.0"}}}"""
-_PNPM = "lockfileVersion: '9.0'\n\nimporters:\n  .:\n    dependencies:\n\npackages:\n  /lodash/4.17.21:\n    resolution: {}\n  '@babel/core@7.24.7':\n  /react@18.2.0(x@1.0.0):\n  link:\n\nsnapshots:\n  left@1.0.0:\n"
-_YARN = '# yarn lockfile v1\n\nlodash@^4.17.20, lodash@^4:\n  version "4.17.21"\n\n"@x/cli@npm:@babel/cli@7.27.1":\n  version: 7.27.1\n\n"me@workspace:.":\n  version: 0.0.0-use.local\n\n"@babel/core@^7.0.0":\n  version "7.1.0"\n'
+# A lock file for each order: its parts are the packages, their suppliers give the versions. Line 1 is declared by the
+# project, even lines are for development.
+_LOCKED = """WITH l AS (SELECT o_orderkey AS o, l_partkey AS p, min(l_linenumber) AS n, min(l_suppkey) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT concat('o', o, '/{}') AS path, concat({}, 'part-', p) AS name, concat(s, '.', n, '.0') AS version, {} AS direct, {} AS dev FROM l"""
 
 
-def _pins_sql(rows):
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{n}', '{v}', {str(d).lower()}, {str(e).lower()})" for p, n, v, d, e in rows) + ") v(path, name, version, direct, dev)"
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.groupBy(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).agg(F.min("l_linenumber").alias("n"), F.min("l_suppkey").alias("s")).withColumn("version", F.concat_ws(".", "s", "n", F.lit("0")))
 
 
-def _locked(spark, *files):
-    return lockfiles.parse(spark.createDataFrame(list(files), "path string, content string"))
+def _files(lines: DataFrame, name: str, head: str, body: Column, tail: str = "") -> DataFrame:
+    """A file for each order: a head, its lines in order, a tail."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "p", body.alias("text")))), lambda x: x["text"]), "")
+    return lines.groupBy("o").agg(F.concat(F.lit(head), whole, F.lit(tail)).alias("content")).select(F.concat(F.lit("o"), "o", F.lit(f"/{name}")).alias("path"), "content")
 
 
-@query(_pins_sql([("package-lock.json", "lodash", "4.17.21", True, False), ("package-lock.json", "jest", "29.0.0", True, True), ("package-lock.json", "lodash", "3.0.0", False, True), ("package-lock.json", "@a/b", "1.0.0", False, False),
-                  ("old/package-lock.json", "a", "1.0.0", True, False), ("old/package-lock.json", "b", "2.0.0", False, True), ("old/package-lock.json", "b", "1.0.0", True, False)]))
+@query(_LOCKED.format("package-lock.json", "''", "n = 1", "n % 2 = 0"))
 def lockfile_npm(spark, sf_dir):
-    return _locked(spark, ("package-lock.json", _NPM), ("old/package-lock.json", _NPM1))
-
-
-@query(_pins_sql([("pnpm-lock.yaml", "lodash", "4.17.21", False, False), ("pnpm-lock.yaml", "@babel/core", "7.24.7", False, False), ("pnpm-lock.yaml", "react", "18.2.0", False, False)]))
+    # odd orders as flat maps with a root entry, even ones as nested trees, as old files have them
+    lines = _lines(spark, sf_dir)
+    name = F.concat(F.lit("part-"), "p")
+    entry = F.struct("version", (F.col("n") % 2 == 0).alias("dev"))
+    below = lambda top: F.map_from_entries(F.collect_list(F.when((F.col("n") == 1) == top, F.struct(name, entry))))
+    flat = lines.where("o % 2 = 1").groupBy("o").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("node_modules/"), name), entry))).alias("all"), F.map_from_entries(F.collect_list(F.when(F.col("n") == 1, F.struct(name, F.lit("*").alias("range"))))).alias("declared")
+    )
+    packages = F.concat(F.lit('{"name":"x","packages":{"":{"dependencies":'), F.to_json("declared"), F.lit("},"), F.substr(F.to_json("all"), F.lit(2)), F.lit("}"))
+    # everything but line 1 hangs under an entry without a version, which is no pin
+    nested = lines.where("o % 2 = 0").groupBy("o").agg(below(True).alias("top"), below(False).alias("deep"))
+    inner = F.concat(F.lit('"holder":{"dependencies":'), F.to_json("deep"), F.lit("}"))
+    tree = F.concat(F.lit('{"name":"x","dependencies":{'), inner, F.when(F.size("top") > 0, F.concat(F.lit(","), F.substr(F.to_json("top"), F.lit(2)))).otherwise("}"), F.lit("}"))
+    path = F.concat(F.lit("o"), "o", F.lit("/package-lock.json")).alias("path")
+    return lockfiles.parse(flat.select(path, packages.alias("content")).unionByName(nested.select(path, tree.alias("content"))))
+
+
+@query(_LOCKED.format("pnpm-lock.yaml", "CASE WHEN p % 3 = 0 THEN '@shop/' ELSE '' END", "false", "false"))
 def lockfile_pnpm(spark, sf_dir):
-    return _locked(spark, ("pnpm-lock.yaml", _PNPM))
+    # each key in one of the three forms, some with peers in brackets
+    scope = F.when(F.col("p") % 3 == 0, "@shop/").otherwise("")
+    name, v = F.concat(scope, F.lit("part-"), "p"), F.col("version")
+    key = F.when(F.col("n") == 1, F.concat(F.lit("  /"), name, F.lit("/"), v)).when(F.col("n") == 2, F.concat(F.lit("  '"), name, F.lit("@"), v, F.lit("'"))).otherwise(F.concat(F.lit("  /"), name, F.lit("@"), v, F.lit("(peer@9.9.9)")))
+    return lockfiles.parse(_files(_lines(spark, sf_dir), "pnpm-lock.yaml", "lockfileVersion: '6.0'\n\npackages:\n", F.concat(key, F.lit(":\n    resolution: {integrity: none}\n")), "\nsnapshots:\n  other@1.0.0:\n"))
 
 
-@query(_pins_sql([("yarn.lock", "lodash", "4.17.21", False, False), ("yarn.lock", "@babel/cli", "7.27.1", False, False), ("yarn.lock", "@babel/core", "7.1.0", False, False)]))
+@query(_LOCKED.format("yarn.lock", "''", "false", "false"))
 def lockfile_yarn(spark, sf_dir):
-    return _locked(spark, ("yarn.lock", _YARN))
+    # classic entries, aliases, and entries of the workspace itself, which are no pins
+    name, v = F.concat(F.lit("part-"), "p"), F.col("version")
+    classic = F.concat(name, F.lit("@^1, "), name, F.lit("@*:\n  version \""), v, F.lit("\"\n  resolved none\n\n"))
+    alias = F.concat(F.lit('"other-'), "p", F.lit("@npm:"), name, F.lit('@1":\n  version: '), v, F.lit("\n\n"))
+    own = F.concat(F.lit('"here-'), "p", F.lit('@workspace:x":\n  version: 1.0.0\n\n'))
+    return lockfiles.parse(_files(_lines(spark, sf_dir), "yarn.lock", "# lock file\n\n", F.when(F.col("n") % 2 == 0, F.concat(alias, own)).otherwise(classic)))
 
 
-@query("SELECT * FROM (VALUES ('1.0.0', CAST(1577836800 AS BIGINT), false), ('2.0.0', CAST(0 AS BIGINT), true)) v(version, published_at, deprecated)")
+@query(with_views(["releases"], " SELECT package, version, CASE WHEN part % 4 = 0 THEN 0 ELSE published_at END AS published_at, part % 3 = 0 AS deprecated FROM releases"))
 def timeline_feed(spark, sf_dir):
-    doc = '{"versions":[{"versionKey":{"version":"1.0.0"},"publishedAt":"2020-01-01T00:00:00Z"},{"versionKey":{"version":"2.0.0"},"isDeprecated":true}]}'
-    return feeds.timeline(spark.createDataFrame([("p", doc)], "package string, content string")).drop("package")
+    listed = F.struct(F.struct("version").alias("versionKey"), F.when(F.col("part") % 4 != 0, F.concat(F.date_format(F.timestamp_seconds("published_at"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("publishedAt"), F.when(F.col("part") % 3 == 0, F.lit(True)).alias("isDeprecated"))
+    return feeds.timeline(view(spark, sf_dir, "releases").groupBy("package").agg(F.to_json(F.struct(F.collect_list(listed).alias("versions"))).alias("content")))
 
 
-@query("SELECT * FROM (VALUES ('a', '1.0.0', '^1', true), ('b', '2.0.0', '*', false)) v(name, resolved, \"range\", direct)")
+@query("""WITH l AS (SELECT l_orderkey AS o, l_partkey AS p, min(l_linenumber) AS n FROM lineitem GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n, p) AS place, lag(p) OVER (PARTITION BY o ORDER BY n, p) AS before FROM l)
+SELECT concat('order-', o) AS package, CASE WHEN place = 1 THEN concat('order-', o) ELSE concat('part-', before) END AS from_name, concat('part-', p) AS name, concat('1.', n, '.0') AS resolved, concat('^', n) AS "range", place = 1 AS direct FROM k""")
 def dependency_feed(spark, sf_dir):
-    doc = '{"nodes":[{"versionKey":{"name":"p","version":"1.0.0"},"relation":"SELF"},{"versionKey":{"name":"a","version":"1.0.0"},"relation":"DIRECT"},{"versionKey":{"name":"b","version":"2.0.0"},"relation":"INDIRECT"}],"edges":[{"fromNode":0,"toNode":1,"requirement":"^1"},{"fromNode":1,"toNode":2,"requirement":"*"}]}'
-    return feeds.dependencies(spark.createDataFrame([("p", "1.0.0", doc)], "package string, version string, content string")).select("name", "resolved", "range", "direct")
-
-
-@query("SELECT * FROM (VALUES ('x', '1.0.0', 'ann', true, false), ('y', '1.0.0', 'bob', false, true)) v(name, version, published_by, has_provenance, has_install_script)")
+    # every order's parts as a chain below the order itself
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).agg(F.min("l_linenumber").alias("n"))
+    chain = lines.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("n", "p"))).alias("parts"))
+    node = lambda name, version, relation: F.struct(F.struct(name.alias("name"), version.alias("version")).alias("versionKey"), F.lit(relation).alias("relation"))
+    own = F.array(node(F.concat(F.lit("order-"), "o"), F.lit("1.0.0"), "SELF"))
+    nodes = F.concat(own, F.transform("parts", lambda x: node(F.concat(F.lit("part-"), x["p"]), F.concat(F.lit("1."), x["n"], F.lit(".0")), "DIRECT")))
+    edges = F.transform("parts", lambda x, i: F.struct(i.alias("fromNode"), (i + 1).alias("toNode"), F.concat(F.lit("^"), x["n"]).alias("requirement")))
+    docs = chain.select(F.concat(F.lit("order-"), "o").alias("package"), F.lit("1.0.0").alias("version"), F.to_json(F.struct(nodes.alias("nodes"), edges.alias("edges"))).alias("content"))
+    return feeds.dependencies(docs).select("package", "from_name", "name", "resolved", "range", "direct")
+
+
+@query("""SELECT concat('part-', p_partkey) AS name, concat('1.', p_size, '.0') AS version, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE lower(p_brand) END AS published_by,
+  p_size % 2 = 0 AS has_provenance, p_size % 5 = 0 AS has_install_script FROM part""")
 def version_document_feed(spark, sf_dir):
-    docs = [
-        '{"name":"x","version":"1.0.0","_npmUser":{"name":"GitHub Actions","approver":{"name":"ann"}},"dist":{"attestations":{"provenance":{"predicateType":"slsa"}}},"maintainers":[{"name":"ann"}]}',
-        '{"name":"y","version":"1.0.0","_npmUser":{"name":"bob"},"scripts":{"postinstall":"node x"},"dist":{}}',
-    ]
-    return feeds.version_documents(spark.createDataFrame([(d,) for d in docs], "content string")).drop("maintainers")
+    # an approver counts before the account that published
+    brand, kind, key = F.lower("p_brand"), F.lower("p_type"), F.col("p_partkey")
+    user = F.when(key % 3 != 0, F.struct(F.when(key % 2 == 0, "a robot").otherwise(brand).alias("name"), F.when(key % 2 == 0, F.struct(kind.alias("name"))).alias("approver")))
+    dist = F.struct(F.when(F.col("p_size") % 2 == 0, F.struct(F.struct(F.lit("built").alias("predicateType")).alias("provenance"))).alias("attestations"))
+    scripts = F.when(F.col("p_size") % 5 == 0, F.create_map(F.element_at(F.array(*map(F.lit, ("preinstall", "install", "postinstall"))), (key % 3 + 1).cast("int")), F.lit("run"))).otherwise(F.create_map(F.lit("test"), F.lit("run")))
+    doc = F.struct(F.concat(F.lit("part-"), key).alias("name"), F.concat(F.lit("1."), "p_size", F.lit(".0")).alias("version"), user.alias("_npmUser"), dist.alias("dist"), scripts.alias("scripts"))
+    return feeds.version_documents(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.to_json(doc).alias("content"))).drop("maintainers")
 
 
-@query("SELECT * FROM (VALUES ('2026-01-01T00:00:00Z', CAST(1767225600 AS BIGINT)), ('2026-01-01T02:00:00+02:00', CAST(1767225600 AS BIGINT)), ('nonsense', CAST(0 AS BIGINT)), ('2026-01-01', CAST(0 AS BIGINT))) v(written, seconds)")
+@query("""SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE epoch(o_orderdate) - CASE WHEN o_orderkey % 5 = 1 THEN 7200 WHEN o_orderkey % 5 = 2 THEN -19800 ELSE 0 END END AS BIGINT) AS seconds FROM orders""")
 def rfc3339_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(w,) for w in ("2026-01-01T00:00:00Z", "2026-01-01T02:00:00+02:00", "nonsense", "2026-01-01")], "written string")
-    return rows.select("written", text.rfc3339_seconds(F.col("written")).alias("seconds"))
+    # in UTC, with a fraction, east and west of it, and no such time at all
+    bare, key = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.col("o_orderkey") % 5
+    written_ = F.when(key == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(key == 1, F.concat(bare, F.lit("+02:00"))).when(key == 2, F.concat(bare, F.lit("-05:30"))).when(key == 3, F.concat(bare, F.lit(".000Z"))).otherwise(F.concat(bare, F.lit("Z")))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.rfc3339_seconds(written_).alias("seconds"))
 
 
-@query("SELECT CAST(epoch(d) AS BIGINT) AS epoch FROM (VALUES (DATE '2025-10-01'), (DATE '2026-01-01'), (DATE '2026-04-01'), (DATE '2026-07-01')) v(d)")
+@query("SELECT CAST(epoch(date_trunc('quarter', m) - to_months(CAST(3 * i AS INTEGER))) AS BIGINT) AS epoch FROM (SELECT max(o_orderdate) AS m FROM orders), range(8) t(i)")
 def epochs_quarterly(spark, sf_dir):
-    return temporal.epochs(spark, 4, "2026-08-15")
+    last = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd")).first()[0]
+    return temporal.epochs(spark, 8, last)
 
 
 @query(with_views(["holds", "shipped"], """, a AS (SELECT package AS part, count(*) AS n FROM holds GROUP BY 1), b AS (SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: {seconds:x} is the epoch second of a timestamp.
 VIEWS = {
+    # in every order each part depends on the next one for thirty days
     "dep_edges": """
-        SELECT DISTINCT src, dst, vf, vf + 15552000 AS vt FROM (
+        SELECT DISTINCT src, dst, vf, vf + 2592000 AS vt FROM (
           SELECT p AS src, lead(p) OVER (PARTITION BY o ORDER BY p) AS dst, vf FROM (
-            SELECT DISTINCT o_orderkey AS o, l_partkey AS p, {seconds:o_orderdate} AS vf FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-            WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') x) y WHERE dst IS NOT NULL""",
+            SELECT DISTINCT o_orderkey AS o, l_partkey AS p, {seconds:o_orderdate} AS vf FROM orders JOIN lineitem ON l_orderkey = o_orderkey) x) y WHERE dst IS NOT NULL""",
     "holds": """
         SELECT l_suppkey AS handle, l_partkey AS package, min({seconds:l_shipdate}) AS vf, max({seconds:l_shipdate}) AS vt FROM lineitem
         GROUP BY l_suppkey, l_partkey HAVING count(DISTINCT l_shipdate) >= 2""",
-    "sources": "SELECT DISTINCT src AS node, CAST(0 AS BIGINT) AS vf, CAST(4102444800 AS BIGINT) AS vt FROM dep_edges WHERE src < 20",
+    # one project's own dependencies: the parts of a brand
+    "sources": "SELECT p_partkey AS node, CAST(0 AS BIGINT) AS vf, CAST(4102444800 AS BIGINT) AS vt FROM part WHERE p_brand = 'Brand#1'",
     "shipped": "SELECT l_partkey, min({seconds:l_shipdate}) AS published_at FROM lineitem GROUP BY l_partkey",
     "releases": """
         SELECT p_brand AS package, concat(CAST(p_size % 4 AS VARCHAR(9)), '.', CAST(CAST(floor(p_partkey / 25.0) AS BIGINT) AS VARCHAR(19)), '.', CAST(p_partkey % 25 AS VARCHAR(9))) AS version,
@@ -22,7 +23,8 @@ VIEWS = {
         FROM part JOIN shipped ON l_partkey = p_partkey""",
     "observations": "SELECT DISTINCT event_type AS package, {seconds:date_trunc('day', ts)} AS ob, user_id AS handle FROM events",
     "locks": "SELECT DISTINCT o_custkey AS project, l_partkey AS node, {seconds:o_orderdate} AS locked_at FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
-    "names": "SELECT c_name AS name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer",
+    # popularity: place among the customers of a nation by account balance
+    "names": "SELECT c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) * 25 + c_nationkey AS rank FROM customer",
     "sampled": """
         SELECT DISTINCT l_partkey AS package, {seconds:l_shipdate} AS published_at, l_suppkey AS published_by,
                CASE l_linenumber % 3 WHEN 1 THEN true WHEN 2 THEN false END AS has_provenance, l_quantity > 40 AS has_install_script FROM lineitem""",
@@ -30,7 +32,7 @@ VIEWS = {
     "epoch_edges": "SELECT DISTINCT epoch, src, dst FROM dep_edges JOIN epoch_list ON vf <= epoch AND epoch < vt",
 }
 #: Views that a view reads.
-NEEDS = {"sources": ["dep_edges"], "releases": ["shipped"], "epoch_edges": ["dep_edges", "epoch_list"]}
+NEEDS = {"releases": ["shipped"], "epoch_edges": ["dep_edges", "epoch_list"]}
 TABLES = ("lineitem", "orders", "part", "events", "customer")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,17 +28,32 @@ def spans(df):
     return sorted((r["node"], r["vf"], r["vt"]) for r in df.collect() if r["node"] != "app")
 
 
-@pytest.mark.parametrize(
-    "edges,want",
-    [
-        ([("app", "A", 1, 6), ("A", "B", 8, 12)], [("A", 1, 6)]),
-        ([("app", "A", 1, 8), ("A", "B", 6, 12)], [("A", 1, 8), ("B", 6, 8)]),
-        ([("app", "A", 1, 2), ("A", "T", 10, 12), ("app", "C", 1, 12), ("C", "T", 2, 6)], [("A", 1, 2), ("C", 1, 12), ("T", 2, 6)]),
-        ([("app", "A", 0, OPEN), ("A", "B", 0, OPEN), ("B", "A", 0, OPEN)], [("A", 0, OPEN), ("B", 0, OPEN)]),
-    ],
-)
-def test_coexistence(spark, edges, want):
-    assert spans(reach.coexistence_reach(graph(spark, *edges), app(spark), depth=50)) == want
+def live_reach(edges, depth=50, horizon=40):
+    """Brute force: which nodes `app` reaches at each instant."""
+    out = {}
+    for t in range(horizon):
+        near, level = {"app"}, {"app"}
+        for _ in range(depth):
+            level = {b for a, b, vf, vt in edges if a in level and vf <= t < vt} - near
+            near |= level
+        for n in near - {"app"}:
+            out.setdefault(n, set()).add(t)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_coexistence_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    nodes = ["app", *"PQRSTUV"]
+    edges = []
+    for _ in range(rng.randint(6, 25)):
+        vf = rng.randrange(30)
+        edges.append((rng.choice(nodes), rng.choice(nodes[1:]), vf, vf + rng.randint(1, 10)))
+    got = {}
+    for n, vf, vt in spans(reach.coexistence_reach(graph(spark, *edges), app(spark), depth=50)):
+        assert not got.get(n, set()) & set(range(vf - 1, vt + 1))  # maximal intervals never touch
+        got.setdefault(n, set()).update(range(vf, vt))
+    assert got == live_reach(edges)
 
 
 def test_phantoms_depth_and_truncation(spark):
@@ -49,17 +66,27 @@ def test_phantoms_depth_and_truncation(spark):
     assert [f.count() for f in reach.frontiers(chain, app(spark))] == [1, 1, 1, 1]
 
 
-@pytest.mark.parametrize("t,want", [(0, set()), (1, {"A"}), (2, {"A", "B"}), (8, set())])
-def test_reach_at_an_instant(spark, t, want):
-    edges = graph(spark, ("app", "A", 1, 6), ("A", "B", 2, 12))
-    assert {r["node"] for r in reach.reached_at(reach.coexistence_reach(edges, app(spark), within=intervals.at(t)), t).collect()} - {"app"} == want
+@pytest.mark.parametrize("t", [3, 11, 17])
+def test_reach_at_an_instant(spark, t):
+    rng = random.Random(t)
+    edges = [(a, b, vf := rng.randrange(20), vf + 9) for a, b in [("app", "P"), ("P", "Q"), ("app", "R"), ("R", "Q"), ("Q", "S"), ("S", "P")]]
+    got = reach.reached_at(reach.coexistence_reach(graph(spark, *edges), app(spark), within=intervals.at(t)), t)
+    assert {r["node"] for r in got.collect()} - {"app"} == {n for n, when in live_reach(edges).items() if t in when}
 
 
-def test_cuts_of_a_diamond(spark):
-    edges = graph(spark, *((a, b, 0, OPEN) for a, b in (("app", "A"), ("app", "B"), ("A", "C"), ("B", "C"), ("A", "D"))))
-    held = spark.createDataFrame([("alice", "A"), ("bob", "B"), ("dave", "A"), ("dave", "B"), ("root", "app")], "handle string, package string")
-    rows = publishers.cuts(edges, app(spark), reach.coexistence_reach(edges, app(spark)), held).collect()
-    assert {r["handle"]: (r["lost"], r["beyond"]) for r in rows} == {"alice": (2, 1), "bob": (1, 0), "dave": (4, 2), "root": (5, 4)}
+def test_cuts_equal_searches_without_the_packages(spark):
+    rng = random.Random(6)
+    names = ["app", *"KLMNOP"]
+    edges = [(rng.choice(names), rng.choice(names[1:]), vf := rng.randrange(20), vf + rng.randint(3, 12)) for _ in range(16)]
+    held = {"ines": {"K"}, "jon": {"L", "M"}, "kim": {"N"}, "lou": {"app"}}
+    base = set(live_reach(edges)) | {"app"}
+    rows = publishers.cuts(graph(spark, *edges), app(spark), reach.coexistence_reach(graph(spark, *edges), app(spark)), spark.createDataFrame([(h, p) for h, ps in held.items() for p in ps], "handle string, package string")).collect()
+    want = {}
+    for h, out in held.items():
+        left = set() if "app" in out else set(live_reach([e for e in edges if not {e[0], e[1]} & out])) | {"app"}
+        if out & base:
+            want[h] = (len(base - left), len(base - left - out))
+    assert {r["handle"]: (r["lost"], r["beyond"]) for r in rows} == want
 
 
 def test_proof_paths_need_an_edge_and_one_instant(spark):
@@ -102,7 +129,7 @@ def test_risk_scales_known_terms(spark, known, want):
 
 
 def test_versions_that_do_not_parse(spark):
-    bad = ["", "1", "1.2", "1.2.3.4", "a.b.c", "01.2.3", "1.02.3", "1.2.3-", "1.2.3-a..b", "1.2.3-.a", "1.2.3-a.", "99999999999999999999.0.0"]
+    bad = [" ", "7", "4.9", "3.1.4.1", "x.y.z", "3.00.1", "007.0.1", "2.7.1-", "2.7.1-b..c", "2.7.1-.q", "2.7.1-q.", "2.7.-1", "30000000000000000000.1.1"]
     good = [" v1.2.3 ", "=1.2.3", "1.2.3+b", "1.2.3-a+b-c", "18446744073709551615.0.0"]
     rows = spark.createDataFrame([(v,) for v in bad + good], "v string").select("v", semver.version_key(F.col("v")).alias("k")).collect()
     assert [r["v"] for r in rows if r["k"] is None] == bad
@@ -113,22 +140,30 @@ def test_range_texts(written, parsed):
     assert semver.parse_range_text(written) == parsed
 
 
-WINDOWS = [
-    ([("1.0.0", 1000), ("1.5.0", 2000), ("1.1.0", 3000)], 0, [("1.0.0", 1000, 2000), ("1.5.0", 2000, OPEN)]),
-    ([("1.0.0", 1000), ("1.1.0", 2000), ("1.2.0", 4000)], 3000, [("1.1.0", 3000, 4000), ("1.2.0", 4000, OPEN)]),
-    ([("1.2.0", 1000), ("1.1.0", 1000)], 0, [("1.2.0", 1000, OPEN)]),
-    ([("2.0.0", 1000), ("1.0.0", 0)], 0, []),
-]
-
-
-@pytest.mark.parametrize("releases,declared,want", WINDOWS)
-def test_resolution_windows(spark, releases, declared, want):
-    r = spark.createDataFrame([("p", v, t) for v, t in releases], "package string, version string, published_at long")
-    d = spark.createDataFrame([("d", "p", "^1.0.0", declared), ("x", "p", "git+x", 0), ("n", "q", "*", 0)], "declaration string, package string, range string, declared_at long")
-    w = temporal.resolution_windows(d, r)
-    assert sorted((x["version"], x["vf"], x["vt"]) for x in w.where("declaration = 'd'").collect()) == want
-    counts = {x["status"]: x["declarations"] for x in temporal.resolution_counts(d, r, w).collect()}
-    assert counts == {"no timeline": 1, "unparseable": 1, ("resolved" if want else "unsatisfied"): 1}
+@pytest.mark.parametrize("seed", range(3))
+def test_resolution_windows_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    releases = [(f"{rng.randint(1, 2)}.{rng.randint(0, 4)}.{rng.randint(0, 4)}", rng.choice([0, *range(10, 60, 5)])) for _ in range(14)]
+    releases = list({v: (v, t) for v, t in releases}.values())
+    for declared in (0, 32):
+        key = lambda v: tuple(map(int, v.split(".")))
+        want = []
+        for t in range(10, 80):  # the best release of major 1 that is out at each instant
+            out = [v for v, at in releases if 0 < at <= t and key(v)[0] == 1]
+            if out and t >= declared:
+                best = max(out, key=key)
+                if want and want[-1][0] == best:
+                    want[-1][2] = t + 1
+                else:
+                    want.append([best, t, t + 1])
+        if want:
+            want[-1][2] = OPEN
+        r = spark.createDataFrame([("p", v, t) for v, t in releases], "package string, version string, published_at long")
+        d = spark.createDataFrame([("d", "p", "^1.0.0", declared), ("x", "p", "file:../y", 0), ("n", "q", "*", 0)], "declaration string, package string, range string, declared_at long")
+        w = temporal.resolution_windows(d, r)
+        assert sorted(([x["version"], x["vf"], x["vt"]] for x in w.where("declaration = 'd'").collect()), key=lambda x: x[1]) == want
+        counts = {x["status"]: x["declarations"] for x in temporal.resolution_counts(d, r, w).collect()}
+        assert counts == {"no timeline": 1, "unparseable": 1, ("resolved" if want else "unsatisfied"): 1}
 
 
 def test_spells_leave_and_return(spark):
@@ -220,3 +255,49 @@ def test_display_functions(spark):
         text.first_names(F.array(*map(F.lit, "xyz")), 2).alias("f"), text.package_of(F.lit("pkg:npm/@a/b@1.0.0")).alias("g"), text.severity_rank(F.lit("moderate")).alias("h"), text.package_of(F.lit("@a")).alias("i"),
     ).first()
     assert tuple(row) == ("-", "1970-01-02", "now", "abc...", "-", "x, y and 1 more", "pkg:npm/@a/b", 2, "")
+
+
+def test_incident_is_about_one_release(spark):
+    releases = spark.createDataFrame([("bad", "1.0.0", 10), ("bad", "1.1.0", 20), ("bad", "1.2.0", 30)], "package string, version string, published_at long")
+    affects = spark.createDataFrame([("A", "bad", "1.1.0"), ("B", "bad", "1.1.0"), ("C", "bad", "1.2.0"), ("D", "other", "1.1.0")], "osv_id string, package string, version string")
+    declared = spark.createDataFrame([("bad", "1.0.0", "x", "^1"), ("bad", "1.1.0", "x", "^1"), ("bad", "1.1.0", "miner", "*")], "package string, version string, name string, range string")
+    resolutions = graph(spark, ("dep@1", "pkg:npm/bad@1.1.0", 20, 30), ("dep@1", "pkg:npm/bad@1.2.0", 30, 99), ("far@1", "dep@1", 0, 99), ("dep@1", "pkg:npm/fine@1.0.0", 0, 99))
+    locks = spark.createDataFrame([("hit", "dep@1", 25), ("later", "dep@1", 35), ("deep", "far@1", 25)], "project string, node string, locked_at long")
+    maintains = spark.createDataFrame([("ann", "bad", 0, 99), ("ann", "also", 0, 99)], "handle string, package string, vf long, vt long")
+    pairs = spark.createDataFrame([("bad", "bed", 1, 3.0)], "popular string, lookalike string, distance long, popularity_ratio double")
+    severity = spark.createDataFrame([("A", "LOW"), ("B", "CRITICAL"), ("C", "HIGH")], "osv_id string, severity string")
+    found = audit.incident_report("bad", releases, affects, declared, resolutions, locks, maintains, pairs, 25, advisories=severity)
+    assert [r["version"] for r in found["first_affected"].collect()] == ["1.1.0"]
+    assert [r["osv_id"] for r in found["advisories"].collect()] == ["B", "A"]
+    assert [(r["name"], r["change"]) for r in found["dependency_changes"].collect()] == [("miner", "added")]
+    assert [r["project"] for r in found["resolved_while_live"].collect()] == ["hit"]
+    assert sorted(r["project"] for r in found["transitively_exposed"].collect()) == ["deep", "hit"]
+    assert [r["other"] for r in found["shared_maintainers"].collect()] == ["also"] and found["lookalikes"].count() == 1
+    other = audit.incident_report("bad", releases, affects, declared, resolutions, locks, maintains, pairs, 25, version="1.2.0")
+    assert [r["project"] for r in other["resolved_while_live"].collect()] == ["later"]
+
+
+def test_long_chains_are_not_cut_off(spark):
+    chain = spark.createDataFrame([(1, f"n{i:03}", f"n{i + 1:03}") for i in range(40)], "epoch long, src string, dst string")
+    got = {r["node"]: r["kri"] for r in observatory.kri_estimated(observatory.kri_sketches(chain)).collect()}
+    assert all(abs(got[f"n{i:03}"] - (i + 1)) <= 0.07 * (i + 1) for i in range(41))
+
+
+def test_ci_check_and_known_pins(spark):
+    roster = lambda *names: {"roster": spark.createDataFrame([(n,) for n in names], "handle string")}
+    affects = spark.createDataFrame([("A", "p", "1.0.0"), ("B", "p", "1.0.0"), ("C", "p", "2.0.0")], "osv_id string, package string, version string")
+    found = audit.ci_check(roster("ann", "bob"), roster("bob"), spark.createDataFrame([("p", "1.0.0")], "package string, version string"), affects)
+    assert [r["handle"] for r in found["new_publishers"].collect()] == ["ann"] and found["advisories"].first()["advisories"] == ["A", "B"]
+    versions = spark.createDataFrame([("u1", "p", "1.0.0", 5), ("u2", "q", "1.0.0", 0)], "urn string, name string, version string, published_at long")
+    pins = spark.createDataFrame([("p", "1.0.0"), ("q", "1.0.0"), ("z", "1.0.0")], "name string, version string")
+    assert sorted((r["node"], r["vf"], r["vt"]) for r in audit.known_pins(pins, versions).collect()) == [("u1", 5, OPEN), ("u2", 0, OPEN)]
+
+
+def test_search_events(spark):
+    import json
+
+    from kairograph.streaming import frontiers
+
+    frames = list(frontiers.events(graph(spark, ("app", "K", 1, 5), ("K", "L", 2, 9)), app(spark)))
+    rows = [json.loads(f.split("data: ")[1]) for f in frames]
+    assert [(r["layer"], r["node"]) for r in rows[:-1]] == [(0, "app"), (1, "K"), (2, "L")] and rows[-1] == {"rows": 3}

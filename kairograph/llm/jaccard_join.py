@@ -44,6 +44,8 @@ WORDS = 3
 SIMILARITY = (90, 100)
 SKETCH_BITS, CHUNK_BITS = 22, 16
 FILTER_BITS = 24
+#: Longest parity bitmap: every index entry carries its set's, so those of very long texts must stay small.
+PARITY_BITS = 1 << 11
 BLOCK = 512
 
 
@@ -72,7 +74,7 @@ def node_of(tokens: np.ndarray) -> int:
 def parity(tokens: np.ndarray) -> bytes:
     """Parity bitmap: each token flips one bit. Two sets differ by as many tokens as their bitmaps by bits, or more."""
     bits = 512
-    while bits < len(tokens) // 2 and bits < 1 << 20:
+    while bits < len(tokens) // 2 and bits < PARITY_BITS:
         bits *= 2
     flips = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
@@ -269,6 +271,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
         entries.groupBy("entry")
         .agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mixed"), F.min("n").alias("low"), F.max("n").alias("high"))
         .where("m > 1")
+        .where((F.col("m") > 2) | (F.col("low") * den >= F.col("high") * num))  # two sets of too different sizes can't be linked
         .groupBy("m", "total", "mixed")
         .agg(F.min("entry").alias("entry"))
     )

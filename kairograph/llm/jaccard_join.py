@@ -12,7 +12,9 @@ frequent class. A node's prefix holds its rarest tokens:
 Any two linked nodes share an index entry, for if the prefix of x ends first in the common order, what
 both share of it lies in the prefix of y. Entries with the same members are taken once; members are
 compared in blocks, first by size and parity bitmaps (which never exceed the real difference), then
-exactly. Links merge inside a task, so at most one row a member leaves it, and components follow.
+exactly. Candidates that hang together form clusters, and near copies stand in many that overlap: every node
+is first verified in its largest cluster, then only those whose members are neither all joined by then nor were
+all verified in one cluster. Links merge inside a task, so at most one row a member leaves it, and components follow.
 
 The sketch's counts only order the tokens; results don't depend on them. Node ids are 64-bit digests of
 the sets: two different sets are taken for one with odds of n * n / 2**65.
@@ -343,9 +345,20 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
             pairs = np.array(found, np.int64).reshape(len(found), 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["u", "v"])
 
-    sets = rows.mapInArrow(tidy(verbatim), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    links = live.join(sets, "node").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(tidy(verified), "u long, v long").distinct()
-    roots = connected_components(materialize(links, "links"))
+    sets = materialize(rows.mapInArrow(tidy(verbatim), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
+
+    def links_of(clusters: DataFrame) -> DataFrame:
+        held = clusters.join(sets, "node").repartition("cluster").sortWithinPartitions("cluster")
+        return materialize(held.mapInArrow(tidy(verified), "u long, v long").distinct(), "links")
+
+    sizes = live.groupBy("cluster").agg(F.count("*").alias("size"))
+    largest = F.max_by("cluster", F.struct("size", "cluster")).alias("cluster")
+    chosen = materialize(live.join(sizes, "cluster").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), largest), "chosen")
+    links = links_of(chosen)
+    done = chosen.select("node", F.col("cluster").alias("within")).join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("root", "within") for f in (F.min, F.max)]
+    undecided = live.select("cluster", "node").join(done, "node").groupBy("cluster").agg(*ends).where("min_root <> max_root AND min_within <> max_within").select("cluster")
+    roots = connected_components(links.unionByName(links_of(live.join(undecided, "cluster", "left_semi"))))
 
     facts = seen.where("node IS NOT NULL").select("doc_id", "n", "node")
     named = facts.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -358,5 +371,6 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
 
 def keep_first(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Rows of `docs`, all columns, whose doc_id names their component, and rows without doc_id."""
-    gone = join(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    # written first: Spark then knows the size of the ids before it decides whether whole texts must be shuffled to meet them
+    gone = materialize(join(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -20,6 +20,7 @@ table gives an empty table; other columns are not looked at, whatever their name
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -67,6 +68,7 @@ class Codec:
         self.core = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(self.special))
         self.pieces = regex.compile(PATTERN)
         self.first_edge, self.last_edge = regex.compile(EDGE), regex.compile(f"(?r){EDGE}")
+        self.long_run = re.compile(rf"\S{{{PIECE_BYTES // 4},}}|\s{{{PIECE_BYTES // 4},}}")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def decode(self, ids: np.ndarray) -> str:
@@ -82,6 +84,17 @@ class Codec:
         """Tokens of a text of bounded length, or of any length whose pieces are short."""
         return self.core.encode_to_numpy(text, disallowed_special=())
 
+    def straight(self, text: str) -> np.ndarray:
+        """Tokens of a text of any length in one go, special tokens' strings read as plain text; only pieces of more than
+        PIECE_BYTES characters, which take time by their square, are encoded as trees."""
+        return self.region(text) if self.long_run.search(text) else self.leaf(text)
+
+    def straight_whole(self, text: str) -> np.ndarray:
+        """The same with special tokens read as such."""
+        if not any(mark in text for mark in self.special):
+            return self.straight(text)
+        return np.concatenate([np.array([self.special[part]], np.uint32) if i % 2 else self.straight(part) for i, part in enumerate(self.stretches(text))])
+
     def region(self, text: str) -> np.ndarray:
         """Tokens of a text of any length: long pieces as trees of their own."""
         if len(text) <= PIECE_BYTES:

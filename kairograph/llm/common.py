@@ -50,11 +50,11 @@ def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: cuts the lineage and survives lost executors. options: the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import bpe, html_text, jaccard_join, mixing, mtree, multi_index, quality, secrets, toxicity, warc
+from kairograph.llm import bpe, html_text, jaccard_join, mixing, mtree, multi_index, packing, periodic, quality, secrets, token_alignment, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_recursive_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_array_html": op1_suffix_array_html,
     "op2_mtree_topk": op2_mtree_topk,
@@ -65,6 +77,9 @@ QUERIES = {
     "op8_additive_quality": op8_additive_quality,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_recursive_secrets": op10_recursive_secrets,
+    "op11_nnls_packing": op11_nnls_packing,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _OP4_SQL = r"""

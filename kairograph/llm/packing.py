@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, de
     if window < 2 or window & (window - 1) or depth not in (2, 3):
         raise ValueError("the window is a power of two, and a way has two or three pieces")
     spark = docs.sparkSession
-    found = materialize(cut(docs, tokenizer, window, end_id), "pieces", compression="zstd")
+    found = materialize(cut(docs, tokenizer, window, end_id), "pieces")
     by_task = materialize(found.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(window + 1, np.int64)
     for length, n in by_task.groupBy("length").agg(F.sum("n")).collect():  # at most `window` rows

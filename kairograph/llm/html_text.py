@@ -2,23 +2,18 @@
 
 A page becomes blocks in page order, and markup proposes what each is: text of the article (or main) element,
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments and the like), or open text that
-no markup tells about. The token streams of all pages of a host are concatenated into one array whose suffixes are
-ranked by prefix doubling (the rank of 2k tokens from the ranks of k and k); suffixes of the same rank at depth
-`least_words` share that many tokens. Every page takes part with all its blocks. What recurs is decided so:
-
-* a run outside articles that stands on two distinct pages of the host or more is boilerplate, and its tokens go;
-* a run inside an article goes if it is such boilerplate and also stands inside the articles of two distinct pages;
-  a run that only articles repeat is quoted or mirrored text and stays, and so does the source of a teaser, which
-  stands in one article only;
-* an article of which such runs would take more than half is mirrored as a whole and stays.
-
-The unique runs between stay, less what is furniture: the text is the article's, or on a page without one the open
-text. Pages with the same stream of tokens count as one page.
-
-Ranks are hashes of (host, tokens), so one shuffle groups them; only the smallest and largest stream of a rank are
-kept, combined before the shuffle, so a run on a third of all pages costs no more than any other. Ranks inside
-articles are looked up in those that recur outside and are shuffled only if found: in memory up to MOST_KEYS of
-them, by a join beyond.
+no markup tells about. What markup calls the article is the article, whole, whatever else repeats it: adverts and
+teasers quote articles, pages mirror them. On a page without such an element the host's suffix array decides what of
+the open text is boilerplate: the token streams of all pages of a host are concatenated, without articles, into one array
+whose suffixes are ranked by prefix doubling (the rank of 2k tokens from the ranks of k and k). Suffixes of the same rank at
+depth `least_words` share that many tokens; a run of open text that stands on two distinct pages of the host or more is
+covered by such suffixes, however long it is, and its tokens go. The unique runs between stay. Pages with the same
+stream of tokens count as one page.
+
+Ranks are hashes of (host, tokens), equal for equal runs but not in alphabetical order, which nothing here needs; so one
+shuffle groups them. Only the smallest and largest stream of a rank are kept, combined before the shuffle, so a run on a
+third of all pages costs no more than any other. Of the ranks that recur, pages look up their own: in memory up to
+MOST_KEYS of them, by a join beyond.
 
 Defined cases: null and empty html give an empty text; unclosed elements end with their parents; broken
 references stay as they stand; repeated rows give repeated rows; null urls share one nameless host; an
@@ -179,29 +174,29 @@ def suffix_ranks(words: list[str], depth: int) -> np.ndarray:
         rank, span = wider, span * 2
 
 
-def _stretches(kinds: list[int], counts: list[int]) -> list[tuple[bool, int, int]]:
-    """(inside the article, first token, last token + 1) of stretches of neighbouring blocks on one side of that line."""
-    out: list[tuple[bool, int, int]] = []
+def _stretches(kinds: list[int], counts: list[int]) -> list[tuple[int, int]]:
+    """(first token, last token + 1) of stretches of neighbouring blocks outside the article."""
+    out: list[tuple[int, int]] = []
     at = 0
     for kind, n in zip(kinds, counts, strict=True):
-        inside = kind == ARTICLE
-        if out and out[-1][0] == inside:
-            out[-1] = (inside, out[-1][1], at + n)
-        else:
-            out.append((inside, at, at + n))
+        if kind != ARTICLE:
+            if out and out[-1][1] == at:
+                out[-1] = (out[-1][0], at + n)
+            else:
+                out.append((at, at + n))
         at += n
     return out
 
 
-def _keyed(host: str, words: list[str], stretches: list[tuple[bool, int, int]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key (host and rank), first token and side of every suffix of a page that has `depth` tokens on its side."""
-    rank = suffix_ranks(words, depth)
-    at = [np.arange(a, b - depth + 1) for _, a, b in stretches if b - a >= depth]
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    inside = np.repeat([i for i, a, b in stretches if b - a >= depth], [len(x) for x in at])
-    place = np.concatenate(at)
-    return mix64(rank[place] ^ np.uint64(xxhash.xxh3_64_intdigest(host))).astype(np.int64), place, inside
+def _keyed(host: str, words: list[str], stretches: list[tuple[int, int]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key (host and rank) and first token of every suffix that has `depth` tokens outside the article."""
+    keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    own = np.uint64(xxhash.xxh3_64_intdigest(host))
+    for a, b in stretches:
+        rank = suffix_ranks(words[a:b], depth)
+        keys.append(mix64(rank ^ own).astype(np.int64))
+        places.append(np.arange(a, a + len(rank)))
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def _recurring(ranks: DataFrame) -> DataFrame:
@@ -217,21 +212,18 @@ def _among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def _kept(kinds: list[int], texts: list[str], gone: np.ndarray) -> tuple[str, int]:
-    """The page's text without the tokens that are gone, and how many tokens of all its blocks went."""
+    """The article's text, or on a page without one the open text less the tokens that are gone; and how many tokens of all its
+    blocks went."""
     article = ARTICLE in kinds
-    parts, at, lost = [], 0, 0
-    spans = []
+    parts, at = [], 0
     for kind, text in zip(kinds, texts, strict=True):
-        words = text.split(" ")
-        spans.append((kind, words, gone[at : at + len(words)]))
-        at += len(words)
-    if article and 2 * sum(int(g.sum()) for k, _, g in spans if k == ARTICLE) > sum(len(w) for k, w, _ in spans if k == ARTICLE):
-        spans = [(k, w, np.zeros(len(w), bool) if k == ARTICLE else g) for k, w, g in spans]  # mirrored as a whole
-    for kind, words, g in spans:
-        lost += int(g.sum())
-        if kind == (ARTICLE if article else OPEN):
-            parts += [" ".join(w for w, x in zip(words, g, strict=True) if not x)] if not g.all() else []
-    return " ".join(parts), lost
+        end = at + text.count(" ") + 1
+        if kind == ARTICLE or (kind == OPEN and not article and not gone[at:end].any()):
+            parts.append(text)
+        elif kind == OPEN and not article and not gone[at:end].all():
+            parts.append(" ".join(w for w, x in zip(text.split(" "), gone[at:end], strict=True) if not x))
+        at = end
+    return " ".join(parts), int(gone.sum())
 
 
 def extract(pages: DataFrame, least_words: int = LEAST_WORDS, most_keys: int = MOST_KEYS) -> DataFrame:
@@ -252,37 +244,30 @@ def extract(pages: DataFrame, least_words: int = LEAST_WORDS, most_keys: int = M
                     ["page_id", "url", "host", "stream", "kinds", "texts"],
                 )
 
-    def suffixes(part: pa.RecordBatch) -> Iterator[tuple[int, int, list[int], list[str], np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each page its stream, number of tokens, blocks, and the suffixes' keys, places and sides."""
+    def suffixes(part: pa.RecordBatch) -> Iterator[tuple[int, int, list[int], list[str], np.ndarray, np.ndarray]]:
+        """Of each page its stream, number of tokens, blocks, and the suffixes' keys and places."""
         for h, stream, kinds, texts in zip(*(part.column(c).to_pylist() for c in ("host", "stream", "kinds", "texts")), strict=True):
-            words = " ".join(texts).split(" ") if texts else []
-            yield stream, len(words), kinds, texts, *_keyed(h, words, _stretches(kinds, [t.count(" ") + 1 for t in texts]), least_words)
-
-    def emitted(wanted):
-        """Rows (key, stream) of the suffixes that `wanted` tells."""
+            counts = [t.count(" ") + 1 for t in texts]
+            yield stream, sum(counts), kinds, texts, *_keyed(h, " ".join(texts).split(" ") if texts else [], _stretches(kinds, counts), least_words)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                streams, keys = [], []
-                for stream, _, _, _, key, _, inside in suffixes(batch):
-                    own = np.unique(key[wanted(key, inside)])
-                    keys.append(own)
-                    streams.append(np.full(len(own), stream))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(np.concatenate(streams) if streams else [], pa.int64())], ["key", "stream"])
-
-        return run
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            streams, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for stream, _, _, _, key, _ in suffixes(batch):
+                keys.append(np.unique(key))
+                streams.append(np.full(len(keys[-1]), stream))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(streams))], ["key", "stream"])
 
     pages_ = pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(parsed, f"page_id {id_type}, url {url_type}, host string, stream long, kinds array<tinyint>, texts array<string>")
     blocks = materialize(pages_.withColumn("row", F.monotonically_increasing_id()), "blocks")
-    streams = blocks.select("host", "stream", "kinds", "texts")
-    outside = _recurring(streams.mapInArrow(emitted(lambda key, inside: ~inside), "key long, stream long"))
+    recurring = _recurring(blocks.select("host", "stream", "kinds", "texts").mapInArrow(emitted, "key long, stream long"))
 
     def finished(part: pa.RecordBatch, hit) -> pa.RecordBatch:
         """hit: for the part's n-th page, which of its suffixes recur."""
         texts, lost = [], []
-        for n, (_, count, kinds, own, key, place, inside) in enumerate(suffixes(part)):
+        for n, (_, count, kinds, own, key, place) in enumerate(suffixes(part)):
             gone = np.zeros(count + 1, np.int64)
-            ok = hit(n, key, place, inside)
+            ok = hit(n, key, place)
             np.add.at(gone, place[ok], 1)
             np.add.at(gone, place[ok] + least_words, -1)
             text, missing = _kept(kinds, own, np.cumsum(gone)[:-1] > 0)
@@ -291,34 +276,28 @@ def extract(pages: DataFrame, least_words: int = LEAST_WORDS, most_keys: int = M
         return pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(lost, pa.int64())], ["page_id", "url", "text", "n_repeated"])
 
     out = f"page_id {id_type}, url {url_type}, text string, n_repeated long"
-    if outside.count() <= most_keys:
-        near = spark.sparkContext.broadcast(_sorted_keys(outside))
-        inner = _recurring(streams.mapInArrow(emitted(lambda key, inside: inside & _among(key, near.value)), "key long, stream long"))
-        both = spark.sparkContext.broadcast(_sorted_keys(inner))  # some of those outside
+    if recurring.count() <= most_keys:
+        near = spark.sparkContext.broadcast(_sorted_keys(recurring))
 
         def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield finished(batch, lambda n, key, place, inside: np.where(inside, _among(key, both.value), _among(key, near.value)))
+                yield finished(batch, lambda n, key, place: _among(key, near.value))
 
         done = blocks.select("page_id", "url", "host", "stream", "kinds", "texts").mapInArrow(covered, out)
     else:
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row, (stream, _, _, _, key, place, inside) in zip(batch.column("row").to_pylist(), suffixes(batch), strict=True):
-                    same = lambda v, n: pa.array(np.full(n, v))
-                    yield pa.RecordBatch.from_arrays([same(row, len(key)), same(stream, len(key)), pa.array(key), pa.array(place), pa.array(inside)], ["row", "stream", "key", "at", "inside"])
+                for row, (_, _, _, _, key, place) in zip(batch.column("row").to_pylist(), suffixes(batch), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row)), pa.array(key), pa.array(place)], ["row", "key", "at"])
 
-        spread = blocks.select("row", "host", "stream", "kinds", "texts").mapInArrow(placed, "row long, stream long, key long, at long, inside boolean").join(outside, "key", "left_semi")
-        found = materialize(spread, "found")
-        inner = _recurring(found.where("inside").select("key", "stream"))
-        both_ = found.where("inside").join(inner, "key", "left_semi").unionByName(found.where("NOT inside"))
-        covers = both_.groupBy("row").agg(F.collect_set("at").alias("covered"))  # a page's own places
+        spread = blocks.select("row", "host", "stream", "kinds", "texts").mapInArrow(placed, "row long, key long, at long").join(recurring, "key", "left_semi")
+        covers = spread.groupBy("row").agg(F.collect_set("at").alias("covered"))  # a page's own places
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = [np.array(c or [], np.int64) for c in batch.column("covered").to_pylist()]
-                yield finished(batch, lambda n, key, place, inside: np.isin(place, sets[n]))  # noqa: B023
+                yield finished(batch, lambda n, key, place: np.isin(place, sets[n]))  # noqa: B023
 
         done = blocks.join(covers, "row", "left").select("page_id", "url", "host", "stream", "kinds", "texts", "covered").mapInArrow(joined, out)
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")

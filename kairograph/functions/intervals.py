@@ -40,6 +40,30 @@ def coalesce(spans: DataFrame, keys: Sequence[str] = ("node",)) -> DataFrame:
     return spans.where("vf < vt").withColumn("__island", island).groupBy(*keys, "__island").agg(F.min("vf").alias("vf"), F.max("vt").alias("vt")).drop("__island")
 
 
+def _changes(spans: DataFrame, keys: Sequence[str], sign: str) -> DataFrame:
+    """(keys, t, own, other): +1 where an interval starts and -1 where it ends, in the column `sign`, 0 in the other one."""
+    ends = F.explode(F.array(F.struct(F.col("vf").alias("t"), F.lit(1).alias("d")), F.struct(F.col("vt").alias("t"), F.lit(-1).alias("d"))))
+    count = lambda c: (F.col("e.d") if c == sign else F.lit(0)).alias(c)
+    return spans.where("vf < vt").select(*keys, ends.alias("e")).select(*keys, "e.t", count("own"), count("other"))
+
+
+def where_counts(spans: DataFrame, others: DataFrame, holds: Column, keys: Sequence[str] = ("node",)) -> DataFrame:
+    """(keys, vf, vt): the maximal intervals on which `holds` is true of the columns own and other, the numbers of rows of `spans` and
+    of `others` that cover an instant of the key. One sweep over the ends: they are added up before the shuffle, and a key's
+    running sums are as long as it has distinct ends."""
+    ends = _changes(spans, keys, "own").unionByName(_changes(others, keys, "other")).groupBy(*keys, "t").agg(F.sum("own").alias("own"), F.sum("other").alias("other"))
+    order = Window.partitionBy(*keys).orderBy("t")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = ends.select(*keys, "t", F.sum("own").over(so_far).alias("own"), F.sum("other").over(so_far).alias("other")).withColumn("on", holds)
+    turns = at.withColumn("was", F.lag("on", 1, False).over(order)).where("on <> was")
+    return turns.select(*keys, "on", F.col("t").alias("vf"), F.lead("t").over(order).alias("vt")).where("on").drop("on")
+
+
+def minus(spans: DataFrame, others: DataFrame, keys: Sequence[str] = ("node",)) -> DataFrame:
+    """(keys, vf, vt): what `spans` cover and `others` don't, as maximal intervals."""
+    return where_counts(spans, others, (F.col("own") > 0) & (F.col("other") == 0), keys)
+
+
 def as_set(spans: DataFrame, keys: Sequence[str] = ("node",)) -> DataFrame:
     """One row for each key with its interval set as an array of structs in order."""
     return coalesce(spans, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("vf", "vt"))).alias("spans"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairograph.functions.intervals import contains
+from kairograph.functions.intervals import coalesce, contains
+from kairograph.functions.lineage import written
 from kairograph.functions.text import severity_rank
-from kairograph.operators.reach import DEPTH, coexistence_reach
+from kairograph.operators.reach import DEPTH, always, coexistence_reach
 
 
 def resolved_while_live(resolutions: DataFrame, locks: DataFrame) -> DataFrame:
@@ -18,11 +19,11 @@ def resolved_while_live(resolutions: DataFrame, locks: DataFrame) -> DataFrame:
 
 
 def transitively_exposed(edges: DataFrame, locks: DataFrame, target: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(project, locked_at): projects from whose pins the target is reached at the instant they were locked. One loop for all,
-    keyed by project and instant."""
-    starts = locks.select("project", "locked_at", "node", F.col("locked_at").alias("vf"), (F.col("locked_at") + 1).alias("vt"))
-    found = coexistence_reach(edges, starts, ["project", "locked_at"], depth=depth)
-    return found.join(target.select("node"), "node", "left_semi").select("project", "locked_at").distinct()
+    """(project, locked_at): projects from whose pins the target is reached at the instant they were locked. One search backwards
+    from the target gives the instants at which each node reaches it; pins are then looked up there, so no pin searches."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "vf", "vt")
+    spans = written(coexistence_reach(back, always(target.select("node").distinct()), depth=depth), "spans")
+    return locks.join(spans, "node").where(contains(F.col("locked_at"))).select("project", "locked_at").distinct()
 
 
 def exposure_timeline(spans: DataFrame, instants: DataFrame) -> DataFrame:
@@ -32,6 +33,33 @@ def exposure_timeline(spans: DataFrame, instants: DataFrame) -> DataFrame:
     return instants.select("instant").join(hits, "instant", "left").select("instant", F.coalesce("reached", F.lit(0)).cast("long").alias("reached"))
 
 
+def _month_place(t: Column) -> Column:
+    """Months since year 0 of the first start of a month that isn't before an instant."""
+    start = F.timestamp_seconds(t)
+    return F.year(start) * 12 + F.month(start) - 1 + F.when(F.date_trunc("month", start) == start, 0).otherwise(1)
+
+
+def covered_months(spans: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """(place, n): how many keys cover the start of each month from place `first` to `last`. The ends of the keys' maximal intervals are
+    added up by month, and the running sum goes over one row a month."""
+    merged = coalesce(spans.select(key, "vf", "vt"), [key])
+    clip = lambda c: F.greatest(F.lit(first), F.least(F.lit(last + 1), _month_place(F.col(c))))
+    ends = F.explode(F.array(F.struct(clip("vf").alias("place"), F.lit(1).alias("d")), F.struct(clip("vt").alias("place"), F.lit(-1).alias("d"))))
+    change = merged.select(ends.alias("e")).groupBy("e.place").agg(F.sum("e.d").alias("d"))
+    months = spans.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("place"))
+    return months.join(change, "place", "left").select("place", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("place")).alias("n"))
+
+
+def audit_timeline(spans: DataFrame, held: DataFrame, union_publishers: DataFrame, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """(instant, reached, publishers, union_publishers): an audit at the start of each month from `first` to `last` (year, month): nodes
+    reached then, accounts that held a reached package then, and the accounts of the graph without time. held: a roster.
+    A node is reached at an instant as in a search at that instant, so one search serves all months."""
+    a, b = (y * 12 + m - 1 for y, m in (first, last))
+    reached, holding = covered_months(spans, "node", a, b).withColumnRenamed("n", "reached"), covered_months(held, "handle", a, b).withColumnRenamed("n", "publishers")
+    start = F.unix_timestamp(F.make_timestamp(F.floor(F.col("place") / 12).cast("int"), (F.col("place") % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    return reached.join(holding, "place").crossJoin(union_publishers).select(start.alias("instant"), "reached", "publishers", "union_publishers")  # one row of union_publishers
+
+
 def live_holders(maintains: DataFrame, t: int) -> DataFrame:
     return maintains.where(contains(t)).select("package", "handle").distinct()
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kairograph.functions.intervals import coalesce, minus, where_counts
 from kairograph.functions.lineage import written
-from kairograph.operators.reach import DEPTH, coexistence_reach
+from kairograph.operators.reach import DEPTH, back_pointers, expanded
 
 YEAR = 31_536_000
 WEIGHTS = {"reach": 0.40, "staleness": 0.15, "solo": 0.20, "provenance": 0.15, "install": 0.10}
@@ -57,12 +58,16 @@ def signals(held: DataFrame, holders: DataFrame, sampled: DataFrame) -> DataFram
     return solo.join(seen, "handle", "left").withColumns(zero)
 
 
-def risk(seen: DataFrame, packages: int, now: int, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def risk(seen: DataFrame, packages: int | DataFrame, now: int, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Per account the risk terms and their weighted mean. A term that isn't known (no denominator, no publish) drops out and
-    the other weights are scaled up; nothing known is 0. packages: number of coexistence-reached packages."""
+    the other weights are scaled up; nothing known is 0. packages: number of coexistence-reached packages, or a row of it (n)."""
+    if isinstance(packages, int):
+        of_all = F.lit(packages)
+    else:
+        seen, of_all = seen.crossJoin(packages.select(F.col("n").alias("__n"))), F.col("__n")  # one row
     share = lambda count, of: F.when(F.col(of) > 0, F.col(count) / F.col(of))
     terms = {
-        "reach": F.least(F.lit(1.0), F.log1p("solo_of") / F.log1p(F.lit(packages))) if packages > 0 else F.lit(None).cast("double"),
+        "reach": F.when(of_all > 0, F.least(F.lit(1.0), F.try_divide(F.log1p("solo_of"), F.log1p(of_all)))),
         "staleness": F.when(F.col("last_publish") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(now) - F.col("last_publish")) / F.lit(5.0 * YEAR)))),
         "solo": share("solo_count", "solo_of"),
         "provenance": share("unproven_count", "looked_of"),
@@ -71,7 +76,7 @@ def risk(seen: DataFrame, packages: int, now: int, weights: dict[str, float] = W
     with_terms = seen.withColumns({f"t_{k}": v for k, v in terms.items()})
     known = sum((F.when(F.col(f"t_{k}").isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
     total = sum((F.coalesce(F.col(f"t_{k}") * w, F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
-    return with_terms.withColumn("risk", F.when(known > 0, total / known).otherwise(0.0))
+    return with_terms.withColumn("risk", F.when(known > 0, total / known).otherwise(0.0)).drop("__n")
 
 
 def ranked(scores: DataFrame, n: int | None = None) -> DataFrame:
@@ -80,21 +85,64 @@ def ranked(scores: DataFrame, n: int | None = None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
-def cuts(edges: DataFrame, sources: DataFrame, reached: DataFrame, held: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Per account: what is no longer reached once its packages are out. Nodes are packages here: (handle, controls, lost,
-    beyond), lost counting nodes not reached any more and beyond those of them that the account doesn't hold.
-    All accounts are searched in one loop, keyed by handle."""
-    blocked = written(held.select("handle", F.col("package").alias("node")).distinct(), "blocked")
-    handles = blocked.select("handle").distinct()
-    starts = handles.crossJoin(F.broadcast(sources.select("node", "vf", "vt")))  # the sources of one project, for each account
-    left = coexistence_reach(edges, starts, ["handle"], depth=depth, blocked=blocked)
-    before = reached.select("node").distinct()
-    still = left.select("handle", "node").distinct().groupBy("handle").agg(F.count("*").alias("still"))
-    own = blocked.join(before, "node", "left_semi").groupBy("handle").agg(F.count("*").alias("controls"))
-    total = before.count()
-    return own.join(still, "handle", "left").select(
-        "handle", "controls", (F.lit(total) - F.coalesce("still", F.lit(0))).cast("long").alias("lost"), (F.lit(total) - F.coalesce("still", F.lit(0)) - F.col("controls")).cast("long").alias("beyond")
-    )
+def lost_spans(edges: DataFrame, found: DataFrame, held: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(handle, node, vf, vt, own): the instants at which a node is no longer reached once the account's packages are out, own telling
+    the packages themselves. Nodes are packages here; found: `layers` of the search with all of them.
+
+    Nothing is searched anew: the search that was made is taken back where it hangs on the account, for all accounts in one loop.
+    First, hop by hop, an instant of a node falls if of the edges by which shortest paths enter it then none is left whose start
+    hasn't fallen; so rows are as many as what falls. Then what fell is entered again, by edges from nodes that stand, by as
+    many hops as these have, and from there within the region that fell; what isn't entered within `depth` hops is lost.
+    """
+    keys = ["handle", "node"]
+    out = written(held.select("handle", F.col("package").alias("node")).distinct(), "blocked")
+    own = written(out.join(found, "node").select("handle", "node", "vf", "vt", "hop"), "own")
+    support = written(back_pointers(edges, found), "supports")
+    fell = own.where("hop = 0").drop("hop")
+    region: list[DataFrame] = []
+    for hop in range(1, depth + 1):
+        into = support.where(F.col("hop") == hop).drop("hop")
+        gone = written(expanded(fell, into, ["handle"]).join(out, keys, "left_anti"), "gone")
+        touched = gone.select(*keys).distinct()
+        whole = touched.join(into.select(F.col("dst").alias("node"), "vf", "vt"), "node").select(*keys, "vf", "vt")
+        fallen = written(where_counts(whole, gone, (F.col("own") > 0) & (F.col("own") == F.col("other")), keys), "fallen")
+        region.append(fallen)
+        fell = fallen.unionByName(own.where(F.col("hop") == hop).drop("hop"))
+    down = region[0]
+    for rows in region[1:]:
+        down = down.unionByName(rows)
+    down = written(coalesce(down, keys), "region")
+    mine = own.select(*keys, "vf", "vt").withColumn("own", F.lit(True))
+    if down.isEmpty():
+        return mine
+    # edges into the region from nodes that stand
+    steps = edges.select(F.col("src").alias("from"), F.col("dst").alias("node"), F.col("vf").alias("e_vf"), F.col("vt").alias("e_vt"))
+    inner = written(down.join(steps, "node").withColumns({"vf": F.greatest("vf", "e_vf"), "vt": F.least("vt", "e_vt")}).where("vf < vt").select(*keys, "from", "vf", "vt"), "inner")
+    starts = found.where(F.col("hop") < depth).select(F.col("node").alias("from"), F.col("vf").alias("u_vf"), F.col("vt").alias("u_vt"), (F.col("hop") + 1).alias("hop"))
+    entered = inner.join(starts, "from").withColumns({"vf": F.greatest("vf", "u_vf"), "vt": F.least("vt", "u_vt")}).where("vf < vt").select(*keys, "from", "hop", "vf", "vt")
+    not_standing = own.select(*keys, "vf", "vt").unionByName(down).withColumnRenamed("node", "from")
+    falling = entered.select(*keys, "from", "hop").distinct().join(not_standing, ["handle", "from"])
+    border = written(minus(entered, falling, [*keys, "from", "hop"]), "border")
+    back = new = None
+    for hop in range(1, depth + 1):
+        come = border.where(F.col("hop") == hop).select(*keys, "vf", "vt")
+        if new is not None:
+            inside = new.select("handle", F.col("node").alias("from"), F.col("vf").alias("n_vf"), F.col("vt").alias("n_vt"))
+            come = come.unionByName(inner.join(inside, ["handle", "from"]).withColumns({"vf": F.greatest("vf", "n_vf"), "vt": F.least("vt", "n_vt")}).where("vf < vt").select(*keys, "vf", "vt"))
+        elif border.isEmpty():
+            break
+        new = written(coalesce(come, keys) if back is None else minus(come, back, keys), "entered")
+        back = new if back is None else back.unionByName(new)
+    lost = down if back is None else minus(down, back, keys)
+    return mine.unionByName(lost.withColumn("own", F.lit(False)))
+
+
+def cuts(edges: DataFrame, found: DataFrame, held: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Per account: what is no longer reached, at any instant, once its packages are out: (handle, controls, lost, beyond), lost
+    counting nodes and beyond those of them that the account doesn't hold. found: `layers` of the search with all packages."""
+    wide = lambda df, *keys: df.groupBy(*keys).agg(F.sum(F.col("vt") - F.col("vf")).alias("width"))
+    gone = wide(lost_spans(edges, found, held, depth), "handle", "node", "own").join(wide(found, "node").withColumnRenamed("width", "all"), "node").where(F.col("width") == F.col("all"))
+    return gone.groupBy("handle").agg(F.count_if("own").alias("controls"), F.count("*").alias("lost"), F.count_if(~F.col("own")).alias("beyond"))
 
 
 def maintainer_rank(maintains: DataFrame, n: int) -> DataFrame:

@@ -1,25 +1,24 @@
 """Reachability over edges that hold only for a time.
 
 `edges` are rows (src, dst, vf, vt). A node is reached at an instant if a path of at most `depth` edges
-from a source holds whole at that instant. The search runs in supersteps on a frontier of (node,
-interval) rows; a row is dropped once an interval that contains it is known. `keys` are columns that keep
-independent searches apart in one run (an account removed, a project, an instant): any number of
-searches costs one loop.
+from a source holds whole at that instant. The search runs in supersteps on a frontier of (node, interval) rows. What
+a superstep reaches is merged to maximal intervals, and only the instants at which the node wasn't reached before go on,
+so a node has few rows however many paths lead to it, and every instant of it carries its least number of
+hops. `keys` are columns that keep independent searches apart in one run (an account removed, a kind of graph): any
+number of searches costs one loop; `tagged` says that edges carry these keys too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.functions.intervals import OPEN, coalesce, contains
+from kairograph.functions.intervals import OPEN, coalesce, contains, minus
 from kairograph.functions.lineage import written
 
 DEPTH = 12
-#: Hops of one job while the frontier has at most SMALL rows.
-HOPS, SMALL = 3, 100_000
 
 
 def always(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -32,90 +31,71 @@ def clipped(spans: DataFrame, within: tuple[int, int]) -> DataFrame:
     return spans.withColumns({"vf": vf.cast("long"), "vt": vt.cast("long")}).where("vf < vt")
 
 
-def _steps(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("vf").alias("__vf"), F.col("vt").alias("__vt"))
-
-
-def _expanded(front: DataFrame, steps: DataFrame, keys: Sequence[str], blocked: DataFrame | None) -> DataFrame:
+def expanded(front: DataFrame, edges: DataFrame, keys: Sequence[str] = (), blocked: DataFrame | None = None, tagged: bool = False) -> DataFrame:
     """One hop on: an equi-join on the node, intervals intersected, empty ones dropped."""
-    vf, vt = F.greatest("vf", "__vf"), F.least("vt", "__vt")
-    new = front.join(steps, front["node"] == steps["__src"]).select(*keys, F.col("__dst").alias("node"), vf.alias("vf"), vt.alias("vt")).where("vf < vt").distinct()
+    steps = edges.select(*(F.col(k).alias(f"__{k}") for k in keys if tagged), F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("vf").alias("__vf"), F.col("vt").alias("__vt"))
+    same = F.col("node") == F.col("__src")
+    for k in keys if tagged else ():
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    new = front.join(steps, same).select(*keys, F.col("__dst").alias("node"), F.greatest("vf", "__vf").alias("vf"), F.least("vt", "__vt").alias("vt")).where("vf < vt")
     return new if blocked is None else new.join(blocked, [*keys, "node"], "left_anti")
 
 
-def _unknown(new: DataFrame, state: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows of `new` whose interval lies in none that is known for their node."""
-    known = state.select(*(F.col(c).alias(f"k_{c}") for c in (*names, "vf", "vt")))
-    inside = (F.col("k_vf") <= F.col("vf")) & (F.col("k_vt") >= F.col("vt"))
-    for c in names:
-        inside = inside & (F.col(c) == F.col(f"k_{c}"))
-    return new.join(known, inside, "left_anti")
-
-
-def _first(sources: DataFrame, names: Sequence[str], within: tuple[int, int], blocked: DataFrame | None) -> DataFrame:
-    rows = clipped(sources.select(*names, "vf", "vt"), within)
-    return written((rows if blocked is None else rows.join(blocked, list(names), "left_anti")).distinct(), "frontier")
-
-
-def frontiers(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH, within: tuple[int, int] = (0, OPEN), blocked: DataFrame | None = None) -> Iterator[DataFrame]:
+def frontiers(
+    edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH, within: tuple[int, int] = (0, OPEN), blocked: DataFrame | None = None, tagged: bool = False
+) -> Iterator[DataFrame]:
     """The rows (keys, node, vf, vt) that each superstep adds, the sources first. blocked: (keys, node) never entered."""
-    names, steps = [*keys, "node"], _steps(edges)
-    state = front = _first(sources, names, within, blocked)
+    names = [*keys, "node"]
+    first = clipped(sources.select(*names, "vf", "vt"), within)
+    state = front = written(coalesce(first if blocked is None else first.join(blocked, names, "left_anti"), names), "frontier")
     yield front
     for _ in range(depth):
-        front = written(_unknown(_expanded(front, steps, keys, blocked), state, names), "frontier")
+        front = written(minus(expanded(front, edges, keys, blocked, tagged), state, names), "frontier")
         if front.isEmpty():
             return
         yield front
         state = state.unionByName(front)
 
 
-def _hops(size: int, left: int) -> int:
-    """Hops of one job: several while the frontier is small and a job's fixed cost counts most, else one, so that what is
-    known prunes before the next hop."""
-    return min(left, HOPS if size <= SMALL else 1)
+def layers(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
+    """Rows (keys, node, vf, vt, hop): the instants at which each node is reached, by the least number of edges that it takes then.
+    No two rows of a node share an instant."""
+    found = None
+    for hop, front in enumerate(frontiers(edges, sources, keys, **options)):
+        rows = front.withColumn("hop", F.lit(hop))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def coexistence_reach(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH, within: tuple[int, int] = (0, OPEN), blocked: DataFrame | None = None) -> DataFrame:
     """Rows (keys, node, vf, vt): the maximal intervals at which each node is reached."""
-    names, steps = [*keys, "node"], _steps(edges)
-    state = front = _first(sources, names, within, blocked)
-    done, size = 0, front.count()
-    while size and done < depth:
-        hops = _hops(size, depth - done)
-        layers = []
-        for i in range(hops):
-            front = _expanded(front, steps, keys, blocked)
-            layers.append(front.withColumn("hop", F.lit(i)))
-        every = layers[0]
-        for layer in layers[1:]:
-            every = every.unionByName(layer)
-        new = written(_unknown(every, state, names), "frontier")
-        front = new.where(F.col("hop") == hops - 1).drop("hop")
-        state = state.unionByName(new.drop("hop"))
-        done, size = done + hops, front.count()
-    return coalesce(state, names)
+    return coalesce(layers(edges, sources, keys, depth=depth, within=within, blocked=blocked), [*keys, "node"])
+
+
+def timeless(edges: DataFrame) -> DataFrame:
+    """Each pair of ends once, at all times."""
+    return edges.select("src", "dst", F.lit(0).cast("long").alias("vf"), F.lit(OPEN).cast("long").alias("vt")).distinct()
+
+
+def _rounds(last: int | None, depth: int) -> tuple[int, bool]:
+    """Expansion rounds up to the layer `last`, the empty one included, and whether the depth ended the search."""
+    return (0 if last is None else min(depth, last + 1)), last == depth
 
 
 def union_reach(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH) -> tuple[DataFrame, int, bool]:
     """Nodes reached when intervals are ignored, with their layer; the number of expansion rounds (the last, empty one
     included); and whether the frontier was not empty after the last."""
     names = [*keys, "node"]
-    steps = edges.select(F.col("src").alias("node"), "dst").distinct()
+    steps = written(edges.select(F.col("src").alias("node"), "dst").distinct(), "steps")
     seen = front = written(sources.select(*names).distinct().withColumn("layer", F.lit(0).cast("long")), "layer")
-    done, size, last = 0, front.count(), 0
-    while size and done < depth:
-        hops = _hops(size, depth - done)
-        every, front = None, front.select(*names)
-        for i in range(1, hops + 1):
-            front = front.join(steps, "node").select(*keys, F.col("dst").alias("node")).distinct()
-            layer = front.withColumn("layer", F.lit(done + i).cast("long"))
-            every = layer if every is None else every.unionByName(layer)
-        new = written(every.groupBy(*names).agg(F.min("layer").alias("layer")).join(seen.select(*names), names, "left_anti"), "layer")
-        seen, done = seen.unionByName(new), done + hops
-        counts = new.agg(F.max("layer"), F.count_if(F.col("layer") == done)).first()
-        last, size = counts[0] or last, counts[1]
-    return seen, min(depth, last + 1) if seen.limit(1).count() else 0, bool(size) and last == depth
+    last = None if front.isEmpty() else 0
+    while last is not None and last < depth:
+        new = front.select(*names).join(steps, "node").select(*keys, F.col("dst").alias("node")).distinct().join(seen, names, "left_anti")
+        front = written(new.withColumn("layer", F.lit(last + 1).cast("long")), "layer")
+        if front.isEmpty():
+            break
+        seen, last = seen.unionByName(front), last + 1
+    return seen, *_rounds(last, depth)
 
 
 def reached_at(spans: DataFrame, t: int) -> DataFrame:
@@ -127,14 +107,23 @@ def phantoms(union: DataFrame, spans: DataFrame) -> DataFrame:
     return union.select("node").distinct().join(spans.select("node"), "node", "left_anti")
 
 
+def both_graphs(edges: DataFrame, sources: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """`layers` of the graph in time and of the union graph in one loop: rows carry `timeless`, which tells them apart."""
+    tag = lambda df, kind: df.withColumn("timeless", F.lit(kind))
+    steps = written(tag(edges.select("src", "dst", "vf", "vt"), False).unionByName(tag(timeless(edges), True)), "steps")
+    starts = tag(sources.select("node", "vf", "vt"), False).unionByName(tag(always(sources.select("node").distinct()), True))
+    return layers(steps, starts, ["timeless"], depth=depth, tagged=True)
+
+
 def summary(edges: DataFrame, sources: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """One row: node counts of both graphs, phantoms, mean intervals a node, depth and truncation."""
-    union, rounds, truncated = union_reach(edges, sources, depth=depth)
-    spans = written(coexistence_reach(edges, sources, depth=depth), "spans")
-    counts = spans.agg(F.count_distinct("node").alias("n_coexistence"), F.count("*").alias("n_spans"))
-    return union.agg(F.count("*").alias("n_union")).crossJoin(counts).select(  # one row each
-        "n_union", "n_coexistence", (F.col("n_union") - F.col("n_coexistence")).alias("n_phantom"),
-        F.round(F.col("n_spans") / F.col("n_coexistence"), 6).alias("kappa"), F.lit(rounds).cast("long").alias("depth"), F.lit(truncated).alias("truncated"),
+    """One row: node counts of both graphs, phantoms, mean intervals a node, depth and truncation. No sources give zeros and a
+    null mean."""
+    found = both_graphs(edges, sources, depth)
+    spans = coalesce(found.where("NOT timeless")).agg(F.count_distinct("node").alias("n_coexistence"), F.count("*").alias("n_spans"))
+    union = found.where("timeless").agg(F.count("*").alias("n_union"), F.max("hop").alias("last"))
+    return union.crossJoin(spans).select(  # one row each
+        "n_union", "n_coexistence", (F.col("n_union") - F.col("n_coexistence")).alias("n_phantom"), F.round(F.try_divide(F.col("n_spans"), F.col("n_coexistence")), 6).alias("kappa"),
+        F.coalesce(F.least(F.lit(depth), F.col("last") + 1), F.lit(0)).cast("long").alias("depth"), F.coalesce(F.col("last") == depth, F.lit(False)).alias("truncated"),
     )
 
 
@@ -144,13 +133,64 @@ def reverse_reach(edges: DataFrame, held: DataFrame, **options) -> DataFrame:
     return coexistence_reach(back, held, **options).join(held.select("node").distinct(), "node", "left_anti")
 
 
+def back_pointers(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(hop, src, dst, vf, vt): the instants at which an edge is the last of a shortest path to `dst` of `hop` edges; found: `layers`.
+    Sources have none: they are reached by no edge."""
+    before = found.select(F.col("node").alias("src"), F.col("vf").alias("u_vf"), F.col("vt").alias("u_vt"), (F.col("hop") + 1).alias("hop"))
+    after = found.select(F.col("node").alias("dst"), F.col("vf").alias("v_vf"), F.col("vt").alias("v_vt"), "hop")
+    live = edges.select("src", "dst", "vf", "vt").join(before, "src").withColumns({"vf": F.greatest("vf", "u_vf"), "vt": F.least("vt", "u_vt")}).where("vf < vt")
+    both = live.join(after, ["dst", "hop"]).withColumns({"vf": F.greatest("vf", "v_vf"), "vt": F.least("vt", "v_vt")}).where("vf < vt")
+    return both.select("hop", "src", "dst", "vf", "vt")
+
+
+def entering(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(hop, src, dst, vf, vt): every edge out of a reached node, with the number of edges of a shortest path that it ends; also
+    edges into nodes that are reached in fewer, as sources are."""
+    before = found.select(F.col("node").alias("src"), F.col("vf").alias("u_vf"), F.col("vt").alias("u_vt"), (F.col("hop") + 1).alias("hop"))
+    return edges.select("src", "dst", "vf", "vt").join(before, "src").withColumns({"vf": F.greatest("vf", "u_vf"), "vt": F.least("vt", "u_vt")}).where("vf < vt").select("hop", "src", "dst", "vf", "vt")
+
+
+def package_chains(edges: DataFrame, sources: DataFrame, wanted: DataFrame, package_of: Callable[[Column], Column], depth: int = DEPTH) -> DataFrame:
+    """For each wanted package the shortest chain of one edge or more, all of whose edges hold at one instant, from a source to any of
+    its nodes: (package, found, hops, path, vf, vt), vf to vt being the first unbroken span of the whole chain. A package
+    without a chain stays, unfound.
+
+    Of equally short chains the one counts whose node list, read from its end, comes first. The search keeps no paths: chains
+    are read off backwards from the table of back pointers, all packages at once, one node a step; a step takes the least
+    node that is still on a chain and the instants that are left.
+    """
+    steps = written(edges.select("src", "dst", "vf", "vt"), "steps")
+    found = written(layers(steps, sources, depth=depth), "layers")
+    last = entering(steps, found).withColumn("package", package_of(F.col("dst"))).join(wanted.select("package").distinct(), "package", "left_semi").where(F.col("hop") <= depth)
+    best = last.groupBy("package").agg(F.min(F.struct("hop", "dst", "src")).alias("b")).select("package", "b.*")
+    now = written(
+        last.join(best, ["package", "hop", "dst", "src"]).select("package", F.col("hop").alias("hops"), (F.col("hop") - 1).alias("left"), F.array("src", "dst").alias("path"), F.col("src").alias("node"), "vf", "vt"), "chains"
+    )
+    pointers, done = written(back_pointers(steps, found).select(F.col("hop").alias("left"), F.col("dst").alias("node"), F.col("src").alias("before"), F.col("vf").alias("p_vf"), F.col("vt").alias("p_vt")), "pointers"), []
+    for _ in range(depth):
+        done.append(now.where("left = 0"))
+        now = now.where("left > 0")
+        if now.isEmpty():
+            break
+        back = now.join(pointers, ["left", "node"]).withColumns({"vf": F.greatest("vf", "p_vf"), "vt": F.least("vt", "p_vt")}).where("vf < vt")
+        least = back.groupBy("package").agg(F.min("before").alias("before"))
+        taken = back.join(least, ["package", "before"])
+        now = written(taken.select("package", "hops", (F.col("left") - 1).alias("left"), F.concat(F.array("before"), "path").alias("path"), F.col("before").alias("node"), "vf", "vt").distinct(), "chains")
+    whole = done[0]
+    for rows in done[1:]:
+        whole = whole.unionByName(rows)
+    spans = coalesce(whole, ["package", "hops", "path"])
+    first = spans.groupBy("package").agg(F.min_by(F.struct("hops", "path", "vf", "vt"), "vf").alias("c")).select("package", "c.*")
+    return wanted.select("package").distinct().join(first, "package", "left").select("package", F.col("hops").isNotNull().alias("found"), F.col("hops").cast("long").alias("hops"), "path", "vf", "vt")
+
+
 def proof_paths(edges: DataFrame, sources: DataFrame, longest: int = DEPTH, targets: DataFrame | None = None) -> DataFrame:
     """For each reached node the shortest path of one edge or more whose edges coexist: node, hops, path and its span.
 
     Exact, and of equally short paths the one whose node list comes first. Rows are (node, interval) states with their
     best path; a state inside a known one of fewer hops can't lead to a shorter path and is dropped.
     """
-    steps = _steps(edges)
+    steps = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("vf").alias("__vf"), F.col("vt").alias("__vt"))
     front = sources.select("node", "vf", "vt", F.array("node").alias("path"), F.lit(0).cast("long").alias("hops")).where("vf < vt")
     known, found = front.select("node", "vf", "vt"), None
     for hop in range(1, longest + 1):

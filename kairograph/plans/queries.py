@@ -14,8 +14,6 @@ from kairograph.sources import feeds, lockfiles
 
 NOW = 946_684_800
 INSTANT = 883_612_800
-#: The new accounts are those that hold nothing before it.
-EARLY = 792_000_000
 
 QUERIES = {}
 ORACLES = {}
@@ -180,8 +178,7 @@ t AS (SELECT handle, 0.4 AS wr, least(1.0, ln(1 + solo_of) / ln(1 + n)) AS r, CA
 SELECT handle, round((0.4 * r + coalesce(0.15 * st, 0) + 0.2 * so + coalesce(0.15 * np, 0) + coalesce(0.1 * ins, 0)) / (0.6 + CASE WHEN st IS NULL THEN 0 ELSE 0.15 END + CASE WHEN np IS NULL THEN 0 ELSE 0.25 END), 6) AS risk FROM t""", True))
 def risk_scores(spark, sf_dir):
     reached, seen = _signals(spark, sf_dir)
-    count = reached.select("package").distinct().count()
-    return publishers.risk(seen, count, NOW).select("handle", F.round("risk", 6).alias("risk"))
+    return publishers.risk(seen, reached.agg(F.count_distinct("package").alias("n")), NOW).select("handle", F.round("risk", 6).alias("risk"))
 
 
 @query(with_views([*GRAPH, "holds"], HELD + """, own AS (SELECT DISTINCT handle, package FROM held),
@@ -194,9 +191,27 @@ SELECT handle, controls, total.n - coalesce(still.n, 0) AS lost, total.n - coale
 FROM (SELECT handle, count(*) AS controls FROM own GROUP BY handle) c LEFT JOIN still USING (handle), total""", True))
 def cuts(spark, sf_dir):
     edges, sources = _graph(spark, sf_dir)
-    reached = written(reach.coexistence_reach(edges, sources), "spans")
-    held = publishers.roster(reached.withColumnRenamed("node", "package"), view(spark, sf_dir, "holds"))
-    return publishers.cuts(edges, sources, reached, held)
+    found = written(reach.layers(edges, sources), "layers")
+    held = publishers.roster(found.withColumnRenamed("node", "package"), view(spark, sf_dir, "holds"))
+    return publishers.cuts(edges, found, held)
+
+
+@query(with_views([*GRAPH, "holds"], """,
+p(node, vf, vt, hops, path) AS (
+  SELECT node, vf, vt, 0, [node] FROM sources UNION
+  SELECT e.dst, greatest(p.vf, e.vf), least(p.vt, e.vt), hops + 1, list_prepend(e.dst, path) FROM p JOIN dep_edges e ON e.src = p.node WHERE hops < 12 AND greatest(p.vf, e.vf) < least(p.vt, e.vt)),
+w AS (SELECT DISTINCT package // 10 AS package FROM holds),
+r AS (SELECT *, node // 10 AS package, dense_rank() OVER (PARTITION BY node // 10 ORDER BY hops, path) AS n FROM p WHERE hops > 0),
+m AS (SELECT *, max(vt) OVER (PARTITION BY package ORDER BY vf, vt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM r WHERE n = 1),
+i AS (SELECT *, sum(CASE WHEN vf > top THEN 1 ELSE 0 END) OVER (PARTITION BY package ORDER BY vf, vt ROWS UNBOUNDED PRECEDING) AS g FROM m),
+c AS (SELECT package, any_value(hops) AS hops, any_value(path) AS path, min(vf) AS vf, max(vt) AS vt FROM i WHERE g = 0 GROUP BY package)
+SELECT w.package, hops IS NOT NULL AS found, CAST(hops AS BIGINT) AS hops, array_to_string(list_reverse(path), '>') AS path, vf, vt FROM w LEFT JOIN c USING (package)""", True))
+def holder_chains(spark, sf_dir):
+    # packages are tens of parts; every package that anyone ever held is asked for
+    ten = lambda c: F.floor(c / 10)
+    wanted = view(spark, sf_dir, "holds").select(ten(F.col("package")).alias("package"))
+    edges, sources = _graph(spark, sf_dir)
+    return reach.package_chains(edges, sources, wanted, ten).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
 @query(with_views(GRAPH, """,
@@ -318,10 +333,33 @@ def exposure_timeline(spark, sf_dir):
     return incident.exposure_timeline(_spans(spark, sf_dir), view(spark, sf_dir, "epoch_list").withColumnRenamed("epoch", "instant"))
 
 
-@query(with_views([*GRAPH, "holds"], HELD + f"SELECT DISTINCT handle FROM held WHERE vt > {EARLY} AND handle NOT IN (SELECT handle FROM held WHERE vf < {EARLY})", True))
+@query(with_views([*GRAPH, "holds"], HELD + """, h AS (SELECT handle, s.node, greatest(s.vf, h.vf) AS vf, least(s.vt, h.vt) AS vt FROM spans s JOIN holds h ON h.package = s.node WHERE greatest(s.vf, h.vf) < least(s.vt, h.vt)),
+months AS (SELECT CAST(epoch(m) AS BIGINT) AS instant FROM (SELECT unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS m FROM (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders))),
+x AS (SELECT instant, count(DISTINCT node) AS n FROM months JOIN spans ON vf <= instant AND instant < vt GROUP BY instant), y AS (SELECT instant, count(DISTINCT handle) AS n FROM months JOIN h ON vf <= instant AND instant < vt GROUP BY instant)
+SELECT instant, coalesce(x.n, 0) AS reached, coalesce(y.n, 0) AS publishers, (SELECT count(DISTINCT handle) FROM holds WHERE package IN (SELECT node FROM union_nodes)) AS union_publishers
+FROM months LEFT JOIN x USING (instant) LEFT JOIN y USING (instant)""", True))
+def audit_timeline(spark, sf_dir):
+    edges, sources = _graph(spark, sf_dir)
+    holds = view(spark, sf_dir, "holds")
+    both = written(reach.both_graphs(edges, sources), "both")
+    spans = written(intervals.coalesce(both.where("NOT timeless")), "spans")
+    held = written(publishers.roster(spans.withColumnRenamed("node", "package"), holds), "held")
+    union = publishers.union_holders(both.where("timeless").select(F.col("node").alias("package")), holds)
+    ends = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(*(f(g("o_orderdate")) for f in (F.min, F.max) for g in (lambda c: F.year(c) * 12 + F.month(c) - 1,))).first()
+    return incident.audit_timeline(spans, held, union, *((m // 12, m % 12 + 1) for m in ends))
+
+
+#: The instant by which half of the accounts have begun to hold what is reached; the base audit is the one before it.
+_BASE = """, begun AS (SELECT handle, min(vf) AS b FROM held GROUP BY handle), half AS (SELECT quantile_disc(b, 0.5) AS t FROM begun)
+SELECT DISTINCT handle FROM held, half WHERE vt > t AND handle NOT IN (SELECT handle FROM held, half WHERE vf < t)"""
+
+
+@query(with_views([*GRAPH, "holds"], HELD + _BASE, True))
 def new_publishers(spark, sf_dir):
     held = _held(spark, sf_dir)[1]
-    return publishers.new_publishers(held.where(F.col("vt") > EARLY), held.where(F.col("vf") < EARLY))
+    half = held.groupBy("handle").agg(F.min("vf").alias("b")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY b)").cast("long").alias("t"))
+    dated = written(held.crossJoin(half), "dated")  # one instant
+    return publishers.new_publishers(dated.where("vt > t"), dated.where("vf < t"))
 
 
 CLOSURE = """, c(epoch, node, member) AS (SELECT epoch, dst, src FROM epoch_edges UNION SELECT c.epoch, c.node, e.src FROM c JOIN epoch_edges e ON e.epoch = c.epoch AND e.dst = c.member),

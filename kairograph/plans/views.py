@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: {seconds:x} is the epoch second of a timestamp.
 VIEWS = {
-    # in every order each part depends on the next one for thirty days
+    # in every order each part depends on the next one for ninety days
     "dep_edges": """
-        SELECT DISTINCT src, dst, vf, vf + 2592000 AS vt FROM (
+        SELECT DISTINCT src, dst, vf, vf + 7776000 AS vt FROM (
           SELECT p AS src, lead(p) OVER (PARTITION BY o ORDER BY p) AS dst, vf FROM (
             SELECT DISTINCT o_orderkey AS o, l_partkey AS p, {seconds:o_orderdate} AS vf FROM orders JOIN lineitem ON l_orderkey = o_orderkey) x) y WHERE dst IS NOT NULL""",
     "holds": """
         SELECT l_suppkey AS handle, l_partkey AS package, min({seconds:l_shipdate}) AS vf, max({seconds:l_shipdate}) AS vt FROM lineitem
         GROUP BY l_suppkey, l_partkey HAVING count(DISTINCT l_shipdate) >= 2""",
-    # one project's own dependencies: the parts of a brand and type up to a size
-    "sources": "SELECT p_partkey AS node, CAST(0 AS BIGINT) AS vf, CAST(4102444800 AS BIGINT) AS vt FROM part WHERE p_brand = 'Brand#1' AND p_type = 'STANDARD' AND p_size <= 10",
+    # one project's own dependencies: the parts of a brand
+    "sources": "SELECT p_partkey AS node, CAST(0 AS BIGINT) AS vf, CAST(4102444800 AS BIGINT) AS vt FROM part WHERE p_brand = 'Brand#1'",
     "shipped": "SELECT l_partkey, min({seconds:l_shipdate}) AS published_at FROM lineitem GROUP BY l_partkey",
     "releases": """
         SELECT p_brand AS package, concat(CAST(p_size % 4 AS VARCHAR(9)), '.', CAST(CAST(floor(p_partkey / 25.0) AS BIGINT) AS VARCHAR(19)), '.', CAST(p_partkey % 25 AS VARCHAR(9))) AS version,

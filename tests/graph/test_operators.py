@@ -80,7 +80,7 @@ def test_cuts_equal_searches_without_the_packages(spark):
     edges = [(rng.choice(names), rng.choice(names[1:]), vf := rng.randrange(20), vf + rng.randint(3, 12)) for _ in range(16)]
     held = {"ines": {"K"}, "jon": {"L", "M"}, "kim": {"N"}, "lou": {"app"}}
     base = set(live_reach(edges)) | {"app"}
-    rows = publishers.cuts(graph(spark, *edges), app(spark), reach.coexistence_reach(graph(spark, *edges), app(spark)), spark.createDataFrame([(h, p) for h, ps in held.items() for p in ps], "handle string, package string")).collect()
+    rows = publishers.cuts(graph(spark, *edges), reach.layers(graph(spark, *edges), app(spark)), spark.createDataFrame([(h, p) for h, ps in held.items() for p in ps], "handle string, package string")).collect()
     want = {}
     for h, out in held.items():
         left = set() if "app" in out else set(live_reach([e for e in edges if not {e[0], e[1]} & out])) | {"app"}

@@ -59,6 +59,14 @@ def where_counts(spans: DataFrame, others: DataFrame, holds: Column, keys: Seque
     return turns.select(*keys, "on", F.col("t").alias("vf"), F.lead("t").over(order).alias("vt")).where("on").drop("on")
 
 
+def depths(spans: DataFrame, keys: Sequence[str] = ("node",)) -> DataFrame:
+    """(keys, vf, vt, n): the instants that n rows of a key cover, n being 1 or more; no two rows of a key share an instant."""
+    ends = _changes(spans, keys, "own").groupBy(*keys, "t").agg(F.sum("own").alias("own"))
+    order = Window.partitionBy(*keys).orderBy("t")
+    n = F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ends.select(*keys, F.col("t").alias("vf"), F.lead("t").over(order).alias("vt"), n.alias("n")).where("n > 0")
+
+
 def minus(spans: DataFrame, others: DataFrame, keys: Sequence[str] = ("node",)) -> DataFrame:
     """(keys, vf, vt): what `spans` cover and `others` don't, as maximal intervals."""
     return where_counts(spans, others, (F.col("own") > 0) & (F.col("other") == 0), keys)

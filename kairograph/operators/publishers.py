@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.functions.intervals import coalesce, minus, where_counts
-from kairograph.functions.lineage import written
+from kairograph.functions.intervals import coalesce, depths, minus
+from kairograph.functions.lineage import Steps, written
 from kairograph.operators.reach import DEPTH, back_pointers, expanded
 
 YEAR = 31_536_000
@@ -96,22 +96,15 @@ def lost_spans(edges: DataFrame, found: DataFrame, held: DataFrame, depth: int =
     """
     keys = ["handle", "node"]
     out = written(held.select("handle", F.col("package").alias("node")).distinct(), "blocked")
-    own = written(out.join(found, "node").select("handle", "node", "vf", "vt", "hop"), "own")
-    support = written(back_pointers(edges, found), "supports")
-    fell = own.where("hop = 0").drop("hop")
-    region: list[DataFrame] = []
+    own = written(out.join(found, "node").select("handle", "node", "vf", "vt", "hop"), "own", by="hop")
+    support = written(back_pointers(edges, found), "supports", by="hop")
+    held_up = written(depths(support.withColumnRenamed("dst", "node"), ["hop", "node"]).select("hop", F.col("node").alias("of"), F.col("vf").alias("s_vf"), F.col("vt").alias("s_vt"), F.col("n").alias("all")), "held-up", by="hop")
+    fell, region = own.where("hop = 0").drop("hop"), Steps(edges.sparkSession, "fallen")
     for hop in range(1, depth + 1):
-        into = support.where(F.col("hop") == hop).drop("hop")
-        gone = written(expanded(fell, into, ["handle"]).join(out, keys, "left_anti"), "gone")
-        touched = gone.select(*keys).distinct()
-        whole = touched.join(into.select(F.col("dst").alias("node"), "vf", "vt"), "node").select(*keys, "vf", "vt")
-        fallen = written(where_counts(whole, gone, (F.col("own") > 0) & (F.col("own") == F.col("other")), keys), "fallen")
-        region.append(fallen)
-        fell = fallen.unionByName(own.where(F.col("hop") == hop).drop("hop"))
-    down = region[0]
-    for rows in region[1:]:
-        down = down.unionByName(rows)
-    down = written(coalesce(down, keys), "region")
+        gone = depths(expanded(fell, support.where(F.col("hop") == hop), ["handle"]).join(out, keys, "left_anti"), keys)
+        alone = gone.join(held_up.where(F.col("hop") == hop), (F.col("node") == F.col("of")) & (F.col("n") == F.col("all"))).withColumns({"vf": F.greatest("vf", "s_vf"), "vt": F.least("vt", "s_vt")}).where("vf < vt")
+        fell = region.add(alone.select(*keys, "vf", "vt")).unionByName(own.where(F.col("hop") == hop).drop("hop"))
+    down = written(coalesce(region.all().drop("hop"), keys), "region")
     mine = own.select(*keys, "vf", "vt").withColumn("own", F.lit(True))
     if down.isEmpty():
         return mine
@@ -122,18 +115,18 @@ def lost_spans(edges: DataFrame, found: DataFrame, held: DataFrame, depth: int =
     entered = inner.join(starts, "from").withColumns({"vf": F.greatest("vf", "u_vf"), "vt": F.least("vt", "u_vt")}).where("vf < vt").select(*keys, "from", "hop", "vf", "vt")
     not_standing = own.select(*keys, "vf", "vt").unionByName(down).withColumnRenamed("node", "from")
     falling = entered.select(*keys, "from", "hop").distinct().join(not_standing, ["handle", "from"])
-    border = written(minus(entered, falling, [*keys, "from", "hop"]), "border")
-    back = new = None
+    border = written(minus(entered, falling, [*keys, "from", "hop"]), "border", by="hop")
+    back, new = Steps(edges.sparkSession, "entered"), None
+    last = border.agg(F.max("hop")).first()[0] or 0
     for hop in range(1, depth + 1):
+        if hop > last and (new is None or new.isEmpty()):
+            break
         come = border.where(F.col("hop") == hop).select(*keys, "vf", "vt")
         if new is not None:
             inside = new.select("handle", F.col("node").alias("from"), F.col("vf").alias("n_vf"), F.col("vt").alias("n_vt"))
             come = come.unionByName(inner.join(inside, ["handle", "from"]).withColumns({"vf": F.greatest("vf", "n_vf"), "vt": F.least("vt", "n_vt")}).where("vf < vt").select(*keys, "vf", "vt"))
-        elif border.isEmpty():
-            break
-        new = written(coalesce(come, keys) if back is None else minus(come, back, keys), "entered")
-        back = new if back is None else back.unionByName(new)
-    lost = down if back is None else minus(down, back, keys)
+        new = back.add(minus(come, back.all(), keys) if back.n else coalesce(come, keys))
+    lost = minus(down, back.all(), keys) if back.n else down
     return mine.unionByName(lost.withColumn("own", F.lit(False)))
 
 

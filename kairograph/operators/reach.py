@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.functions.intervals import OPEN, coalesce, contains, minus
-from kairograph.functions.lineage import written
+from kairograph.functions.lineage import Steps, written
 
 DEPTH = 12
 
@@ -41,30 +41,33 @@ def expanded(front: DataFrame, edges: DataFrame, keys: Sequence[str] = (), block
     return new if blocked is None else new.join(blocked, [*keys, "node"], "left_anti")
 
 
-def frontiers(
-    edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH, within: tuple[int, int] = (0, OPEN), blocked: DataFrame | None = None, tagged: bool = False
+def _stepped(
+    steps: Steps, edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH, within: tuple[int, int] = (0, OPEN), blocked: DataFrame | None = None, tagged: bool = False
 ) -> Iterator[DataFrame]:
-    """The rows (keys, node, vf, vt) that each superstep adds, the sources first. blocked: (keys, node) never entered."""
     names = [*keys, "node"]
     first = clipped(sources.select(*names, "vf", "vt"), within)
-    state = front = written(coalesce(first if blocked is None else first.join(blocked, names, "left_anti"), names), "frontier")
+    front = steps.add(coalesce(first if blocked is None else first.join(blocked, names, "left_anti"), names))
     yield front
     for _ in range(depth):
-        front = written(minus(expanded(front, edges, keys, blocked, tagged), state, names), "frontier")
+        front = steps.add(minus(expanded(front, edges, keys, blocked, tagged), steps.all(), names))
         if front.isEmpty():
             return
         yield front
-        state = state.unionByName(front)
+
+
+def frontiers(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), **options) -> Iterator[DataFrame]:
+    """The rows (keys, node, vf, vt) that each superstep adds, the sources first. Options: depth; within, an interval that all
+    happens in; blocked, (keys, node) never entered; tagged."""
+    return _stepped(Steps(edges.sparkSession, "search"), edges, sources, keys, **options)
 
 
 def layers(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
     """Rows (keys, node, vf, vt, hop): the instants at which each node is reached, by the least number of edges that it takes then.
-    No two rows of a node share an instant."""
-    found = None
-    for hop, front in enumerate(frontiers(edges, sources, keys, **options)):
-        rows = front.withColumn("hop", F.lit(hop))
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    No two rows of a node share an instant. They lie in the shared folder."""
+    steps = Steps(edges.sparkSession, "search")
+    for _ in _stepped(steps, edges, sources, keys, **options):
+        pass
+    return steps.all()
 
 
 def coexistence_reach(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), depth: int = DEPTH, within: tuple[int, int] = (0, OPEN), blocked: DataFrame | None = None) -> DataFrame:
@@ -86,16 +89,15 @@ def union_reach(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (),
     """Nodes reached when intervals are ignored, with their layer; the number of expansion rounds (the last, empty one
     included); and whether the frontier was not empty after the last."""
     names = [*keys, "node"]
-    steps = written(edges.select(F.col("src").alias("node"), "dst").distinct(), "steps")
-    seen = front = written(sources.select(*names).distinct().withColumn("layer", F.lit(0).cast("long")), "layer")
+    pairs, steps = written(edges.select(F.col("src").alias("node"), "dst").distinct(), "pairs"), Steps(edges.sparkSession, "layers")
+    front = steps.add(sources.select(*names).distinct())
     last = None if front.isEmpty() else 0
     while last is not None and last < depth:
-        new = front.select(*names).join(steps, "node").select(*keys, F.col("dst").alias("node")).distinct().join(seen, names, "left_anti")
-        front = written(new.withColumn("layer", F.lit(last + 1).cast("long")), "layer")
+        front = steps.add(front.join(pairs, "node").select(*keys, F.col("dst").alias("node")).distinct().join(steps.all(), names, "left_anti"))
         if front.isEmpty():
             break
-        seen, last = seen.unionByName(front), last + 1
-    return seen, *_rounds(last, depth)
+        last += 1
+    return steps.all().select(*names, F.col("hop").cast("long").alias("layer")), *_rounds(last, depth)
 
 
 def reached_at(spans: DataFrame, t: int) -> DataFrame:
@@ -160,7 +162,7 @@ def package_chains(edges: DataFrame, sources: DataFrame, wanted: DataFrame, pack
     node that is still on a chain and the instants that are left.
     """
     steps = written(edges.select("src", "dst", "vf", "vt"), "steps")
-    found = written(layers(steps, sources, depth=depth), "layers")
+    found = layers(steps, sources, depth=depth)
     last = entering(steps, found).withColumn("package", package_of(F.col("dst"))).join(wanted.select("package").distinct(), "package", "left_semi").where(F.col("hop") <= depth)
     best = last.groupBy("package").agg(F.min(F.struct("hop", "dst", "src")).alias("b")).select("package", "b.*")
     now = written(

@@ -191,7 +191,7 @@ SELECT handle, controls, total.n - coalesce(still.n, 0) AS lost, total.n - coale
 FROM (SELECT handle, count(*) AS controls FROM own GROUP BY handle) c LEFT JOIN still USING (handle), total""", True))
 def cuts(spark, sf_dir):
     edges, sources = _graph(spark, sf_dir)
-    found = written(reach.layers(edges, sources), "layers")
+    found = reach.layers(edges, sources)
     held = publishers.roster(found.withColumnRenamed("node", "package"), view(spark, sf_dir, "holds"))
     return publishers.cuts(edges, found, held)
 
@@ -341,7 +341,7 @@ FROM months LEFT JOIN x USING (instant) LEFT JOIN y USING (instant)""", True))
 def audit_timeline(spark, sf_dir):
     edges, sources = _graph(spark, sf_dir)
     holds = view(spark, sf_dir, "holds")
-    both = written(reach.both_graphs(edges, sources), "both")
+    both = reach.both_graphs(edges, sources)
     spans = written(intervals.coalesce(both.where("NOT timeless")), "spans")
     held = written(publishers.roster(spans.withColumnRenamed("node", "package"), holds), "held")
     union = publishers.union_holders(both.where("timeless").select(F.col("node").alias("package")), holds)

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kairograph.llm import html_text, jaccard_join, mixing, queries, secrets, toxicity, warc
 
@@ -196,6 +197,59 @@ def test_rates_meet_the_targets(spark):
     assert abs((rows["copies"] - rows["rate"]).mean()) < 0.05
 
 
+def test_posteriors_equal_plain_bayes(spark):
+    """Lexicon, moments and posteriors by plain loops over the same rows."""
+    import math
+
+    import regex
+
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    domain = {r["doc_id"]: "toxic" if (r["toxic"] or 0) > 0 else "high" if (r["quality"] or 0) > 0 else "low" for r in l.collect() if r["toxic"] is not None or r["quality"] is not None}
+    domain = {i: k for i, k in domain.items() if i in texts}
+    size = {k: sum(v == k for v in domain.values()) for k in mixing.DOMAINS}
+    words = {i: set(regex.findall(r"\p{L}+", t.lower())) for i, t in texts.items()}
+    counts: dict = {}
+    for i, k in domain.items():
+        for w in words[i]:
+            counts.setdefault(w, dict.fromkeys(mixing.DOMAINS, 0))[k] += 1
+    lean = lambda c: math.log((c["toxic"] + 0.5) / (size["toxic"] + 1)) - math.log((c["low"] + c["high"] + 0.5) / (size["low"] + size["high"] + 1))
+    chosen = sorted((w for w, c in counts.items() if c["toxic"] >= 5 and lean(c) >= math.log(8)), key=lambda w: (-counts[w]["toxic"] * lean(counts[w]), w))[: mixing.LEXICON]
+    share = {w: {k: (counts[w][k] + 0.5) / (size[k] + 1) for k in mixing.DOMAINS} for w in chosen}
+    assert mixing.fit_lexicon(d, l) == share and len(share) > 5
+
+    def numbers(t):
+        n = max(1, len(regex.findall(r"[^ \t\n\x0b\f\r]+", t)))
+        some = lambda chars: sum(c in chars for c in t) / n
+        return [math.log1p(x) for x in (some(mixing._UPPER), some(mixing._SYMBOLS), some(".,"), len(t) / n)]
+
+    style = {i: numbers(t) for i, t in texts.items()}
+    fit = {k: [(np.mean(c), max(np.var(c), 1e-4)) for c in zip(*(style[i] for i, v in domain.items() if v == k), strict=True)] for k in mixing.DOMAINS}
+    for r in mixing.plan(d, l).collect():
+        i, logs = r["doc_id"], {}
+        for k in mixing.DOMAINS:
+            logs[k] = math.log(size[k] / len(domain)) + sum(-0.5 * math.log(v) - (x - m) ** 2 / (2 * v) for x, (m, v) in zip(style[i], fit[k], strict=True))
+            logs[k] += sum(math.log(share[w][k]) if w in words[i] else math.log(1 - share[w][k]) for w in chosen)
+        whole = sum(math.exp(x - max(logs.values())) for x in logs.values())
+        assert all(abs(r[f"p_{k}"] - math.exp(logs[k] - max(logs.values())) / whole) < 1e-6 for k in mixing.DOMAINS)
+        assert r["converged"] and r["miss"] <= mixing.TOLERANCE
+
+
+def test_held_out_toxic_rows_are_told_and_thinned(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = mixing.plan(d, l.where(~held)).join(l.where(held).select("doc_id", "toxic"), "doc_id").groupBy("toxic").agg(F.avg("p_toxic").alias("p"), F.avg("rate").alias("rate")).collect()
+    found = {r["toxic"]: r for r in rows}
+    assert found[1]["p"] > 0.8 and found[0]["p"] < 0.01 and found[1]["rate"] < 0.35 < 0.8 < found[0]["rate"]
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    table = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(20)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = mixing.plan(table, none, {"toxic": 0.8, "low": 0.1, "high": 0.1}).collect()
+    assert all(not r["converged"] and abs(r["miss"] - 0.4667) < 0.01 and abs(r["rate"] - 1) < 0.01 for r in rows)
+
+
 def test_mixing_takes_odd_tables(spark):
     table = spark.createDataFrame([(1, "a b c", 0.5), (1, "a b c", 0.5), (2, None, 0.1), (None, "", 0.1), (3, "w " * 100_000, 0.2)], "doc_id long, text string, rate double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

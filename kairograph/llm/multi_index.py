@@ -3,12 +3,12 @@
 Vectors are scaled to unit length and cut in halves; each half has a codebook of its own, and the pairs
 of codewords form a grid of cells. Every vector lies in its home cell and visits further cells in order
 of the summed distances (multi-sequence traversal). How many it visits follows from the target recall:
-for sample vectors and random partners at exactly the threshold the traversal's rank of the partner's
-home cell is measured, and the target's quantile is taken. Of two partners the one with the smaller home
+for vectors that the codebooks weren't fitted on, and random partners at exactly the threshold, the traversal's rank of the
+partner's home cell is measured, and the target's quantile is taken. Of two partners the one with the smaller home
 cell does the visiting. In each cell visitors meet residents in blocks, and the cosine decides.
 
 A codebook has LEAST_WORDS words or one for each CELL_VECTORS vectors a cell, whichever is more, at every size, so
-cells don't grow with the table. Codebooks are fitted on a sample of `sample` vectors, or 16 a word if that is more (it
+cells don't grow with the table. Codebooks are fitted on half of a sample of `sample` vectors, or 32 a word if that is more (it
 grows with the root of the table); every vector is indexed. Vectors of different lengths have grids of their own. Equal
 vectors are one node with a multiplicity, so copies are never compared. Tasks send counts and at most one edge a
 vector; cells that are large are told by a join, so nothing about cells passes the driver.
@@ -35,7 +35,9 @@ from kairograph.llm.components import connected_components
 
 COSINE = 0.9
 RECALL = 0.995
-SAMPLE = 4096
+SAMPLE = 8192
+#: Vectors of the sample, and as many partners, on which visits are measured.
+MEASURED = 4096
 LEAST_WORDS, CELL_VECTORS = 12, 400
 RESIDENTS, VISITORS = 2048, 8192
 #: Cell ids hold the vectors' length above this many bits.
@@ -54,24 +56,30 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class Grid:
-    """Two codebooks and the number of cells to visit."""
+    """Two codebooks and the number of cells to visit. Codebooks are fitted on one half of the sample; the visits are measured on
+    the other half, which they don't know, by the rule that is used: of two partners the one with the smaller home cell visits."""
 
     def __init__(self, sample: np.ndarray, words: int, cosine: float, recall: float):
         self.half = max(1, sample.shape[1] // 2)
-        self.words = min(words, len(sample))
-        self.books = kmeans(sample[:, : self.half], self.words), kmeans(sample[:, self.half :], self.words)
         rng = np.random.default_rng(0)
-        u = sample[rng.permutation(len(sample))[:1024]]
+        sample = sample[rng.permutation(len(sample))]
+        known, u = (sample[::2], sample[1::2][:MEASURED]) if len(sample) > 1 else (sample, sample)
+        self.words = min(words, len(known))
+        self.books = kmeans(known[:, : self.half], self.words), kmeans(known[:, self.half :], self.words)
         g = rng.normal(size=u.shape)
         g -= (g * u).sum(1, keepdims=True) * u
         g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)
-        target = np.divmod(self.home(cosine * u + np.sqrt(1 - cosine**2) * g), self.words)
-        a, b = self.distances(u)
-        own = np.arange(len(u))
-        sums = a[own, target[0]] + b[own, target[1]]
+        v = cosine * u + np.sqrt(1 - cosine**2) * g
+        own, other = self.home(u), self.home(v)
+        visitor = np.where((own <= other)[:, None], u, v)
+        target = np.divmod(np.maximum(own, other), self.words)
+        a, b = self.distances(visitor)
+        at = np.arange(len(u))
+        sums = a[at, target[0]] + b[at, target[1]]
         a, b = np.sort(a, axis=1), np.sort(b, axis=1)
-        rank = [int(np.searchsorted(b[i], sums[i] - a[i], "left").sum()) for i in own]
-        self.visits = min(self.words**2, int(np.quantile(rank, recall)) + 1)
+        rank = np.array([int(np.searchsorted(b[i], sums[i] - a[i], "left").sum()) for i in at])
+        rank[own == other] = 0  # they meet at home
+        self.visits = min(self.words**2, int(np.quantile(rank, recall, method="higher")) + 1)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = x[:, : self.half], x[:, self.half :]
@@ -140,7 +148,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     nodes = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "nodes")
     size = nodes.count()
     # a sample in the order of the digests
-    chosen = [np.frombuffer(r["raw"], form).astype(float) for r in nodes.orderBy("node").limit(max(sample, 16 * words_for(size))).select("raw").collect()]
+    chosen = [np.frombuffer(r["raw"], form).astype(float) for r in nodes.orderBy("node").limit(max(sample, 32 * words_for(size))).select("raw").collect()]
     grids = spark.sparkContext.broadcast(fitted(chosen, size, cosine, recall))
 
     def located(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -165,6 +165,19 @@ def test_multi_index_recall_on_the_table(spark):
     assert got.agg(F.sum("n_links")).first()[0] >= 0.9 * (near.sum() - len(y))
 
 
+@pytest.mark.parametrize("length,size", [(64, 50_000_000), (768, 500_000), (768, 5_000_000)])
+def test_recall_on_vectors_that_the_grid_does_not_know(length, size):
+    rng = np.random.default_rng(length + size)
+    words = multi_index.words_for(size)
+    grid = multi_index.Grid(unit(rng.normal(size=(max(multi_index.SAMPLE, 32 * words), length))), words, 0.9, multi_index.RECALL)
+    u = unit(rng.normal(size=(2000, length)))
+    g = rng.normal(size=u.shape)
+    v = 0.9 * u + np.sqrt(1 - 0.81) * unit(g - (g * u).sum(1, keepdims=True) * u)
+    a, b, from_u, from_v = grid.home(u), grid.home(v), grid.nearest(u), grid.nearest(v)
+    met = [x == y or (y in from_u[i] if x < y else x in from_v[i]) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    assert np.mean(met) >= 0.98 and grid.visits < words**2 / 8
+
+
 def test_multi_index_recall_at_a_larger_size(spark, tmp_path):
     rng = np.random.default_rng(6)
     y = unit(rng.normal(size=(50_000, 64)))
@@ -172,7 +185,7 @@ def test_multi_index_recall_at_a_larger_size(spark, tmp_path):
     g = unit(g - (g * y[:500]).sum(1, keepdims=True) * y[:500])
     cos = rng.uniform(0.905, 0.95, 500)[:, None]
     y[500:1000] = cos * y[:500] + np.sqrt(1 - cos**2) * g  # 500 planted pairs; no other pair is near
-    grid = multi_index.fitted(list(y[rng.permutation(len(y))[:4096]]), len(y), 0.9, multi_index.RECALL)[64]
+    grid = multi_index.fitted(list(y[rng.permutation(len(y))[: multi_index.SAMPLE]]), len(y), 0.9, multi_index.RECALL)[64]
     assert grid.visits < grid.words**2 / 4
     pq.write_table(pa.table({"vec_id": np.arange(len(y)), "embedding": pa.FixedSizeListArray.from_arrays(y.astype(np.float32).ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
     table_ = spark.read.parquet(f"file://{tmp_path}/v.parquet")

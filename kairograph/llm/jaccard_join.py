@@ -243,7 +243,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
         chunks = [(k, c) for k, c in enumerate(np.split(cells, 1 << (SKETCH_BITS - CHUNK_BITS))) if c.any()]
         if chunks:
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(chunks)).cast(batch.schema.field("doc_id").type), pa.nulls(len(chunks), pa.int32()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.binary()), pa.array([k for k, _ in chunks], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks], pa.binary())], names
+                [pa.nulls(len(chunks), batch.schema.field("doc_id").type), pa.nulls(len(chunks), pa.int32()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.binary()), pa.array([k for k, _ in chunks], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks], pa.binary())], names
             )
 
     seen = materialize(rows.mapInArrow(tidy(described), f"doc_id {id_type.simpleString()}, n int, node long, parity binary, chunk int, packed binary"), "sets")
@@ -370,7 +370,14 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Rows of `docs`, all columns, whose doc_id names their component, and rows without doc_id."""
-    # written first: Spark then knows the size of the ids before it decides whether whole texts must be shuffled to meet them
-    gone = materialize(join(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """Of each group of linked rows of `docs` one row, with all columns: the one with the least doc_id (null last), then the least
+    digest of its text; of rows equal in both any one. Rows without words link with nothing and all stay."""
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
+    found = join(docs.select(key.alias("doc_id"), "text"), words, similarity)
+    rows = found.where("n_shingles > 0").groupBy("doc_id").agg(F.first("component_id").alias("component_id"), F.count("*").alias("times")).where("doc_id <> component_id OR times > 1")
+    # written first: Spark then knows the size of the keys before it decides whether whole texts must be shuffled to meet them
+    rows = materialize(rows.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.digest").alias("__digest"), (F.col("doc_id") == F.col("component_id")).alias("__first")), "not-alone")
+    same = docs["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(docs["text"]) == rows["__digest"])
+    alone = docs.join(rows, same, "left_anti")
+    first = docs.join(rows.where("__first"), same, "left_semi").withColumn("__digest", F.xxhash64("text")).dropDuplicates(["doc_id", "__digest"])
+    return alone.unionByName(first.drop("__digest"))

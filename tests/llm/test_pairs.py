@@ -109,7 +109,18 @@ def test_join_takes_odd_tables(spark):
     rows = sorted(jaccard_join.join(table).collect(), key=str)
     assert [(r["doc_id"], r["component_id"]) for r in rows if r["n_shingles"] == 3] == [(4, 4), (4, 4), (None, 4)]
     assert jaccard_join.join(table.where("false")).count() == 0
-    assert sorted(str(r["doc_id"]) for r in jaccard_join.keep_first(table).collect()) == ["4", "4", "9", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in jaccard_join.keep_first(table).collect()) == ["4", "9", "None"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two, near = "a b c d e f g", "h i j k l m n", " ".join(f"w{i}" for i in range(60))
+    rows = [(None, one), (None, one), (7, two), (7, one), (8, two), (3, near), (None, near + " x"), (5, ""), (5, ""), (None, None), (6, "lone words stand here")]
+    table = spark.createDataFrame([(*r, f"clash{i}", i, 0) for i, r in enumerate(rows)], "doc_id long, text string, node string, n int, digest int")
+    kept = jaccard_join.keep_first(table)
+    assert kept.columns == table.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(7, one), (7, two), (3, near), (5, ""), (5, ""), (None, None), (6, "lone words stand here")], key=str)
+    assert jaccard_join.keep_first(table.where("false")).count() == 0
+    assert jaccard_join.keep_first(table.where("doc_id IS NULL AND text LIKE 'a%'")).count() == 1
 
 
 def vectors(seed, n, width=16):

@@ -17,27 +17,28 @@ from kairograph.llm.common import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject; null and empty texts are judged like others, repeated rows alike."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at 0.8 or more; documents without doc_id stay."""
+    """One row of each group linked by five-word shingles at 0.8 or more, repeated rows and rows without doc_id included; texts without
+    words all stay. An empty table gives an empty table."""
     return jaccard_join.keep_first(docs, words=5, similarity=(80, 100))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark and n_chars following."""
+    """All documents, secrets replaced by a mark and n_chars following; null texts stay null."""
     return secrets.redact(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say."""
+    """Documents as often as their fitted rates say; texts without words go, they have no tokens to mix."""
     return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of every text's token ids, and digest of what they decode to."""
+    """Number and digest of every text's token ids, and digest of what they decode to; null is empty."""
     return bpe.digests(docs)
 
 

@@ -268,13 +268,14 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times))], ["entry", "node", "n"])
 
     entries = materialize(rows.mapInArrow(tidy(indexed), "entry long, node long, n int").groupBy("entry", "node").agg(F.first("n").alias("n")), "entries")
-    # entries that several nodes share, each set of members once; counts are combined before the shuffle
+    # entries that several nodes share, each set of members once, told by number, ends and exclusive or of its nodes; most entries
+    # have one node, whose id is then all three and costs a shuffled row little
     shared = (
         entries.groupBy("entry")
-        .agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mixed"), F.min("n").alias("low"), F.max("n").alias("high"))
+        .agg(F.count("*").alias("m"), F.bit_xor("node").alias("mixed"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"))
         .where("m > 1")
         .where((F.col("m") > 2) | (F.col("low") * den >= F.col("high") * num))  # two sets of too different sizes can't be linked
-        .groupBy("m", "total", "mixed")
+        .groupBy("m", "mixed", "first", "last")
         .agg(F.min("entry").alias("entry"))
     )
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")

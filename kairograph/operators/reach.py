@@ -125,7 +125,7 @@ def summary(edges: DataFrame, sources: DataFrame, depth: int = DEPTH) -> DataFra
     union = found.where("timeless").agg(F.count("*").alias("n_union"), F.max("hop").alias("last"))
     return union.crossJoin(spans).select(  # one row each
         "n_union", "n_coexistence", (F.col("n_union") - F.col("n_coexistence")).alias("n_phantom"), F.round(F.try_divide(F.col("n_spans"), F.col("n_coexistence")), 6).alias("kappa"),
-        F.coalesce(F.least(F.lit(depth), F.col("last") + 1), F.lit(0)).cast("long").alias("depth"), F.coalesce(F.col("last") == depth, F.lit(False)).alias("truncated"),
+        F.when(F.col("last").isNull(), 0).otherwise(F.least(F.lit(depth), F.col("last") + 1)).cast("long").alias("depth"), F.coalesce(F.col("last") == depth, F.lit(False)).alias("truncated"),
     )
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairograph.functions import intervals, semver, text
 from kairograph.functions.intervals import OPEN
 from kairograph.functions.lineage import written
-from kairograph.operators import advisory, incident, publishers, observatory, reach, temporal, typosquat
+from kairograph.operators import advisory, incident, publishers, observatory, reach, scopes, temporal, typosquat
 from kairograph.plans.views import view, with_views
 from kairograph.sources import feeds, lockfiles
 
@@ -439,8 +439,6 @@ def name_normalize(spark, sf_dir):
   UNION ALL SELECT package, version || '-rc.' || (part % 11), major, minor, patch, 0, 1, part % 11 FROM releases UNION ALL SELECT package, version || '-beta', major, minor, patch, 0, 0, 0 FROM releases)
 SELECT package, version, row_number() OVER (PARTITION BY package ORDER BY major, minor, patch, final, word, n) AS place FROM v"""))
 def semver_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     releases = view(spark, sf_dir, "releases")
     spelt = F.explode(F.array("version", F.concat("version", F.lit("-rc."), F.col("part") % 11), F.concat("version", F.lit("-beta"))))
     place = F.row_number().over(Window.partitionBy("package").orderBy(semver.version_key(F.col("version"))))
@@ -471,8 +469,6 @@ def _ranges(cut: str) -> list[str]:
     + "tried AS (" + " UNION ALL ".join(f"""SELECT {text_.replace("(major", "(r.major").replace("(minor", "(r.minor").replace("(patch", "(r.patch")} AS "range", x.version, {means} AS satisfied FROM pair x JOIN releases r ON r.part = x.other""" for text_, means in zip(_ranges("CAST({} AS VARCHAR)"), _RANGES.values(), strict=True)) + """)
 SELECT DISTINCT "range", version, satisfied FROM tried"""))
 def semver_satisfies(spark, sf_dir):
-    from pyspark.sql import Window
-
     releases = view(spark, sf_dir, "releases")
     texts = releases.select("part", F.explode(F.array(*map(F.expr, _ranges("CAST({} AS STRING)")))).alias("range"))
     earlier = F.lag("part").over(Window.partitionBy("package").orderBy("published_at", "part"))
@@ -524,6 +520,44 @@ def lockfile_npm(spark, sf_dir):
     return lockfiles.parse(flat.select(path, packages.alias("content")).unionByName(nested.select(path, tree.alias("content"))))
 
 
+@query("""WITH l AS (SELECT o_orderkey AS o, l_partkey AS p, min(l_linenumber) AS n, min(l_suppkey) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+k AS (SELECT *, lead(p) OVER w AS q, lead(n) OVER w AS qn, lead(s) OVER w AS qs, lead(p, 2) OVER w AS r, lead(n, 2) OVER w AS rn, lead(s, 2) OVER w AS rs FROM l WINDOW w AS (PARTITION BY o ORDER BY n, p)),
+a AS (SELECT o, concat('node_modules/part-', p) AS place, coalesce('part-' || q, 'gone') AS name, concat('^', n) AS "range",
+    CASE WHEN q IS NULL THEN NULL WHEN n % 2 = 0 THEN concat('node_modules/part-', p, '/node_modules/part-', q) ELSE concat('node_modules/part-', q) END AS resolved_place,
+    CASE WHEN q IS NULL THEN NULL WHEN n % 2 = 0 THEN concat('9.', n, '.0') ELSE concat(qs, '.', qn, '.0') END AS version FROM k
+  UNION ALL SELECT o, concat('node_modules/part-', p, '/node_modules/part-', q), concat('part-', r), '*', concat('node_modules/part-', r), concat(rs, '.', rn, '.0') FROM k WHERE n % 2 = 0 AND r IS NOT NULL)
+SELECT concat('o', o, '/package-lock.json') AS path, place, name, "range", resolved_place, version FROM a""")
+def nearest_scope(spark, sf_dir):
+    # in every order each part needs the next one; parts of even lines have an own copy of it below them, which needs the one after
+    line = _lines(spark, sf_dir)
+    by_line = Window.partitionBy("o").orderBy("n", "p")
+    part = lambda c: F.concat(F.lit("part-"), c)
+    k = line.select("o", "p", "n", "version", F.lead("p").over(by_line).alias("q"), F.lead("p", 2).over(by_line).alias("r"))
+    need = lambda name, text: F.map_from_arrays(F.array(name), F.array(text))
+    top = F.struct(F.concat(F.lit("node_modules/"), part("p")).alias("place"), F.struct("version", need(F.coalesce(part("q"), F.lit("gone")), F.concat(F.lit("^"), "n")).alias("dependencies")).alias("entry"))
+    below = F.struct(
+        F.concat(F.lit("node_modules/"), part("p"), F.lit("/node_modules/"), part("q")).alias("place"),
+        F.struct(F.concat(F.lit("9."), "n", F.lit(".0")).alias("version"), F.when(F.col("r").isNotNull(), need(part("r"), F.lit("*"))).alias("dependencies")).alias("entry"),
+    )
+    placed = k.select("o", F.explode(F.when((F.col("n") % 2 == 0) & F.col("q").isNotNull(), F.array(top, below)).otherwise(F.array(top))).alias("x"))
+    packages = placed.groupBy("o").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("x.place", "x.entry")))).alias("packages"))
+    files = packages.select(F.concat(F.lit("o"), "o", F.lit("/package-lock.json")).alias("path"), F.concat(F.lit('{"name":"x","packages":{"":{},'), F.substr("packages", F.lit(2)), F.lit("}")).alias("content"))
+    return scopes.nearest_scope(lockfiles.requirements(files), lockfiles.entries(files))
+
+
+# Every locked part is a release of its brand, asked for by the range of its own major version.
+@query(with_views(["releases", "locks"], f""", r AS (SELECT *, max(minor * 100 + patch) OVER (PARTITION BY package, major ORDER BY published_at, minor * 100 + patch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM releases WHERE published_at > 0),
+w AS (SELECT package, major, version, published_at AS vf, lead(published_at, 1, {OPEN}) OVER (PARTITION BY package, major ORDER BY published_at, minor * 100 + patch) AS vt FROM r WHERE best IS NULL OR minor * 100 + patch > best),
+j AS (SELECT CASE WHEN w.version IS NULL THEN 'no window' WHEN w.version = x.version THEN 'agree' ELSE 'disagree' END AS verdict FROM locks JOIN releases x ON x.part = node LEFT JOIN w ON w.package = x.package AND w.major = x.major AND w.vf <= locked_at AND locked_at < w.vt)
+SELECT verdict, count(*) AS locks, (SELECT count(*) FILTER (WHERE verdict = 'agree') / count(*) FILTER (WHERE verdict <> 'no window') FROM j) AS rate FROM j GROUP BY verdict"""))
+def lock_agreement(spark, sf_dir):
+    releases = view(spark, sf_dir, "releases")
+    asked = F.concat("package", F.lit("#"), "major")
+    declared = releases.select(asked.alias("declaration"), "package", F.concat("major", F.lit(".x")).alias("range"), F.lit(0).cast("long").alias("declared_at")).distinct()
+    locked = view(spark, sf_dir, "locks").join(releases.select(F.col("part").alias("node"), asked.alias("declaration"), "version"), "node")
+    return scopes.agreement(locked, temporal.resolution_windows(declared, releases))
+
+
 @query(_LOCKED.format("pnpm-lock.yaml", "CASE WHEN p % 3 = 0 THEN '@shop/' ELSE '' END", "false", "false"))
 def lockfile_pnpm(spark, sf_dir):
     # each key in one of the three forms, some with peers in brackets

@@ -66,6 +66,22 @@ def npm(files: DataFrame) -> DataFrame:
     return normalised(pins.unionByName(trees))
 
 
+def _places(files: DataFrame) -> DataFrame:
+    """(path, place, p) of the entries of flat packages maps, the root's place being ''."""
+    return files.where(kind_of(F.col("path")) == "package-lock.json").select("path", F.explode(F.from_json("content", _NPM)["packages"]).alias("place", "p"))
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """(path, place, version) of what flat packages maps install, links left out."""
+    return _places(files).where("place <> '' AND NOT coalesce(p.link, false)").select("path", "place", F.col("p.version").alias("version"))
+
+
+def requirements(files: DataFrame) -> DataFrame:
+    """(path, place, name, range) of what each entry of flat packages maps asks for; the root's for development too."""
+    every = F.map_concat(F.coalesce(F.col("p.dependencies"), F.create_map().cast("map<string,string>")), F.map_filter(F.coalesce(F.col("p.devDependencies"), F.create_map().cast("map<string,string>")), lambda k, v: ~F.coalesce(F.map_contains_key("p.dependencies", k), F.lit(False))))
+    return _places(files).select("path", "place", F.explode(every).alias("name", "range"))
+
+
 def projects(files: DataFrame) -> DataFrame:
     """(path, project) of package-lock files: the file's own name, else its root entry's."""
     d = F.from_json("content", _NPM)

@@ -89,29 +89,155 @@ def test_cuts_equal_searches_without_the_packages(spark):
     assert {r["handle"]: (r["lost"], r["beyond"]) for r in rows} == want
 
 
+def random_graph(rng, names, count, horizon=20):
+    return [(rng.choice(names), rng.choice(names[1:]), vf := rng.randrange(horizon), vf + rng.randint(2, 12)) for _ in range(count)]
+
+
+@pytest.mark.parametrize("seed,depth", [(1, 2), (2, 3), (3, 12), (4, 3)])
+def test_cuts_within_a_depth_equal_searches_without_the_packages(spark, seed, depth):
+    """Nodes that are reached by detours, some of them too long, cycles, and packages that nobody reaches."""
+    rng = random.Random(seed)
+    names = ["app", *"EFGHIJKL"]
+    edges = random_graph(rng, names, 24)
+    held = {f"h{i}": set(rng.sample(names[1:], rng.randint(1, 3))) for i in range(6)}
+    base = set(live_reach(edges, depth)) | {"app"}
+    found = reach.layers(graph(spark, *edges), app(spark), depth=depth)
+    rows = publishers.cuts(graph(spark, *edges), found, spark.createDataFrame([(h, p) for h, ps in held.items() for p in ps], "handle string, package string"), depth)
+    want = {}
+    for h, out in held.items():
+        left = set(live_reach([e for e in edges if not {e[0], e[1]} & out], depth)) | {"app"}
+        if out & base:
+            want[h] = (len(out & base), len(base - left), len(base - left - out))
+    assert {r["handle"]: (r["controls"], r["lost"], r["beyond"]) for r in rows.collect()} == want
+
+
+def test_layers_carry_the_least_hops_of_every_instant(spark):
+    rng = random.Random(21)
+    edges = random_graph(rng, ["app", *"MNOPQ"], 18)
+    want = {}
+    for t in range(40):
+        for depth in range(5, -1, -1):
+            want.update({(n, t): depth for n, when in live_reach([e for e in edges if e[1] != "app"], depth).items() if t in when})
+    got = {(r["node"], t): r["hop"] for r in reach.layers(graph(spark, *edges), app(spark), depth=5).where("node <> 'app'").collect() for t in range(r["vf"], r["vt"])}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_package_chains_equal_all_paths(spark, seed):
+    rng = random.Random(seed)
+    names = ["app", "r@1", "r@2", "s@1", "s@2", "t@1", "u@1", "w@1"]
+    edges = random_graph(rng, names, 20)
+    paths, level = [], [(("app",), 0, 99), (("s@1",), 0, 99)]  # two sources
+    for _ in range(4):
+        level = [((*p, b), max(x, vf), min(y, vt)) for p, x, y in level for a, b, vf, vt in edges if a == p[-1] and max(x, vf) < min(y, vt)]
+        paths += level
+    want = {}
+    for k in ("r", "s", "t", "u", "w", "gone"):
+        own = [p for p in paths if p[0][-1].split("@")[0] == k]
+        best = min((p[0] for p in own), key=lambda p: (len(p), p[::-1]), default=None)
+        first = maximal(instants([(0, x, y) for p, x, y in own if p == best]))[:1]
+        want[k] = (best is not None, best and len(best) - 1, best and list(best), *(first[0][1:] if first else (None, None)))
+    sources = reach.always(spark.createDataFrame([("app",), ("s@1",)], "node string"))
+    wanted = spark.createDataFrame([(k,) for k in want], "package string")
+    rows = reach.package_chains(graph(spark, *edges), sources, wanted, lambda c: F.split_part(c, F.lit("@"), F.lit(1)), depth=4)
+    assert {r["package"]: (r["found"], r["hops"], r["path"], r["vf"], r["vt"]) for r in rows.collect()} == want
+
+
+def test_exposure_from_the_target_equals_searches_from_each_lock(spark):
+    rng = random.Random(31)
+    names = ["app", *"BCDEFG"]
+    edges = random_graph(rng, names, 22)
+    locks = [(f"proj{i}", rng.choice(names), rng.randrange(25)) for i in range(40)]
+    want = set()
+    for project, node, t in locks:
+        near = level = {node}
+        for _ in range(3):
+            level = {b for a, b, vf, vt in edges if a in level and vf <= t < vt}
+            near = near | level
+        if near & {"C", "F"}:
+            want.add((project, t))
+    target = spark.createDataFrame([("C",), ("F",), ("C",)], "node string")
+    got = incident.transitively_exposed(graph(spark, *edges), spark.createDataFrame(locks, "project string, node string, locked_at long"), target, depth=3)
+    assert {(r["project"], r["locked_at"]) for r in got.collect()} == want
+
+
+def test_audit_timeline_equals_an_audit_a_month(spark):
+    import datetime as dt
+
+    rng = random.Random(41)
+    month = lambda y, m: int(dt.datetime(y, m, 1, tzinfo=dt.timezone.utc).timestamp())
+    low, high = month(2019, 11), month(2021, 3)
+    some = lambda: (vf := rng.choice([month(2020, rng.randint(1, 12)), rng.randrange(low - 10**7, high)]), vf + rng.randrange(1, 2 * 10**7))
+    reached, held = [(rng.choice("abcd"), *some()) for _ in range(14)], [(rng.choice(["ida", "joe"]), *some()) for _ in range(6)]
+    frames = [spark.createDataFrame(rows, f"{k} string, vf long, vt long") for rows, k in ((reached, "node"), (held, "handle"))]
+    rows = incident.audit_timeline(*frames, spark.range(1).select(F.lit(9).alias("union_publishers")), (2019, 12), (2021, 2)).orderBy("instant").collect()
+    want = [(t, *(len({k for k, vf, vt in side if vf <= t < vt}) for side in (reached, held)), 9) for t in (month(2019 + (11 + i) // 12, (11 + i) % 12 + 1) for i in range(15))]
+    assert [tuple(r) for r in rows] == want
+
+
+def test_a_summary_without_sources(spark):
+    none = spark.createDataFrame([], "node string, vf long, vt long")
+    assert tuple(reach.summary(graph(spark, ("a", "b", 0, 9)), none).first()) == (0, 0, 0, None, 0, False)
+
+
 def test_proof_paths_need_an_edge_and_one_instant(spark):
     edges = graph(spark, ("app", "A", 1, 6), ("A", "B", 8, 12), ("app", "C", 0, 20), ("C", "B", 9, 10), ("B", "app", 0, OPEN))
     got = {r["node"]: r for r in reach.proof_paths(edges, app(spark), targets=spark.createDataFrame([("B",), ("zzz",), ("app",)], "node string")).collect()}
     assert got["B"]["path"] == ["app", "C", "B"] and (got["B"]["vf"], got["B"]["vt"]) == (9, 10) and not got["zzz"]["found"] and got["app"]["hops"] == 3
 
 
-def test_interval_sets(spark):
-    sets = {"touch": [(1, 5), (5, 8)], "bridge": [(1, 3), (7, 9), (2, 8)], "apart": [(1, 3), (7, 9)], "empty": [(4, 4)]}
-    rows = spark.createDataFrame([(k, a, b) for k, v in sets.items() for a, b in v], "node string, vf long, vt long")
-    assert spans(intervals.coalesce(rows)) == [("apart", 1, 3), ("apart", 7, 9), ("bridge", 1, 9), ("touch", 1, 8)]
-    covered = intervals.as_set(rows).select("node", intervals.covers(F.col("spans"), F.lit(2), F.lit(8)).alias("c")).collect()
-    assert {r["node"]: r["c"] for r in covered} == {"apart": False, "bridge": True, "touch": True}
+def random_spans(rng, count, keys="pqr", horizon=40):
+    return [(rng.choice(keys), vf := rng.randrange(horizon), vf + rng.choice([0, 1, 2, 5, 11])) for _ in range(count)]
+
+
+def instants(rows):
+    out = {}
+    for k, vf, vt in rows:
+        out.setdefault(k, set()).update(range(vf, vt))
+    return {k: v for k, v in out.items() if v}
 
 
-def test_signals_keep_unknown_apart_from_false(spark):
-    reached = spark.createDataFrame([("A", 0, 10), ("B", 0, 10), ("C", 0, 10)], "package string, vf long, vt long")
-    maintains = spark.createDataFrame([("alice", "A", 0, 10), ("alice", "B", 0, 10), ("alice", "C", 0, 10), ("bob", "B", 5, 20), ("old", "B", 50, 60)], "handle string, package string, vf long, vt long")
-    sampled = spark.createDataFrame([("A", 100, "alice", False, True), ("A", 200, "bob", True, False), ("A", 300, None, None, True)], "package string, published_at long, published_by string, has_provenance boolean, has_install_script boolean")
-    held = publishers.roster(reached, maintains)
-    seen = {r["handle"]: r for r in publishers.signals(held, publishers.holders_per_package(reached, held), sampled).collect()}
-    a = seen["alice"]
-    assert set(seen) == {"alice", "bob"} and (a["solo_count"], a["solo_of"], a["unproven_count"], a["looked_of"], a["install_count"], a["last_publish"], a["last_release"]) == (2, 3, 1, 2, 1, 100, 300)
-    assert (seen["bob"]["looked_of"], seen["bob"]["last_release"]) == (0, 0)
+def maximal(when):
+    """(key, vf, vt) of runs of instants."""
+    return sorted((k, t, next(e for e in range(t, 99) if e not in v)) for k, v in when.items() for t in v if t - 1 not in v)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_interval_sets_equal_sets_of_instants(spark, seed):
+    rng = random.Random(seed)
+    rows, others = random_spans(rng, 14), random_spans(rng, 9)
+    a, b = (spark.createDataFrame(r, "node string, vf long, vt long") for r in (rows, others))
+    mine, theirs = instants(rows), instants(others)
+    assert spans(intervals.coalesce(a)) == maximal(mine)
+    assert spans(intervals.minus(a, b)) == maximal({k: v - theirs.get(k, set()) for k, v in mine.items()})
+    counts = {(r["node"], t): r["n"] for r in intervals.depths(a).collect() for t in range(r["vf"], r["vt"])}
+    assert counts == {(k, t): n for k in "pqr" for t in range(60) if (n := sum(k == x and vf <= t < vt for x, vf, vt in rows))}
+    tests = [(k, vf, vf + rng.randrange(6)) for k in mine for vf in range(0, 40, 3)]
+    asked = spark.createDataFrame(tests, "node string, a long, b long").join(intervals.as_set(a), "node").select("node", "a", "b", intervals.covers(F.col("spans"), F.col("a"), F.col("b")).alias("c"))
+    assert {(r["node"], r["a"], r["b"]): r["c"] for r in asked.collect()} == {(k, x, y): set(range(x, y)) <= mine[k] for k, x, y in tests}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_signals_equal_plain_counts(spark, seed):
+    rng = random.Random(seed)
+    people, packages = ["una", "viv", "wes", "xan"], ["k1", "k2", "k3", "k4", "k5"]
+    reached = [(p, vf := rng.randrange(20), vf + rng.randint(1, 15)) for p in packages[:4] for _ in range(rng.randint(1, 2))]
+    maintains = [(h, p, vf := rng.randrange(25), vf + rng.randint(1, 12)) for h in people for p in packages if rng.random() < 0.5]
+    sampled = [(rng.choice(packages), rng.randrange(1, 99), rng.choice([*people, None]), rng.choice([True, False, None]), rng.choice([True, False, None])) for _ in range(25)]
+    held = publishers.roster(spark.createDataFrame(reached, "package string, vf long, vt long"), spark.createDataFrame(maintains, "handle string, package string, vf long, vt long"))
+    looked = "package string, published_at long, published_by string, has_provenance boolean, has_install_script boolean"
+    rows = publishers.signals(held, publishers.holders_per_package(spark.createDataFrame(reached, "package string, vf long, vt long"), held), spark.createDataFrame(sampled, looked)).collect()
+    through = {h: {p for who, p, vf, vt in maintains if who == h and any(p == q and max(vf, a) < min(vt, b) for q, a, b in reached)} for h in people}
+    want = {}
+    for h, own in through.items():
+        seen = [s for s in sampled if s[0] in own]
+        known = [s for s in seen if s[3] is not None]
+        if own:
+            want[h] = (
+                sum(sum(p in o for o in through.values()) == 1 for p in own), len(own), sum(not s[3] for s in known), len(known), sum(bool(s[4]) for s in known),
+                max((s[1] for s in seen if s[2] == h), default=0), max((s[1] for s in seen), default=0),
+            )
+    assert {r["handle"]: (r["solo_count"], r["solo_of"], r["unproven_count"], r["looked_of"], r["install_count"], r["last_publish"], r["last_release"]) for r in rows} == want
 
 
 @pytest.mark.parametrize(
@@ -128,9 +254,21 @@ def test_risk_scales_known_terms(spark, known, want):
     assert publishers.risk(row, 4, 1000 + publishers.YEAR).first()["risk"] == pytest.approx(want)
 
 
-def test_versions_that_do_not_parse(spark):
-    bad = [" ", "7", "4.9", "3.1.4.1", "x.y.z", "3.00.1", "007.0.1", "2.7.1-", "2.7.1-b..c", "2.7.1-.q", "2.7.1-q.", "2.7.-1", "30000000000000000000.1.1"]
-    good = [" v1.2.3 ", "=1.2.3", "1.2.3+b", "1.2.3-a+b-c", "18446744073709551615.0.0"]
+def test_versions_follow_the_grammar(spark):
+    """Versions put together from parts parse; with a part dropped, doubled, padded or spoilt they don't."""
+    rng = random.Random(12)
+    number = lambda: str(rng.choice([0, rng.randint(1, 9), rng.randint(10, 99_999)]))
+    word = lambda: rng.choice(["rc", "b-1", "x2y", "0a", number()])
+    good, bad = [], []
+    for _ in range(25):
+        core = [number() for _ in range(3)]
+        pre = [word() for _ in range(rng.randint(0, 3))]
+        build = [rng.choice(["007", "a", "z-"]) for _ in range(rng.randint(0, 2))]
+        spell = lambda c, p=pre, b=build: ".".join(c) + ("-" + ".".join(p) if p else "") + ("+" + ".".join(b) if b else "")
+        good.append(rng.choice(["", "v", "=", "  "]) + spell(core) + rng.choice(["", " "]))
+        k = rng.randrange(3)
+        bad += [spell(core[:k] + core[k + 1 :]), spell([*core[: k + 1], number(), *core[k + 1 :]], []), spell([*core[:k], "0" + core[k], *core[k + 1 :]]), spell([*core[:k], rng.choice("qxy*"), *core[k + 1 :]])]
+        bad += [spell(core, ["", *pre]) if pre else ".".join(core) + "-", spell([*core[:k], str(2**64 + rng.randint(0, 9)), *core[k + 1 :]])]
     rows = spark.createDataFrame([(v,) for v in bad + good], "v string").select("v", semver.version_key(F.col("v")).alias("k")).collect()
     assert [r["v"] for r in rows if r["k"] is None] == bad
 

@@ -39,8 +39,9 @@ PIECE_BYTES = 2048
 
 # The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Places at which a token ends, whatever stands before and after the two characters: no piece goes on over them.
-EDGE = r"(?<=[A-Za-z])(?=[\x00-@\[-`{-\x7f])|(?<=[0-9])(?=[\x00-/:-\x7f])|(?<=[!-/:-@\[-`{-~])(?=[ \n0-9])|(?<=[^\x00-\x7f\s᠎​])(?=[ \n])"
+#: Places at which a token ends, whatever stands before and after the two characters: no piece goes on over them. A run of letters
+#: ends before anything else, one of numbers too, signs but the apostrophe before space, letters and numbers.
+EDGE = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[!-/:-@\[-`{-~])(?=[ \n0-9])|(?<=[^\x00-\x7f\s᠎​])(?=[ \n])|(?<=[\p{P}\p{S}--'])(?=[\p{L}\p{N}])"
 
 Half = tuple[str, np.ndarray]
 
@@ -67,7 +68,7 @@ class Codec:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.core = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(self.special))
         self.pieces = regex.compile(PATTERN)
-        self.first_edge, self.last_edge = regex.compile(EDGE), regex.compile(f"(?r){EDGE}")
+        self.first_edge, self.last_edge = regex.compile(EDGE, regex.V1), regex.compile(f"(?r){EDGE}", regex.V1)
         self.long_run = re.compile(rf"\S{{{PIECE_BYTES // 4},}}|\s{{{PIECE_BYTES // 4},}}")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 

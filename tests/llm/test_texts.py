@@ -328,3 +328,22 @@ def test_additive_tables_fit_single_features_and_pairs():
     model = quality.train(x, y)
     assert (1, 2) in model.pairs
     assert ((model.score(x) >= 0.5) == y).mean() > 0.8
+
+
+def test_joins_of_text_without_spaces_stay_local(library):
+    """Signs between letters of any script are places to cut, so a long text without spaces costs about its plain encoding."""
+    import time
+
+    rng = random.Random(17)
+    text = "".join(rng.choice("的一是不了人我在有他") if rng.random() < 0.93 else rng.choice("，。「」") for _ in range(120_000))
+    own = bpe.codec(bpe.default_tokenizer())
+    assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    own.straight(text)
+    plain, began = time.process_time() - began, time.process_time()
+    own.encode(text)
+    assert time.process_time() - began < 10 * plain + 0.5
+    for letters in ("é́x'tре 7²½Ⅷ", "''\"s re've!?", "🙂​᠎\xa0 'd，。"):
+        for _ in range(60):
+            short = "".join(rng.choice(letters) for _ in range(rng.choice([5, 40, 200])))
+            assert all(own.encode(short, leaf).tolist() == library.encode(short, add_special_tokens=False).ids for leaf in (1, 3, 16))

@@ -6,11 +6,11 @@ cold: the epoch is part of every key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairograph.functions.intervals import contains
-from kairograph.functions.lineage import written
+from kairograph.functions.lineage import Steps, written
 
 PRECISION = 8
 #: Nominal standard error of a sketch of PRECISION.
@@ -63,6 +63,31 @@ def validation(exact: DataFrame, estimated: DataFrame) -> DataFrame:
     return exact.join(e, ["epoch", "node"]).withColumn("error", F.when(F.col("kri") == 0, F.when(F.col("estimate") == 0, 0.0).otherwise(1.0)).otherwise(F.abs(F.col("estimate") - F.col("kri")) / F.col("kri")))
 
 
+def spread_sample(nodes: DataFrame, n: int) -> DataFrame:
+    """n nodes (epoch, node) of each epoch, spread by the digest of their name; the same ones whenever they are there."""
+    first = F.row_number().over(Window.partitionBy("epoch").orderBy(F.md5(F.col("node").cast("string").cast("binary")), "node"))
+    return nodes.select("epoch", "node").distinct().withColumn("place", first).where(F.col("place") <= n).drop("place")
+
+
+def sampled_members(edges: DataFrame, sample: DataFrame) -> DataFrame:
+    """(epoch, node, member): all that reach the nodes of a sample, by one search backwards for all of them; rows are those of the
+    sample's closures, not of all nodes'."""
+    steps = written(edges.where("src <> dst").select("epoch", F.col("dst").alias("member"), F.col("src").alias("before")).distinct(), "steps")
+    found = Steps(edges.sparkSession, "members")
+    front = found.add(sample.select("epoch", "node", F.col("node").alias("member")).distinct())
+    while not front.isEmpty():
+        new = front.join(steps, ["epoch", "member"]).select("epoch", "node", F.col("before").alias("member")).distinct()
+        front = found.add(new.join(found.all(), ["epoch", "node", "member"], "left_anti"))
+    return found.all().drop("hop")
+
+
+def sampled_validation(edges: DataFrame, estimated: DataFrame, n: int, bands: float = 4) -> DataFrame:
+    """(epoch, node, kri, estimate, error, within): the estimates of n nodes of each epoch against exact counts, and whether the error
+    is within `bands` nominal standard errors. Largest error first is `orderBy(desc(error), node)`."""
+    exact = kri_exact(sampled_members(edges, spread_sample(_nodes(edges), n)))
+    return validation(exact, estimated).withColumn("within", F.col("error") <= bands * ERROR_BAND)
+
+
 def holder_kri(closure: DataFrame, maintains: DataFrame) -> DataFrame:
     """(epoch, handle, kri): members that reach any package an account held at the epoch."""
     live = closure.select("epoch").distinct().join(maintains, contains(F.col("epoch")))

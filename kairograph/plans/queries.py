@@ -415,6 +415,14 @@ def kri_validation(spark, sf_dir):
     return observatory.validation(exact, observatory.kri_estimated(observatory.kri_sketches(view(spark, sf_dir, "epoch_edges"))))
 
 
+@query(with_views(["epoch_edges"], CLOSURE + """, s AS (SELECT epoch, node FROM (SELECT DISTINCT epoch, node FROM n) QUALIFY row_number() OVER (PARTITION BY epoch ORDER BY md5(CAST(node AS VARCHAR)), node) <= 40)
+SELECT epoch, node, kri, true AS within FROM kri JOIN s USING (epoch, node)""", True))
+def kri_sampled_validation(spark, sf_dir):
+    # the sketches' errors lie within their band; exact counts for forty nodes an epoch only
+    edges = written(view(spark, sf_dir, "epoch_edges"), "epoch-edges")
+    return observatory.sampled_validation(edges, observatory.kri_estimated(observatory.kri_sketches(edges)), 40).select("epoch", "node", "kri", "within")
+
+
 @query(with_views(["names"], """, f AS (SELECT name, rank, replace(replace(replace(replace(replace(translate(lower(name), '013457', 'oleast'), 'rn', 'm'), 'vv', 'w'), '-', ''), '_', ''), '.', '') AS folded FROM names),
 s AS (SELECT *, row_number() OVER (ORDER BY folded, name) AS place FROM f)
 SELECT CASE WHEN a.rank <= b.rank THEN a.name ELSE b.name END AS popular, CASE WHEN a.rank <= b.rank THEN b.name ELSE a.name END AS lookalike, CAST(levenshtein(a.folded, b.folded) AS BIGINT) AS distance, CAST(greatest(a.rank, b.rank) AS DOUBLE) / least(a.rank, b.rank) AS popularity_ratio
@@ -457,12 +465,12 @@ _RANGES = {
 }
 
 
-def _ranges(cut: str) -> list[str]:
+def _ranges(cut: str, shapes: dict = _RANGES) -> list[str]:
     """SQL for each range text; `cut` turns a number into text."""
     import re
 
     number = {"a": "major", "b": "minor", "c": "patch"}
-    return ["concat(" + ", ".join(cut.format(number[m[1]]) if m[1] else f"'{m[0]}'" for m in re.finditer(r"\{(.)\}|[^{]+", t)) + ")" for t in _RANGES]
+    return ["concat(" + ", ".join(cut.format(number[m[1]]) if m[1] else f"'{m[0]}'" for m in re.finditer(r"\{(.)\}|[^{]+", t)) + ")" for t in shapes]
 
 
 @query(with_views(["releases"], ", pair AS (SELECT *, lag(part) OVER (PARTITION BY package ORDER BY published_at, part) AS other FROM releases), "
@@ -484,6 +492,90 @@ def semver_max(spark, sf_dir):
     return rows.groupBy("package", "range").agg(semver.max_satisfying(F.col("key"), F.col("version"), F.col("parsed")).alias("version"))
 
 
+# Every release also as a beta and as a release candidate of a number of its own, each a day earlier than the next form.
+_FORMS = """, forms AS (SELECT package, version, major, minor, patch, 1 AS final, 0 AS word, 0 AS n, published_at, part FROM releases
+  UNION ALL SELECT package, version || '-rc.' || (part % 11), major, minor, patch, 0, 1, part % 11, published_at - 86400, part FROM releases
+  UNION ALL SELECT package, version || '-beta', major, minor, patch, 0, 0, 0, published_at - 172800, part FROM releases)
+"""
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = lambda text, days: F.struct(text.alias("version"), (F.col("published_at") - 86400 * days).alias("published_at"))
+    every = F.array(form(F.col("version"), 0), form(F.concat("version", F.lit("-rc."), F.col("part") % 11), 1), form(F.concat("version", F.lit("-beta")), 2))
+    return view(spark, sf_dir, "releases").select("package", "part", F.explode(every).alias("f")).select("package", "part", "f.*")
+
+
+#: Ranges with prereleases of a release's own numbers, and what they mean: of final versions, and of prereleases, which count
+#: only with the very numbers that the range names with one.
+_PRERELEASE_RANGES = {
+    "^{a}.{b}.{c}-rc.2": (_RANGES["^{a}.{b}.{c}"], "x.word = 1 AND x.n >= 2"),
+    ">={a}.{b}.{c}-beta": ("(x.major, x.minor, x.patch) >= (r.major, r.minor, r.patch)", "true"),
+    "~{a}.{b}.{c}-rc.0": (_RANGES["~{a}.{b}.{c}"], "x.word = 1"),
+    "<{a}.{b}.{c}": ("(x.major, x.minor, x.patch) < (r.major, r.minor, r.patch)", "false"),
+    "<={a}.{b}.{c}-rc.5": ("(x.major, x.minor, x.patch) < (r.major, r.minor, r.patch)", "x.word = 0 OR x.n <= 5"),
+}
+
+
+@query(with_views(["releases"], _FORMS + ", pair AS (SELECT part AS x, part AS r FROM releases UNION ALL SELECT part, lag(part) OVER (PARTITION BY package ORDER BY published_at, part) FROM releases), tried AS ("
+    + " UNION ALL ".join(f"""SELECT {text_.replace("(major", "(r.major").replace("(minor", "(r.minor").replace("(patch", "(r.patch")} AS "range", x.version,
+      CASE WHEN x.final = 1 THEN {finals} ELSE (x.major, x.minor, x.patch) = (r.major, r.minor, r.patch) AND ({pres}) END AS satisfied
+      FROM pair JOIN forms x ON x.part = pair.x JOIN releases r ON r.part = pair.r""" for text_, (finals, pres) in zip(_ranges("CAST({} AS VARCHAR)", _PRERELEASE_RANGES), _PRERELEASE_RANGES.values(), strict=True))
+    + """) SELECT DISTINCT "range", version, satisfied FROM tried"""))
+def semver_prereleases(spark, sf_dir):
+    releases = view(spark, sf_dir, "releases")
+    earlier = F.lag("part").over(Window.partitionBy("package").orderBy("published_at", "part"))
+    pairs = releases.select("part", earlier.alias("before")).select("part", F.explode(F.array("part", "before")).alias("of")).where("of IS NOT NULL")
+    texts = releases.select(F.col("part").alias("of"), F.explode(F.array(*map(F.expr, _ranges("CAST({} AS STRING)", _PRERELEASE_RANGES)))).alias("range"))
+    tried = _forms(spark, sf_dir).join(pairs, "part").join(texts, "of").select("range", "version").distinct()
+    return semver.parse_ranges(tried, "range").select("range", "version", semver.satisfies(semver.version_key(F.col("version")), F.col("parsed")).alias("satisfied"))
+
+
+# In SQL a version is one number: major * 10^12 + minor * 10^7 + patch * 10^4, then final 1000, candidates 100 and their number.
+@query(with_views(["releases"], _FORMS + """, k AS (SELECT *, major * 1000000000000 + minor * 10000000 + patch * 10000 + final * 1000 + word * 100 + n AS v FROM forms)
+SELECT concat('A-', package) AS osv_id, package, version, '0' AS introduced, '1.5.0-rc.3' AS fixed FROM k WHERE v < 1000050000103
+UNION ALL SELECT concat('B-', package), package, version, '2.0.0-beta', '' FROM k WHERE v >= 2000000000000 AND v <= 2000400071000
+UNION ALL SELECT concat('C-', package), package, version, '1.0.0', '3.2.0' FROM k WHERE (v >= 1000000001000 AND v < 1000090001000) OR (v >= 2000010000000 AND v < 3000020001000)
+UNION ALL SELECT concat('D-', package), package, version, '', '' FROM k WHERE version IN ('1.3.1', '2.7.4-beta', '0.1.2')"""))
+def advisory_event_lists(spark, sf_dir):
+    # from the first version, to a prerelease; up to a last affected one; two stretches in one list; listed versions only
+    forms = _forms(spark, sf_dir)
+    event = lambda kind, v: F.struct(*(F.lit(v if k == kind else None).cast("string").alias(k) for k in ("introduced", "fixed", "last_affected")))
+    lists = {
+        "A": [("introduced", "0"), ("fixed", "1.5.0-rc.3")], "B": [("introduced", "2.0.0-beta"), ("last_affected", "2.40.7")],
+        "C": [("introduced", "1.0.0"), ("fixed", "1.9.0"), ("introduced", "2.1.0-beta"), ("fixed", "3.2.0")], "D": [],
+    }
+    ranges = lambda events: F.array(F.struct(F.lit("SEMVER").alias("type"), F.array(*(event(*e) for e in events)).alias("events"))) if events else F.array().cast(f"array<struct<type:string,events:{advisory.EVENTS}>>")
+    listed = F.array(*map(F.lit, ("1.3.1", "2.7.4-beta", "0.1.2")))
+    block = lambda events: F.struct(F.struct(F.lit("npm").alias("ecosystem"), F.col("package").alias("name")).alias("package"), ranges(events).alias("ranges"), listed.alias("versions"))
+    record = F.explode(F.array(*(F.struct(F.concat(F.lit(f"{k}-"), "package").alias("osv_id"), F.array(block(events)).alias("affected")) for k, events in lists.items())))
+    return advisory.affected_versions(forms.select("package").distinct().select(record.alias("r")).select("r.*"), forms)
+
+
+#: Declared ranges, and which releases they mean; prereleases are meant by none of them.
+_SHAPES = {
+    "~1.3": "major = 1 AND minor = 3", ">=1.2.0 <2.5.0": "(major = 1 AND minor >= 2) OR (major = 2 AND minor < 5)", "1.x || 3.x": "major IN (1, 3)", "*": "true",
+    "<=2.10.5": "major < 2 OR (major = 2 AND (minor < 10 OR (minor = 10 AND patch <= 5)))", "0.2 - 2": "major IN (1, 2) OR (major = 0 AND minor >= 2)",
+}
+
+
+@query(with_views(["releases"], ", c AS (" + " UNION ALL ".join(f"SELECT concat(package, ' {shape}') AS declaration, version, published_at, major * 1000000 + minor * 100 + patch AS k FROM releases WHERE published_at > 0 AND ({means})" for shape, means in _SHAPES.items())
+    + f"""), r AS (SELECT *, max(k) OVER (PARTITION BY declaration ORDER BY published_at, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c)
+SELECT declaration, version, published_at AS vf, lead(published_at, 1, {OPEN}) OVER (PARTITION BY declaration ORDER BY published_at, k) AS vt FROM r WHERE best IS NULL OR k > best
+QUALIFY vf < vt"""))
+def resolution_shapes(spark, sf_dir):
+    forms = _forms(spark, sf_dir)
+    shapes = F.explode(F.array(*map(F.lit, _SHAPES))).alias("range")
+    declared = forms.select("package").distinct().select("package", shapes).select(F.concat_ws(" ", "package", "range").alias("declaration"), "package", "range", F.lit(0).cast("long").alias("declared_at"))
+    return temporal.resolution_windows(declared, forms)
+
+
+@query(with_views(["releases", "epoch_list"], ASOF + "SELECT package, epoch, version FROM cur"))
+def asof_among_prereleases(spark, sf_dir):
+    # the newest of all forms is often a prerelease, which no epoch counts as current
+    forms = _forms(spark, sf_dir).withColumn("published_at", F.when(F.col("version").contains("-"), F.col("published_at") + 400_000).otherwise(F.col("published_at")))
+    return temporal.versions_as_of(forms, view(spark, sf_dir, "epoch_list"))
+
+
 # A lock file for each order: its parts are the packages, their suppliers give the versions. Line 1 is declared by the
 # project, even lines are for development.
 _LOCKED = """WITH l AS (SELECT o_orderkey AS o, l_partkey AS p, min(l_linenumber) AS n, min(l_suppkey) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)

@@ -439,3 +439,16 @@ def test_search_events(spark):
     frames = list(frontiers.events(graph(spark, ("app", "K", 1, 5), ("K", "L", 2, 9)), app(spark)))
     rows = [json.loads(f.split("data: ")[1]) for f in frames]
     assert [(r["layer"], r["node"]) for r in rows[:-1]] == [(0, "app"), (1, "K"), (2, "L")] and rows[-1] == {"rows": 3}
+
+
+def test_sampled_closures_are_those_of_the_whole(spark):
+    rng = random.Random(51)
+    edges = spark.createDataFrame([(rng.randint(1, 2), f"n{rng.randrange(20)}", f"n{rng.randrange(20)}") for _ in range(60)], "epoch long, src string, dst string")
+    whole = {(r["epoch"], r["node"], r["member"]) for r in observatory.members(edges).collect()}
+    nodes = edges.select("epoch", F.col("src").alias("node")).union(edges.select("epoch", "dst"))
+    sample = {(r["epoch"], r["node"]) for r in observatory.spread_sample(nodes, 5).collect()}
+    assert len(sample) == 10
+    got = [(r["epoch"], r["node"], r["member"]) for r in observatory.sampled_members(edges, observatory.spread_sample(nodes, 5)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {m for m in whole if m[:2] in sample}
+    rows = observatory.sampled_validation(edges, observatory.kri_estimated(observatory.kri_sketches(edges)), 5).collect()
+    assert len(rows) == 10 and all(r["within"] and r["error"] == 0 for r in rows)  # small sets are exact

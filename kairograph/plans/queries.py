@@ -532,12 +532,12 @@ def semver_prereleases(spark, sf_dir):
 
 # In SQL a version is one number: major * 10^12 + minor * 10^7 + patch * 10^4, then final 1000, candidates 100 and their number.
 @query(with_views(["releases"], _FORMS + """, k AS (SELECT *, major * 1000000000000 + minor * 10000000 + patch * 10000 + final * 1000 + word * 100 + n AS v FROM forms)
-SELECT concat('A-', package) AS osv_id, package, version, '0' AS introduced, '1.5.0-rc.3' AS fixed FROM k WHERE v < 1000050000103
+SELECT concat('A-', package) AS osv_id, package, version, '0' AS introduced, '1.5.0-rc.3' AS fixed FROM k WHERE v >= 1000 AND v < 1000050000103
 UNION ALL SELECT concat('B-', package), package, version, '2.0.0-beta', '' FROM k WHERE v >= 2000000000000 AND v <= 2000400071000
 UNION ALL SELECT concat('C-', package), package, version, '1.0.0', '3.2.0' FROM k WHERE (v >= 1000000001000 AND v < 1000090001000) OR (v >= 2000010000000 AND v < 3000020001000)
 UNION ALL SELECT concat('D-', package), package, version, '', '' FROM k WHERE version IN ('1.3.1', '2.7.4-beta', '0.1.2')"""))
 def advisory_event_lists(spark, sf_dir):
-    # from the first version, to a prerelease; up to a last affected one; two stretches in one list; listed versions only
+    # from the first version, 0.0.0, to a prerelease; up to a last affected one; two stretches in one list; listed versions only
     forms = _forms(spark, sf_dir)
     event = lambda kind, v: F.struct(*(F.lit(v if k == kind else None).cast("string").alias(k) for k in ("introduced", "fixed", "last_affected")))
     lists = {

@@ -131,6 +131,10 @@ def test_nested_layers_map_back_to_the_text():
     assert secrets.find_spans("&#65;KIA0123456789ABCDEF")[0][:3] == ("access", 0, 24)
     assert secrets.find_spans("%2541KIA" + "0" * 16)[0][3] == 2
     assert secrets.find_spans("%25" * 50) == []  # unwrapping ends at a fixpoint
+    units = "".join(f"%u{ord(c):04x}" for c in "password=hunter22")
+    mixed = "".join(f"%u{ord(c):04X}" if c.isalpha() else f"%{ord(c):02X}" for c in "token: abcdef1")
+    for text in (units, mixed, urllib.parse.quote(units, safe="")):
+        assert [(k, a, b) for k, a, b, _ in secrets.find_spans(f"x {text} %u00 %uZZZZ")] == [("assign", 2, 2 + len(text))]
 
 
 def test_decompression_is_bounded():

@@ -16,6 +16,11 @@ def version_urn(name: Column, version: Column) -> Column:
     return F.concat(F.lit("pkg:npm/"), name, F.lit("@"), version)
 
 
+def escaped(name: Column) -> Column:
+    """A package name as one segment of a URL's path."""
+    return F.url_encode(name)
+
+
 def maintainer_urn(handle: Column) -> Column:
     return F.concat(F.lit("mnt:npm/"), handle)
 

@@ -112,6 +112,21 @@ def history(kri: DataFrame, maintains: DataFrame) -> DataFrame:
     return kri.join(live, ["epoch", "node"], "left").select("epoch", "node", "kri", F.col("held").isNull().alias("orphaned"))
 
 
+def history_of(past: DataFrame, node: str) -> DataFrame:
+    """One node's history, oldest epoch first."""
+    return past.where(F.col("node") == node).orderBy("epoch")
+
+
+def by_exact(validated: DataFrame) -> DataFrame:
+    """Rows of a validation, largest exact index first, ties by epoch and node."""
+    return validated.orderBy(F.desc("kri"), "epoch", "node")
+
+
+def with_band(kri: DataFrame) -> DataFrame:
+    """Estimated indices with the band to show beside them: one nominal standard error, in whole nodes, halves up."""
+    return kri.withColumn("band", F.floor(F.col("kri") * ERROR_BAND + 0.5).cast("long"))
+
+
 def orphans_now(past: DataFrame, n: int = 50) -> DataFrame:
     """Orphaned nodes of the latest epoch, highest index first."""
     latest = past.agg(F.max("epoch")).first()[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kairograph.functions.intervals import coalesce, depths, minus
 from kairograph.functions.lineage import Steps, written
+from kairograph.functions.text import package_urn
 from kairograph.operators.reach import DEPTH, back_pointers, expanded
 
 YEAR = 31_536_000
@@ -85,6 +86,25 @@ def ranked(scores: DataFrame, n: int | None = None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
+def by_packages(accounts: DataFrame) -> DataFrame:
+    """Accounts (`publishers`) with most packages first, ties by handle."""
+    return accounts.orderBy(F.desc("packages"), "handle")
+
+
+def by_cut(removed: DataFrame) -> DataFrame:
+    """Rows of `cuts`, those that control most packages first, ties by handle."""
+    return removed.orderBy(F.desc("controls"), "handle")
+
+
+def held_package(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, package): the held package that each asked text means, by its URN or by its bare name; the first by name if it is
+    both, null where there is none. held: (package) as URNs; asked: (asked)."""
+    texts = asked.select("asked").distinct()
+    either = texts.select("asked", F.explode(F.array(F.col("asked"), package_urn(F.col("asked")))).alias("package"))
+    found = either.join(held.select("package").distinct(), "package").groupBy("asked").agg(F.min("package").alias("package"))
+    return texts.join(found, "asked", "left").select("asked", "package")
+
+
 def lost_spans(edges: DataFrame, found: DataFrame, held: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(handle, node, vf, vt, own): the instants at which a node is no longer reached once the account's packages are out, own telling
     the packages themselves. Nodes are packages here; found: `layers` of the search with all of them.

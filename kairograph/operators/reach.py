@@ -129,6 +129,20 @@ def summary(edges: DataFrame, sources: DataFrame, depth: int = DEPTH) -> DataFra
     )
 
 
+def counts(spans: DataFrame, union: DataFrame) -> DataFrame:
+    """One row: distinct versions (nodes) and packages that are reached over coexisting edges and in the graph without time. Both inputs:
+    (node, package); a node with no package, null or empty, counts as a version only."""
+    nodes = spans.select("node", "package", F.lit(True).alias("live")).unionByName(union.select("node", "package", F.lit(False).alias("live")))
+    # nodes first, so that packages are counted over one row a node
+    once = nodes.groupBy("node").agg(F.max(F.nullif("package", F.lit(""))).alias("package"), F.bool_or("live").alias("live"), F.bool_or(~F.col("live")).alias("timeless"))
+    packages = once.groupBy("package").agg(F.count_if("live").alias("l"), F.count_if("timeless").alias("t"))
+    named = F.col("package").isNotNull()
+    return packages.agg(
+        F.count_if(named & (F.col("l") > 0)).alias("coexistence_packages"), F.coalesce(F.sum("l"), F.lit(0)).alias("coexistence_versions"),
+        F.count_if(named & (F.col("t") > 0)).alias("union_packages"), F.coalesce(F.sum("t"), F.lit(0)).alias("union_versions"),
+    )
+
+
 def reverse_reach(edges: DataFrame, held: DataFrame, **options) -> DataFrame:
     """Dependents of the held nodes over the spans in which they were held; the held nodes themselves are left out."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "vf", "vt")

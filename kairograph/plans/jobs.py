@@ -48,8 +48,32 @@ def observe(runs: Runs, run: int, releases: DataFrame, dependencies: DataFrame,
     return runs.write(run, tables, {"kri_history": {"orphaned": "count_if(orphaned)"}} | ({"validation": {"outside": "count_if(NOT within)"}} if sample else {}))
 
 
-def path(edges: DataFrame, sources: DataFrame, maintains: DataFrame, handle: str, package_of: Callable[[Column], Column], depth: int = reach.DEPTH) -> DataFrame:
-    """The proof for each package that an account held while the sources reached it: a chain, or none, by package name."""
+def path(edges: DataFrame, sources: DataFrame, maintains: DataFrame, handle: str, package_of: Callable[[Column], Column], depth: int = reach.DEPTH, asked: DataFrame | None = None) -> DataFrame:
+    """The proof for each package that an account held while the sources reached it: a chain, or none, by package name. asked: (asked),
+    URNs or bare names, for proofs of these only; what of them isn't held has no row."""
     spans = reach.coexistence_reach(edges, sources, depth=depth).select(package_of(F.col("node")).alias("package"), "vf", "vt")
     held = publishers.roster(spans, maintains.where(F.col("handle") == handle))
-    return reach.package_chains(edges, sources, written(held.select("package").distinct(), "held"), package_of, depth).orderBy("package")
+    wanted = written(held.select("package").distinct(), "held")
+    if asked is not None:
+        wanted = written(publishers.held_package(wanted, asked).where("package IS NOT NULL").select("package").distinct(), "asked")
+    return reach.package_chains(edges, sources, wanted, package_of, depth).orderBy("package")
+
+
+def crosscheck(versions: DataFrame, timeline: DataFrame) -> DataFrame:
+    """(package, held, dated, agrees) for each package of the source's timeline: versions that the tables hold and those that the source
+    dates; undated ones aren't written and don't count. versions: (package, version); timeline: (package, version, published_at)."""
+    held = versions.select("package", "version").distinct().groupBy("package").agg(F.count("*").alias("held"))
+    dated = timeline.groupBy("package").agg(F.count_distinct(F.when(F.col("published_at") > 0, F.col("version"))).alias("dated"))
+    both = dated.join(held, "package", "left").select("package", F.coalesce("held", F.lit(0)).cast("long").alias("held"), "dated")
+    return both.withColumn("agrees", F.col("held") == F.col("dated"))
+
+
+def verify(versions: DataFrame, timeline: DataFrame, maintains: DataFrame, names: DataFrame, sample: int = 20, top: int = 15) -> dict[str, DataFrame]:
+    """Whether what was taken in is what the source lists: `counts`, the cross-check of the `sample` first names (name, rank);
+    `agreement`, one row of it (agree, checked); `maintainers`, the accounts with most holdings."""
+    first = names.where(F.col("rank") <= sample).select(F.col("name").alias("package"))
+    counts = written(crosscheck(versions.join(first, "package", "left_semi"), timeline.join(first, "package", "left_semi")), "crosscheck")
+    return {
+        "counts": counts.orderBy("package"), "agreement": counts.agg(F.count_if("agrees").alias("agree"), F.count("*").alias("checked")),
+        "maintainers": publishers.maintainer_rank(maintains, top),
+    }

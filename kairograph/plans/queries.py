@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from kairograph.functions import intervals, semver, text
 from kairograph.functions.intervals import OPEN
 from kairograph.functions.lineage import written
+from kairograph.functions.order import numbered, spread
 from kairograph.operators import advisory, incident, publishers, observatory, reach, scopes, temporal, typosquat
+from kairograph.plans import jobs
 from kairograph.plans.views import view, with_views
 from kairograph.sources import feeds, lockfiles
 
@@ -96,6 +98,15 @@ def reach_summary(spark, sf_dir):
     return reach.summary(*_graph(spark, sf_dir))
 
 
+@query(with_views(GRAPH, REACHED + """SELECT (SELECT count(DISTINCT p_brand) FROM spans JOIN part ON p_partkey = node) AS coexistence_packages, (SELECT count(DISTINCT node) FROM spans) AS coexistence_versions,
+  (SELECT count(DISTINCT p_brand) FROM union_nodes JOIN part ON p_partkey = node) AS union_packages, (SELECT count(*) FROM union_nodes) AS union_versions""", True))
+def reach_counts(spark, sf_dir):
+    # parts are the versions of a brand
+    edges, sources = _graph(spark, sf_dir)
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("package"))
+    return reach.counts(reach.coexistence_reach(edges, sources).join(brands, "node", "left"), reach.union_reach(edges, sources)[0].join(brands, "node", "left"))
+
+
 EDGE_SPANS = """, m AS (SELECT dst AS node, vf, vt, max(vt) OVER (PARTITION BY dst ORDER BY vf, vt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT DISTINCT dst, vf, vt FROM dep_edges)),
 i AS (SELECT *, sum(CASE WHEN vf > top THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY vf, vt ROWS UNBOUNDED PRECEDING) AS g FROM m),
 spans AS (SELECT node, min(vf) AS vf, max(vt) AS vt FROM i GROUP BY node, g)
@@ -162,6 +173,47 @@ def union_publishers(spark, sf_dir):
     return publishers.union_holders(union.withColumnRenamed("node", "package"), view(spark, sf_dir, "holds"))
 
 
+@query(with_views([*GRAPH, "holds"], HELD + """SELECT *, row_number() OVER (ORDER BY packages DESC, handle) AS place FROM (
+  SELECT handle, count(DISTINCT package) AS packages, min(valid_from) AS since FROM held GROUP BY handle)""", True))
+def publisher_board(spark, sf_dir):
+    return numbered(publishers.publishers(_held(spark, sf_dir)[1]), [F.desc("packages"), "handle"])
+
+
+@query(with_views(["holds"], """, held AS (SELECT DISTINCT 'pkg:npm/part-' || CAST(package AS VARCHAR) AS package FROM holds),
+asked AS (SELECT DISTINCT CASE WHEN l_returnflag = 'N' THEN 'pkg:npm/' ELSE '' END || 'part-' || CAST(l_partkey AS VARCHAR) AS asked FROM lineitem)
+SELECT asked, package FROM asked LEFT JOIN held ON package = asked OR package = 'pkg:npm/' || asked"""))
+def held_lookup(spark, sf_dir):
+    # every part asked for by its URN, its bare name, or both
+    name = F.concat(F.lit("part-"), F.col("l_partkey"))
+    asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.when(F.col("l_returnflag") == "N", text.package_urn(name)).otherwise(name).alias("asked"))
+    held = view(spark, sf_dir, "holds").select(text.package_urn(F.concat(F.lit("part-"), "package")).alias("package"))
+    return publishers.held_package(held, asked)
+
+
+@query(with_views(["sampled"], """ SELECT *, row_number() OVER (PARTITION BY package ORDER BY published_at, published_by) AS place
+FROM (SELECT DISTINCT package, published_at, published_by FROM sampled)"""))
+def sampled_order(spark, sf_dir):
+    once = view(spark, sf_dir, "sampled").select("package", "published_at", "published_by").distinct()
+    return numbered(once, ["published_at", "published_by"], ["package"])
+
+
+@query(with_views(["releases"], """, o AS (SELECT part, published_at, row_number() OVER (ORDER BY published_at, part) - 1 AS spot, count(*) OVER () AS n FROM releases)
+SELECT part, published_at FROM o WHERE n <= 500 OR spot IN (SELECT (i * (SELECT max(n) - 1 FROM o)) // 499 FROM range(500) t(i))"""))
+def spread_releases(spark, sf_dir):
+    # a sampling operator: 500 releases over all of time
+    return spread(view(spark, sf_dir, "releases").select("part", "published_at"), 500, ["published_at", "part"])
+
+
+@query(with_views(["holds"], """, a AS (SELECT p_brand AS package, count(DISTINCT package) AS held FROM holds JOIN part ON p_partkey = package GROUP BY 1),
+b AS (SELECT p_brand AS package, count(DISTINCT CASE WHEN l_shipdate IS NOT NULL THEN p_partkey END) AS dated FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1)
+SELECT package, coalesce(held, 0) AS held, dated, coalesce(held, 0) = dated AS agrees FROM b LEFT JOIN a USING (package)"""))
+def verify_counts(spark, sf_dir):
+    # parts as versions of a brand: those that somebody holds against those ever shipped
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("package"), F.col("p_partkey").alias("version"))
+    held = parts.join(view(spark, sf_dir, "holds").select(F.col("package").alias("version")), "version", "left_semi")
+    return jobs.crosscheck(held, parts.join(view(spark, sf_dir, "shipped").withColumnRenamed("l_partkey", "version"), "version", "left"))
+
+
 def _signals(spark, sf_dir):
     reached, held = _held(spark, sf_dir)
     return reached, publishers.signals(held, publishers.holders_per_package(reached, held), view(spark, sf_dir, "sampled"))
@@ -376,6 +428,11 @@ def kri_exact(spark, sf_dir):
     return observatory.kri_exact(_closure(spark, sf_dir))
 
 
+@query(with_views(["epoch_edges"], CLOSURE + "SELECT epoch, node, kri, CAST(floor(kri * (CAST(1.04 AS DOUBLE) / 16) + 0.5) AS BIGINT) AS band FROM kri", True))
+def kri_bands(spark, sf_dir):
+    return observatory.with_band(observatory.kri_exact(_closure(spark, sf_dir)))
+
+
 @query(with_views(["epoch_edges"], CLOSURE + "SELECT epoch, node, kri FROM kri WHERE epoch = 883612800 ORDER BY kri DESC, node LIMIT 25", True))
 def kri_leaderboard(spark, sf_dir):
     return observatory.leaderboard(observatory.kri_exact(_closure(spark, sf_dir)).where(F.col("epoch") == INSTANT), 25)

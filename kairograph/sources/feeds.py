@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kairograph.functions.order import numbered
 from kairograph.functions.text import rfc3339_seconds
+from kairograph.sources import archives
 
 _TIMELINE = "packageKey struct<name:string>, versions array<struct<versionKey:struct<name:string,version:string>,publishedAt:string,isDefault:boolean,isDeprecated:boolean>>"
 _DEPENDENCIES = "nodes array<struct<versionKey:struct<name:string,version:string>,relation:string>>, edges array<struct<fromNode:int,toNode:int,requirement:string>>"
@@ -56,22 +58,9 @@ def advisories(texts: DataFrame) -> DataFrame:
 
 
 def zipped(spark: SparkSession, path: str) -> DataFrame:
-    """(entry, content) of every JSON file inside zip archives; archives are read in parallel, entries streamed."""
-
-    def entries(batches):
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for frame in batches:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        if name.endswith(".json"):
-                            yield pd.DataFrame({"entry": [name], "content": [archive.read(name).decode("utf-8", "replace")]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(entries, "entry string, content string")
+    """(entry, content) of every JSON file inside zip archives, texts as UTF-8; one archive is read by many tasks (`archives`)."""
+    chosen = archives.members(spark, path).where(F.col("entry").endswith(".json"))
+    return archives.contents(chosen).select("entry", F.decode("content", "UTF-8").alias("content"))
 
 
 def ranked_names(pages: DataFrame, n: int | None = None) -> DataFrame:
@@ -87,8 +76,6 @@ def names_file(spark: SparkSession, path: str, n: int | None = None) -> DataFram
 
 
 def _dealt(names: DataFrame, order: str, n: int | None) -> DataFrame:
-    """Ranks from 1 in the given order. Name lists are registry-sized (some millions), one sort's worth."""
-    from pyspark.sql import Window
-
-    ranked = names.select("name", F.row_number().over(Window.orderBy(order)).cast("long").alias("rank"))
+    """Ranks from 1 in the given order."""
+    ranked = numbered(names.select("name", order), [order], name="rank").select("name", "rank")
     return ranked if n is None else ranked.where(F.col("rank") <= n)

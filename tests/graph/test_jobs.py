@@ -64,3 +64,6 @@ def test_a_path_for_each_package_of_an_account(spark):
     maintains = spark.createDataFrame([("una", "l", 3, 4), ("una", "m", 20, 30), ("una", "n", 0, 3), ("viv", "k", 0, 9)], "handle string, package string, vf long, vt long")
     got = jobs.path(edges, sources, maintains, "una", lambda c: F.split_part(c, F.lit("@"), F.lit(1))).collect()
     assert [(r["package"], r["found"], r["path"]) for r in got] == [("l", True, ["app", "k@1", "l@1"]), ("n", False, None)]
+    urns = spark.createDataFrame([("l",), ("k",)], "asked string")
+    asked = jobs.path(edges, sources, maintains.withColumn("package", F.concat(F.lit("pkg:npm/"), "package")), "una", lambda c: F.concat(F.lit("pkg:npm/"), F.split_part(c, F.lit("@"), F.lit(1))), asked=urns).collect()
+    assert [(r["package"], r["path"]) for r in asked] == [("pkg:npm/l", ["app", "k@1", "l@1"])]

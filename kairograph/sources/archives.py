@@ -21,7 +21,7 @@ SPLIT_BYTES = 32 << 20
 _MEMBERS = "path string, entry string, place long, packed long, size long, crc long, method int, encrypted boolean"
 
 
-def _opened(path: str):
+def opened(path: str):
     """A random-access file at any address that Arrow's file systems know."""
     from urllib.parse import quote
 
@@ -63,7 +63,7 @@ def members(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
             for where, length in zip(frame["path"], frame["length"], strict=True):
                 if not length:
                     continue
-                with _opened(where) as file:
+                with opened(where) as file:
                     try:
                         found = [m for m in zipfile.ZipFile(_Directory(file)).infolist() if not m.is_dir()]
                     except zipfile.BadZipFile as error:
@@ -87,7 +87,7 @@ def contents(chosen: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
         for frame in batches:
             for where, own in frame.sort_values(["path", "place"]).groupby("path", sort=False):
-                with _opened(where) as file:
+                with opened(where) as file:
                     for m in own.itertuples():
                         if m.encrypted or m.method not in (0, 8):
                             raise ValueError(f"{where}: {m.entry} is encrypted or packed by method {m.method}")

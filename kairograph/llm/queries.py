@@ -83,13 +83,22 @@ QUERIES = {
 }
 
 _OP4_SQL = r"""
-WITH bare AS (
-  SELECT page_id, url, regexp_replace(trim(url), '#.*$', '') AS u0, (page_id * 37) % 1000 AS d, '"' || md5(coalesce(html, '')) || '"' AS tag, md5(coalesce(url, '')) AS digest FROM pages
-), records AS (
-  SELECT 2 * page_id AS record_id, url AS uri, d AS ts, true AS full_response, tag AS etag, digest, d AS age FROM bare
+WITH base AS (
+  SELECT page_id AS p, url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^http://', 'https://www.') ELSE url END AS other,
+    (page_id * 37) % 1000 AS d, md5(coalesce(html, '')) AS first, md5(coalesce(html, '') || '2') AS second FROM pages
+), dated AS (SELECT *, d - d % 50 AS since, 'v' || CAST(d - d % 50 AS VARCHAR) AS version FROM base),
+pairs AS (SELECT p, url, other, 0 AS k, d AS at_day, first AS own FROM dated UNION ALL SELECT p, url, other, 2, d + 10, second FROM dated),
+listed AS (
+  SELECT 6 * p + k AS record_id, url AS uri, at_day AS ts, true AS whole, '"' || own || '"' AS etag, CASE WHEN p % 5 <> 0 THEN at_day END AS modified, CASE WHEN p % 3 <> 0 THEN own END AS digest FROM pairs
+  UNION ALL
+  SELECT 6 * p + k + 1, other, at_day + p % 5 - 1, false, CASE WHEN p % 7 = 0 THEN '"changed"' WHEN p % 2 = 0 THEN 'W/"' || own || '"' END,
+    CASE WHEN p % 13 = 0 THEN 0 WHEN p % 4 = 1 THEN at_day END, CASE WHEN p % 11 = 0 THEN md5('other') ELSE own END FROM pairs
   UNION ALL
-  SELECT 2 * page_id + 1, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^http://', 'https://www.') ELSE url END, d + page_id % 5 - 1, false,
-         CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 2 = 0 THEN 'W/' || tag END, digest, 0 FROM bare
+  SELECT 6 * p + 4, 'http://static.example.org/site.js', d, p % 4 = 0, '"' || version || '"', since, md5(version) FROM dated
+  UNION ALL
+  SELECT 6 * p + 5, 'https://www.static.example.org/site.js#x', d, false, NULL, CASE WHEN p % 2 = 0 THEN since END, NULL FROM dated
+), records AS (
+  SELECT record_id, uri, ts, whole, etag, digest, strftime(DATE '2000-01-01' + CAST(modified AS INTEGER), '%a, %d %b %Y %H:%M:%S GMT') AS modified FROM listed
 ), parts AS (
   SELECT *, regexp_replace(trim(uri), '#.*$', '') AS u, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?@]*@)?([^/?]*)([^?]*)\??(.*)$' AS pat FROM records
 ), urls AS (
@@ -99,16 +108,15 @@ WITH bare AS (
 ), named AS (
   SELECT *, CASE WHEN regexp_matches(u, pat) THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END ELSE u END AS canonical FROM urls
 ), matched AS (
-  SELECT r.record_id, r.canonical, r.etag, r.digest, arg_max(s.record_id, (s.ts, s.record_id)) AS s_id
-  FROM named r LEFT JOIN named s ON s.full_response AND s.canonical = r.canonical AND (s.ts < r.ts OR (s.ts = r.ts AND s.record_id < r.record_id))
-  WHERE NOT r.full_response GROUP BY ALL
+  SELECT *, last_value(CASE WHEN whole AND canonical IS NOT NULL THEN struct_pack(id := record_id, etag := etag, modified := modified, digest := digest) END IGNORE NULLS)
+    OVER (PARTITION BY canonical ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM named
 ), judged AS (
-  SELECT m.*, s.etag AS s_etag, CASE WHEN s_id IS NULL THEN 'no earlier response'
-      WHEN coalesce(regexp_replace(m.etag, '^W/', '') = regexp_replace(s.etag, '^W/', ''), m.digest = s.digest) THEN 'confirmed' ELSE 'validator mismatch' END AS verdict
-  FROM matched m LEFT JOIN named s ON s.record_id = m.s_id
+  SELECT *, CASE WHEN s IS NULL THEN 'no earlier response' ELSE CASE coalesce(regexp_replace(etag, '^W/', '') = regexp_replace(s.etag, '^W/', ''), modified = s.modified, digest = s.digest)
+    WHEN true THEN 'confirmed' WHEN false THEN 'validator mismatch' ELSE 'unverified' END END AS verdict FROM matched WHERE NOT whole
 )
-SELECT record_id, canonical, CASE WHEN verdict = 'confirmed' THEN s_id END AS resolved_id, verdict,
-  CASE WHEN verdict = 'confirmed' THEN 'age: 0' || chr(10) || 'cache-control: no-cache' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || s_etag END AS headers
+SELECT record_id, canonical, CASE WHEN verdict IN ('confirmed', 'unverified') THEN s.id END AS resolved_id, verdict,
+  CASE WHEN verdict IN ('confirmed', 'unverified') THEN 'age: 0' || chr(10) || 'cache-control: no-cache' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || s.etag
+    || coalesce(chr(10) || 'last-modified: ' || coalesce(modified, s.modified), '') END AS headers
 FROM judged
 """
 

@@ -180,6 +180,39 @@ def test_records_of_a_file(spark, tmp_path):
     assert [(r["kind"], r["status"], r["etag"], bytes(r["body"])) for r in rows] == [("response", 200, '"1"', b"hello")] * 2 + [("revisit", 304, None, b"")] * 2
 
 
+def test_records_of_files_that_are_cut_off_or_odd(spark, tmp_path):
+    record = lambda i, block, length=None: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <u:%d>\r\nContent-Length: %s\r\n\r\n%s\r\n\r\n" % (i, length or b"%d" % len(block), block)
+    body = lambda n: b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * n
+    ids = lambda: sorted(r["record_id"] for r in warc.read_warc(spark, f"file://{tmp_path}").select("record_id").collect())
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "none.warc").write_bytes(b"no record at all\n")
+    assert ids() == []
+    (tmp_path / "cut.warc").write_bytes(record(1, body(50)) + record(2, body(50))[:-30])
+    zipped = [gzip.compress(record(i, body(5000))) for i in (3, 4)]
+    (tmp_path / "cut it %20.warc.gz").write_bytes(zipped[0] + zipped[1][:-20])
+    (tmp_path / "odd.warc").write_bytes(record(5, body(10), b"ten") + record(6, body(10), b" ") + record(7, b"") + record(8, body(3)))
+    # more than a batch's bytes in one file
+    (tmp_path / "long.warc").write_bytes(b"".join(record(i, body(3 << 20)) for i in range(10, 18)))
+    assert ids() == sorted(f"<u:{i}>" for i in (1, 3, 7, 8, *range(10, 18)))
+
+
+def test_every_validator_decides_some_captures(spark):
+    """And one URL holds a third of the log, and the latest of several earlier responses counts."""
+    log = warc.captures(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    found = {r["record_id"]: r for r in warc.resolve_revisits(log).collect()}
+    rows = {r["record_id"]: r for r in log.collect()}
+    seen = {}
+    for i, r in found.items():
+        old = rows.get(r["resolved_id"])
+        if old is not None:
+            by = next((c for c in ("etag", "last_modified", "digest") if rows[i][c] is not None and old[c] is not None), "none")
+            seen[by, r["verdict"]] = seen.get((by, r["verdict"]), 0) + 1
+    assert set(seen) == {("etag", "confirmed"), ("last_modified", "confirmed"), ("digest", "confirmed"), ("none", "unverified")}
+    assert {r["verdict"] for r in found.values()} == {"confirmed", "unverified", "validator mismatch", "no earlier response"}
+    hot = [r for r in rows.values() if "site.js" in r["uri"]]
+    assert 3 * len(hot) == len(rows) and len({found[r["record_id"]]["resolved_id"] for r in hot if r["kind"] == "revisit"}) > 10
+
+
 def test_rates_meet_the_targets(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     targets = {"toxic": 0.02, "low": 0.10, "high": 0.88}

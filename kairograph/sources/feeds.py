@@ -58,9 +58,9 @@ def advisories(texts: DataFrame) -> DataFrame:
 
 
 def zipped(spark: SparkSession, path: str) -> DataFrame:
-    """(entry, content) of every JSON file inside zip archives, texts as UTF-8; one archive is read by many tasks (`archives`)."""
+    """(entry, content) of every JSON file inside zip archives, bytes that aren't UTF-8 replaced; one archive is read by many tasks (`archives`)."""
     chosen = archives.members(spark, path).where(F.col("entry").endswith(".json"))
-    return archives.contents(chosen).select("entry", F.decode("content", "UTF-8").alias("content"))
+    return archives.contents(chosen).select("entry", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def ranked_names(pages: DataFrame, n: int | None = None) -> DataFrame:

@@ -45,6 +45,13 @@ def test_one_archive_is_read_by_several_tasks(spark, tmp_path):
     assert [bytes(r["content"]) for r in some if r["path"].endswith("b.zip")] == [want["a b.zip", "folder/7.bin"]]
 
 
+def test_texts_of_an_archive_are_made_valid(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("a.json", b'"\xc3\xa9\xff"')
+        z.writestr("b.txt", b"no feed")
+    assert rows(feeds.zipped(spark, f"file://{tmp_path}/t.zip")) == [("a.json", '"\u00e9\ufffd"')]
+
+
 def test_archives_that_cannot_be_read(spark, tmp_path):
     data = bytes(random.Random(1).randbytes(500))
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:

@@ -11,7 +11,8 @@ def nearest_scope(requirements: DataFrame, entries: DataFrame) -> DataFrame:
     requiring place: the nearest folder above it, itself first, whose node_modules has the name; null where none has.
 
     requirements: (path, place, name, range); entries: (path, place, version), places as folders below the project, '' being its
-    own. Every folder above is a row, an equi-join finds those that hold the name, and the deepest counts.
+    own. Every folder above is a row, an equi-join finds those that hold the name, and the deepest counts. Both joins shuffle: rows
+    out of parsed files are far more than the files' statistics let Spark expect, and it would send them to every machine.
     """
     parts = F.split("place", "/")
     depths = F.when(F.col("place") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(parts)))
@@ -20,8 +21,8 @@ def nearest_scope(requirements: DataFrame, entries: DataFrame) -> DataFrame:
     asked = up.withColumn("at", F.concat(scope, F.when(F.col("depth") > 0, "/").otherwise(""), F.lit("node_modules/"), "name"))
     held = entries.select("path", F.col("place").alias("at"), "version")
     keys = ["path", "place", "name", "range"]
-    found = asked.join(held, ["path", "at"]).groupBy(*keys).agg(F.max(F.struct("depth", F.col("at").alias("resolved_place"), "version")).alias("best"))
-    return requirements.select(*keys).distinct().join(found, keys, "left").select(*keys, "best.resolved_place", "best.version")
+    found = asked.join(held.hint("merge"), ["path", "at"]).groupBy(*keys).agg(F.max(F.struct("depth", F.col("at").alias("resolved_place"), "version")).alias("best"))
+    return requirements.select(*keys).distinct().join(found.hint("merge"), keys, "left").select(*keys, "best.resolved_place", "best.version")
 
 
 def agreement(locked: DataFrame, windows: DataFrame) -> DataFrame:

@@ -5,7 +5,12 @@ from __future__ import annotations
 import contextlib
 import io
 
+import duckdb
+import pytest
+
+from kairograph.functions import intervals
 from kairograph.operators import scopes
+from kairograph.plans import views
 
 
 def plan_of(df):
@@ -21,3 +26,40 @@ def test_nearest_scope_sends_no_parsed_rows_to_every_machine(spark):
     found = scopes.nearest_scope(needs, entries)
     assert "Broadcast" not in plan_of(found)
     assert sorted((r["name"], r["resolved_place"], r["version"]) for r in found.collect()) == [("p1", "node_modules/p1", "1.1.0"), ("p2", "node_modules/p2", "1.2.0"), ("p3", None, None)]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(tmp_path_factory):
+    """Repeated lines and orders, lines without a part or an order, orders of one part, orders without a date."""
+    folder = tmp_path_factory.mktemp("odd")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem AS SELECT * FROM (VALUES (1, 5), (1, 5), (1, 3), (1, 9), (2, 5), (2, NULL), (2, 8), (3, 4), (4, 1), (4, 2), (NULL, 7), (NULL, 6), (5, 3), (5, 5), (5, 9), (6, 1), (6, 2)) v(l_orderkey, l_partkey)")
+    con.execute("CREATE TABLE orders AS SELECT k AS o_orderkey, k % 2 AS o_custkey, CAST(t AS TIMESTAMP) AS o_orderdate FROM (VALUES (1, '1996-01-01'), (1, '1996-01-01'), (2, '1996-01-02'), (3, '1996-01-03'), (4, NULL), (5, '1996-01-01'), (NULL, '1996-01-01')) v(k, t)")
+    for t in ("lineitem", "orders"):
+        con.execute(f"COPY (SELECT * REPLACE (CAST({'l_orderkey' if t == 'lineitem' else 'o_orderkey'} AS BIGINT) AS {'l_orderkey' if t == 'lineitem' else 'o_orderkey'}) FROM {t}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["dep_edges", "locks"])
+def test_made_views_equal_their_text(spark, odd_tables, name):
+    folder, con = odd_tables
+    made = views.view(spark, folder, name)
+    columns = ", ".join(made.columns)
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, con.execute(views.with_views([name], f" SELECT {columns} FROM {name}")).fetchall()))
+
+
+@pytest.mark.parametrize("name", ["dep_edges", "locks"])
+def test_a_task_of_the_views_has_a_share_of_all_rows(spark, odd_tables, name):
+    plan = plan_of(views.view(spark, odd_tables[0], name))
+    assert plan.count("REPARTITION_BY_NUM") == 2  # by order, then by what is distinct
+    # what a task holds before the shuffle are no distinct rows of its own
+    last = plan.index("REPARTITION_BY_NUM")
+    assert plan[:last].count("HashAggregate") == 2 and "HashAggregate" not in plan[last : plan.rindex("REPARTITION_BY_NUM")]
+
+
+def test_intervals_merge_by_one_sort_and_no_table(spark):
+    rows = spark.createDataFrame([("a", 0, 5), ("a", 1, 2), ("a", 5, 6), ("a", 8, 9), ("a", 7, 7), ("b", 3, 4), (None, 1, 3), (None, 2, 9)], "node string, vf long, vt long")
+    merged = intervals.coalesce(rows)
+    plan = plan_of(merged)  # before it runs, or it is there twice
+    assert plan.count("Sort ") == 1 and "Aggregate" not in plan
+    assert sorted(map(tuple, merged.collect()), key=str) == [("a", 0, 6), ("a", 8, 9), ("b", 3, 4), (None, 1, 9)]

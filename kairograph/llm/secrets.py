@@ -13,12 +13,16 @@ an empty table; further columns pass through `redact` and are ignored by `scan`,
 compressed part that would inflate beyond MAX_LAYER_BYTES is scanned as a stream of windows of 8 MiB that
 overlap by 1 MiB, each a layer of its own, to bound memory; limits: an encoded part inside such a stream that
 is longer than the overlap may be cut by a window's edge, and base64 lines of under 16 characters are not
-joined. `max_layer_bytes`, if given, leaves larger parts packed instead.
+joined. `max_layer_bytes`, if given, leaves larger parts packed instead. Compressed data that is damaged after its beginning, or
+that needs more memory than its library may take, is unread: what came before the damage is scanned, and the part is counted
+(`n_unread`) and replaced in `redact`, as it may hold a secret. Data that doesn't inflate at all is text that only begins like
+compressed data; data that is cut short is read as far as it goes. A library that isn't installed is an error.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import bz2
 import html
 import lzma
@@ -39,6 +43,8 @@ from kairograph.llm.common import bounded_batches, row_slices, tidy
 KINDS = ("assign", "access", "hex")
 MAX_LAYER_BYTES = 64 << 20
 WINDOW, OVERLAP, CHUNK = 8 << 20, 1 << 20, 1 << 18
+#: Most memory that the window of compressed data may take.
+XZ_MEMORY, ZSTD_WINDOW = 256 << 20, 1 << 27
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _KEYWORDS = ("passw", "secret", "token", "api")
@@ -81,6 +87,16 @@ def _from_escape(part: str) -> str | None:
         return None
 
 
+def _is_damage(error: Exception) -> bool:
+    """Whether a decompressor says so of its data; anything else is a failure of ours."""
+    return isinstance(error, (zlib.error, lzma.LZMAError, EOFError)) or type(error) is OSError or (type(error).__module__.startswith("zstandard") and type(error).__name__ == "ZstdError")
+
+
+def _is_limit(error: Exception) -> bool:
+    """Whether the data may be sound, but needs more memory than it may take."""
+    return "memory" in str(error).lower()
+
+
 def _maker(head: bytes):
     """A decompressor for data that begins so; None if it isn't compressed."""
     if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0):
@@ -88,11 +104,11 @@ def _maker(head: bytes):
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if head[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=256 << 20)
+        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
     if head[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+        return zstandard.ZstdDecompressor(max_window_size=ZSTD_WINDOW).decompressobj()
     return None
 
 
@@ -135,8 +151,9 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
     return (raw[i : i + 1024] for i in range(0, len(raw), 1024))
 
 
-def _windows(raw: bytes) -> Iterator[bytes]:
-    """Overlapping windows over what inflates beyond a layer's size, however often it is compressed."""
+def _windows(raw: bytes, unread: list[str]) -> Iterator[bytes]:
+    """Overlapping windows over what inflates beyond a layer's size, however often it is compressed; unread gets the damage that
+    ends it."""
     chunks = _members(_pieces(raw))
     held = bytearray()
     try:
@@ -153,9 +170,10 @@ def _windows(raw: bytes) -> Iterator[bytes]:
             if len(held) >= WINDOW:
                 yield bytes(held)
                 del held[:-OVERLAP]
-    except Exception as error:  # noqa: BLE001  each library has its own errors for damaged data
-        if isinstance(error, MemoryError):
+    except Exception as error:
+        if not _is_damage(error):
             raise
+        unread.append(str(error))
     yield bytes(held)
 
 
@@ -164,20 +182,18 @@ def _inflates(head: bytes) -> bool:
     try:
         maker = _maker(head[:6])
         return maker is not None and (any(_drained(maker, head[:4096])) or (not maker.eof and len(head) >= 4096))
-    except Exception as error:  # noqa: BLE001  each library has its own errors for damaged data
-        if isinstance(error, MemoryError):
+    except Exception as error:
+        if not _is_damage(error):
             raise
-        return False
+        return _is_limit(error)
 
 
-def _unpacked(raw: bytes, most: int | None) -> bytes | Iterator[bytes]:
-    """Compressed bytes inflated until nothing inflates; windows if that would exceed a layer's size and `most` doesn't forbid them."""
+def _unpacked(raw: bytes, most: int | None, unread: list[str]) -> bytes | Iterator[bytes]:
+    """Compressed bytes inflated until nothing inflates; windows if that would exceed a layer's size and `most` doesn't forbid them.
+    unread gets why data that begins to inflate, or is too large to, isn't read to its end."""
     seen = set()
     while True:
-        try:
-            if _maker(raw[:6]) is None or (key := blake2b(raw, digest_size=16).digest()) in seen:
-                return raw
-        except ImportError:
+        if _maker(raw[:6]) is None or (key := blake2b(raw, digest_size=16).digest()) in seen:
             return raw
         seen.add(key)
         out = bytearray()
@@ -185,10 +201,12 @@ def _unpacked(raw: bytes, most: int | None) -> bytes | Iterator[bytes]:
             for chunk in _members(_pieces(raw)):
                 out += chunk
                 if len(out) > (MAX_LAYER_BYTES if most is None else most):
-                    return _windows(raw) if most is None else raw
-        except Exception as error:  # noqa: BLE001  each library has its own errors for damaged data
-            if isinstance(error, MemoryError):
+                    return _windows(raw, unread) if most is None else raw
+        except Exception as error:
+            if not _is_damage(error):
                 raise
+            if out or _is_limit(error):
+                unread.append(str(error))
             return bytes(out) + b"\n" + raw if out else raw  # or text that only begins like compressed data
         if not out:
             return raw
@@ -219,13 +237,13 @@ def _wide(order: str, raw: bytes) -> str | None:
 _READINGS = (_narrow, partial(_wide, "le"), partial(_wide, "be"))
 
 
-def _from_base64(part: str, most: int | None) -> bytes | Iterator[bytes] | None:
+def _from_base64(part: str, most: int | None, unread: list[str]) -> bytes | Iterator[bytes] | None:
     core = part.rstrip("=").replace("-", "+").replace("_", "/")
     if len(core) % 4 == 1:
         core = core[:-1]
     try:
-        return _unpacked(base64.b64decode(core + "=" * (-len(core) % 4)), most)
-    except ValueError:
+        return _unpacked(base64.b64decode(core + "=" * (-len(core) % 4)), most, unread)
+    except binascii.Error:
         return None
 
 
@@ -271,8 +289,9 @@ def _origin(own: np.ndarray, start: int, end: int) -> np.ndarray:
     return np.array([[own[0, start:end].min()], [own[1, start:end].max()]], np.int32)
 
 
-def _children(layer: str, at: np.ndarray | None, most: int | None) -> Iterator[tuple[str, np.ndarray]]:
-    """Further layers: one for each way of unwrapping that changes the text, and one for each window of a large part."""
+def _children(layer: str, at: np.ndarray | None, most: int | None, unread: set[tuple[int, int]]) -> Iterator[tuple[str, np.ndarray]]:
+    """Further layers: one for each way of unwrapping that changes the text, and one for each window of a large part. unread gets the
+    original's spans of parts that aren't read to their end."""
     for sign, pattern, decode in (("%", _URL, _from_url), ("%u", _WIDE, _from_escape), ("\\", _ESCAPE, _from_escape), ("&#", _ESCAPE, _from_escape)):
         if sign in layer and (sign != "&#" or "\\" not in layer):
             parts = [(*m.span(), new) for m in pattern.finditer(layer) if (new := decode(m.group())) is not None]
@@ -284,7 +303,8 @@ def _children(layer: str, at: np.ndarray | None, most: int | None) -> Iterator[t
         for reading, *block in _blocks(run):
             wrapped[reading].append(block)
     for found in (lines, *wrapped):
-        raws = [(a, b, raw) for a, b, part in found if (raw := _from_base64(part, most)) is not None]
+        why: list[list[str]] = [[] for _ in found]
+        raws = [(a, b, raw) for (a, b, part), broken in zip(found, why, strict=True) if (raw := _from_base64(part, most, broken)) is not None]
         for a, b, raw in raws:
             if not isinstance(raw, bytes):
                 origin = _origin(_own(layer, at), a, b)
@@ -292,6 +312,9 @@ def _children(layer: str, at: np.ndarray | None, most: int | None) -> Iterator[t
                     for reading in _READINGS:
                         if text := reading(window):
                             yield text, np.broadcast_to(origin, (2, len(text)))
+        for (a, b, _), broken in zip(found, why, strict=True):
+            if broken:
+                unread.add(tuple(map(int, _origin(_own(layer, at), a, b).ravel())))
         whole = [(a, b, raw) for a, b, raw in raws if isinstance(raw, bytes)]
         plain = [(a, b, text) for a, b, raw in whole if (text := _plain(raw)) is not None]
         if plain and (child := _replaced(layer, at, plain)):
@@ -304,8 +327,10 @@ def _children(layer: str, at: np.ndarray | None, most: int | None) -> Iterator[t
                 yield "\n".join(x for _, _, x in parts) + "\n", np.concatenate([np.repeat(_origin(own, a, b), len(x) + 1, axis=1) for a, b, x in parts], axis=1)
 
 
-def find_spans(text: str, max_layer_bytes: int | None = None) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, depth) of every secret, depth 0 as the text stands; by start, then kind, then end."""
+def find_spans(text: str, max_layer_bytes: int | None = None, unread: set[tuple[int, int]] | None = None) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, depth) of every secret, depth 0 as the text stands; by start, then kind, then end. unread, if given, gets
+    (start, end) of compressed parts that couldn't be read to their end."""
+    unread = set() if unread is None else unread
     found = {(k, a, b): 0 for k, a, b in base_spans(text)}
     seen, work = set(), deque([(iter([(text, None)]), 0, False)])
     while work:
@@ -324,9 +349,9 @@ def find_spans(text: str, max_layer_bytes: int | None = None) -> list[tuple[str,
                 found[span] = min(depth, found.get(span, depth))
         # windows of a large part, and what is inside them, are taken up at once and never held together
         if streamed or (at is not None and at.strides[1] == 0):
-            work.appendleft((_children(layer, at, max_layer_bytes), depth + 1, True))
+            work.appendleft((_children(layer, at, max_layer_bytes, unread), depth + 1, True))
         else:
-            work.append((_children(layer, at, max_layer_bytes), depth + 1, False))
+            work.append((_children(layer, at, max_layer_bytes, unread), depth + 1, False))
     return sorted(((k, a, b, d) for (k, a, b), d in found.items()), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -334,18 +359,20 @@ _SPANS = "array<struct<kind:string,start:int,end:int,depth:int>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: every secret's kind, start and end (code points, end exclusive) and layer depth."""
+    """doc_id, spans: every secret's kind, start and end (code points, end exclusive) and layer depth; and n_unread, the number of
+    compressed parts that couldn't be read to their end."""
     bounded_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("depth", pa.int32())]))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, "text"):
-                spans = [[dict(zip(("kind", "start", "end", "depth"), s, strict=True)) for s in find_spans(t.as_py() or "")] for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
+                unread: list[set[tuple[int, int]]] = [set() for _ in range(part.num_rows)]
+                spans = [[dict(zip(("kind", "start", "end", "depth"), s, strict=True)) for s in find_spans(t.as_py() or "", unread=u)] for t, u in zip(part.column("text"), unread, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, kind), pa.array([len(u) for u in unread], pa.int64())], ["doc_id", "spans", "n_unread"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tidy(scanned), f"doc_id {id_type}, spans {_SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(scanned), f"doc_id {id_type}, spans {_SPANS}, n_unread long")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -381,4 +408,5 @@ def digests(docs: DataFrame) -> DataFrame:
         *(count(k).alias(f"n_{k}") for k in KINDS),
         F.sha2(written(base), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
+        "n_unread",
     )

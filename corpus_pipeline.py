@@ -28,13 +28,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark and n_chars following; null texts stay null."""
+    """All documents, secrets replaced by a mark, compressed parts that can't be read by another, and n_chars following; null texts
+    stay null."""
     return secrets.redact(docs)
 
 
-def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say; texts without words go, they have no tokens to mix."""
-    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str, outcome: dict | None = None) -> DataFrame:
+    """Documents as often as their fitted rates say; texts without words go, they have no tokens to mix. outcome gets whether the
+    targets were met."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), outcome=outcome)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's digests; and, the same in all rows, mix_miss and mix_converged: by how much the shares of domains miss their
+    targets, and whether that is within the tolerance."""
+    mix: dict = {}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir, **({"outcome": mix} if stage is mix_domains else {}))
         if i + 1 < len(STAGES):
             docs = materialize(docs, name)
-    return docs
+    return docs.withColumns({f"mix_{k}": F.lit(v) for k, v in mix.items()})

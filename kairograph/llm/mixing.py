@@ -187,9 +187,12 @@ def plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
     return fitted.withColumns({"miss": F.lit(miss), "converged": F.lit(miss <= TOLERANCE)})
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """Rows of `docs`, all columns, each as often as its copies say. The fitted rate is a function of the row, so no join or shuffle of texts."""
-    _, moments, lexicon, steps, _ = _fitted(docs, labels, targets)
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, outcome: dict | None = None) -> DataFrame:
+    """Rows of `docs`, all columns, each as often as its copies say. The fitted rate is a function of the row, so no join or shuffle of texts.
+    outcome, if given, gets miss and converged, as in `plan`: rows alone don't tell whether the targets were met."""
+    _, moments, lexicon, steps, miss = _fitted(docs, labels, targets)
+    if outcome is not None:
+        outcome |= {"miss": miss, "converged": miss <= TOLERANCE}
     rows = features(docs.select(F.struct("*").alias("whole"), "doc_id", "text"), list(lexicon), "whole")
     # the added zero isn't deterministic for the optimizer, which else repeats the whole expression below the scan as a filter
     times = copies(rate(steps), F.col("doc_id")) + F.floor(F.rand(0) * 0.5).cast("int")

@@ -375,17 +375,22 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(scanned), f"doc_id {id_type}, spans {_SPANS}, n_unread long")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns with each secret's span of the text, overlapping ones merged, replaced by `mark`; n_chars follows."""
+def redact(docs: DataFrame, mark: str = "[SECRET]", unread_mark: str = "[UNREAD]") -> DataFrame:
+    """The same rows and columns with each secret's span of the text, overlapping ones merged, replaced by `mark`; so are compressed parts
+    that couldn't be read to their end, by `unread_mark`, which counts where both overlap; n_chars follows."""
     bounded_batches(docs.sparkSession)
 
     def cleaned(text: str | None) -> str | None:
         if not text:
             return text
         out, done = [], 0
-        for _, start, end, _ in find_spans(text):
+        unread: set[tuple[int, int]] = set()
+        spans = [(a, b, mark) for _, a, b, _ in find_spans(text, unread=unread)]
+        for start, end, by in sorted([*spans, *((a, b, unread_mark) for a, b in unread)]):
             if start >= done:
-                out += [text[done:start], mark]
+                out += [text[done:start], by]
+            elif by == unread_mark:
+                out[-1] = by
             done = max(done, end)
         return "".join([*out, text[done:]])
 

@@ -11,7 +11,7 @@ import zlib
 
 import pytest
 
-from kairograph.llm import secrets
+from kairograph.llm import mixing, secrets
 
 NOISE = base64.b85encode(os.urandom(60_000))
 
@@ -66,3 +66,24 @@ def test_queries_count_unread_parts(spark):
     rows = [(1, "plain"), (2, f"see {broken(zlib.compress(NOISE, 0))}"), (3, None)]
     got = {r["doc_id"]: r["n_unread"] for r in secrets.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 0}
+
+
+def test_redacting_marks_what_it_cannot_read(spark):
+    part = broken(zlib.compress(b"password = hunter2hunter2 " + NOISE, 0))
+    rows = [(1, f"see {part} there"), (2, "token=abcdefgh here"), (3, "plain")]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "see [UNREAD] there", 2: "[SECRET] here", 3: "plain"}
+
+
+def test_the_pipeline_tells_whether_targets_are_met(spark, tmp_path):
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{source}/{t}.parquet") for t in ("documents", "labels"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.where("toxic = 0 AND quality = 1").write.parquet(f"{tmp_path}/labels.parquet")  # no text can serve two of the three targets
+    (row,) = corpus_pipeline.run(spark, str(tmp_path)).select("mix_miss", "mix_converged").distinct().collect()
+    assert not row["mix_converged"] and row["mix_miss"] > 0.01
+    mixing.mixed(docs, labels, outcome=(outcome := {})).count()
+    (plan,) = mixing.plan(docs, labels).select("miss", "converged").distinct().collect()
+    assert outcome == plan.asDict()

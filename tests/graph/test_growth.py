@@ -63,3 +63,24 @@ def test_intervals_merge_by_one_sort_and_no_table(spark):
     plan = plan_of(merged)  # before it runs, or it is there twice
     assert plan.count("Sort ") == 1 and "Aggregate" not in plan
     assert sorted(map(tuple, merged.collect()), key=str) == [("a", 0, 6), ("a", 8, 9), ("b", 3, 4), (None, 1, 9)]
+
+
+@pytest.mark.parametrize("name", ["dep_edges", "locks"])
+def test_tasks_of_the_views_follow_the_lines(spark, odd_tables, name, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    assert f", {cores})" in plan_of(views.view(spark, odd_tables[0], name)).split("REPARTITION_BY_NUM")[0].rsplit("hashpartitioning", 1)[1]
+    monkeypatch.setattr(views, "LINES", 1)
+    assert views.view(spark, odd_tables[0], name).rdd.getNumPartitions() == max(cores, 17)
+
+
+def test_a_sweep_holds_no_table_of_what_is_known(spark):
+    """Known spans are sorted only, and all ends of an instant count at once, whichever side they come from."""
+    new = spark.createDataFrame([("a", 0, 5), ("a", 0, 5), ("a", 7, 9), ("b", 1, 2)], "node string, vf long, vt long")
+    known = spark.createDataFrame([("a", 2, 5), ("a", 5, 7), ("b", 1, 2), ("c", 0, 1)], "node string, vf long, vt long")
+    left = intervals.minus(new, known)
+    assert plan_of(left).count("HashAggregate") == 2  # ends of the new ones, before and after their shuffle
+    assert "keys=[node" in plan_of(left) and plan_of(left).index("HashAggregate") > plan_of(left).index("Union")
+    branches = plan_of(left)[plan_of(left).index("Union") :]
+    assert branches.rindex("HashAggregate") < branches.rindex("Generate")
+    assert "HashAggregate" not in branches[branches.index("Generate") :]  # the second branch has none
+    assert sorted(map(tuple, left.collect())) == [("a", 0, 2), ("a", 7, 9)]

@@ -107,3 +107,20 @@ def test_views_of_lines_equal_their_text_and_hold_a_share(spark, odd_lines, name
     # epoch() of duckdb has fractions, which its cast rounds and Spark's unix_timestamp cuts off: whole seconds are asked for
     text = views.with_views([name], f" SELECT {columns} FROM {name}").replace("epoch(l_shipdate)", "floor(epoch(l_shipdate))")
     assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, con.execute(text).fetchall()))
+
+
+def test_steps_after_the_views_have_as_many_tasks_as_the_lines_ask_for(spark, odd_tables, monkeypatch):
+    """Spark never cuts a shuffle partition, so a session's fixed number of them must not be all that a search has."""
+    name, monkey = "spark.sql.shuffle.partitions", monkeypatch.setattr
+    before = spark.conf.get(name)
+    try:
+        monkey(views, "LINES", 1)
+        spark.conf.set(name, "2")
+        edges = views.view(spark, odd_tables[0], "dep_edges")
+        merged = intervals.coalesce(edges.select("dst", "vf", "vt"), ["dst"])
+        asked = max(spark.sparkContext.defaultParallelism, 17)
+        assert f"hashpartitioning(dst#{plan_of(merged).split('hashpartitioning(dst#')[1].split(',')[0]}, {asked})" in plan_of(merged)
+        spark.conf.set(name, "300")  # a session that has more keeps them
+        assert views.view(spark, odd_tables[0], "locks").columns and spark.conf.get(name) == "300"
+    finally:
+        spark.conf.set(name, before)

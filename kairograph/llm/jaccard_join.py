@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import bounded_batches, group_starts, materialize, mix64, row_slices, tidy, whole_groups, word_lists
@@ -267,13 +267,14 @@ def join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMI
                 if sum(times):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times))], ["entry", "node", "n"])
 
-    entries = materialize(rows.mapInArrow(tidy(indexed), "entry long, node long, n int").groupBy("entry", "node").agg(F.first("n").alias("n")), "entries")
-    # entries that several nodes share, each set of members once, told by number, ends and exclusive or of its nodes; most entries
-    # have one node, whose id is then all three and costs a shuffled row little
+    # most entries have one node: they go where the entries meet first, and are neither written nor shuffled again
+    of_entry = Window.partitionBy("entry")
+    met = rows.mapInArrow(tidy(indexed), "entry long, node long, n int").select("entry", "node", "n", F.min("node").over(of_entry).alias("first"), F.max("node").over(of_entry).alias("last"))
+    entries = materialize(met.where("first < last").groupBy("entry", "node").agg(F.first("n").alias("n")), "entries")
+    # each set of members once, told by number, ends and exclusive or of its nodes
     shared = (
         entries.groupBy("entry")
         .agg(F.count("*").alias("m"), F.bit_xor("node").alias("mixed"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"))
-        .where("m > 1")
         .where((F.col("m") > 2) | (F.col("low") * den >= F.col("high") * num))  # two sets of too different sizes can't be linked
         .groupBy("m", "mixed", "first", "last")
         .agg(F.min("entry").alias("entry"))
@@ -376,9 +377,18 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
     found = join(docs.select(key.alias("doc_id"), "text"), words, similarity)
     rows = found.where("n_shingles > 0").groupBy("doc_id").agg(F.first("component_id").alias("component_id"), F.count("*").alias("times")).where("doc_id <> component_id OR times > 1")
-    # written first: Spark then knows the size of the keys before it decides whether whole texts must be shuffled to meet them
     rows = materialize(rows.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.digest").alias("__digest"), (F.col("doc_id") == F.col("component_id")).alias("__first")), "not-alone")
-    same = docs["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(docs["text"]) == rows["__digest"])
-    alone = docs.join(rows, same, "left_anti")
-    first = docs.join(rows.where("__first"), same, "left_semi").withColumn("__digest", F.xxhash64("text")).dropDuplicates(["doc_id", "__digest"])
+    # a bitmap of fixed size tells which rows may be among them; only their texts are shuffled, and the join decides
+    marks = rows.select(_slot(F.col("__id"), F.col("__digest")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("__bits"))
+    slot = _slot(docs["doc_id"], F.xxhash64(docs["text"]))
+    marked = docs.join(F.broadcast(marks), F.shiftright(slot, 6) == marks["__word"], "left").select(docs["*"], F.coalesce(F.getbit(marks["__bits"], (slot % 64).cast("int")) == 1, F.lit(False)).alias("__may"))
+    sure, may = marked.where("NOT __may").drop("__may"), marked.where("__may").drop("__may")
+    same = may["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(may["text"]) == rows["__digest"])
+    alone = sure.unionByName(may.join(rows, same, "left_anti"))
+    first = may.join(rows.where("__first"), same, "left_semi").withColumn("__digest", F.xxhash64("text")).dropDuplicates(["doc_id", "__digest"])
     return alone.unionByName(first.drop("__digest"))
+
+
+def _slot(doc_id: Column, digest: Column) -> Column:
+    """A row's place in the bitmap."""
+    return F.pmod(F.xxhash64(doc_id, digest), F.lit(1 << FILTER_BITS))

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from kairograph.functions import intervals
+from kairograph.functions.lineage import written
 from kairograph.operators import scopes
 from kairograph.plans import views
 
@@ -124,3 +125,24 @@ def test_steps_after_the_views_have_as_many_tasks_as_the_lines_ask_for(spark, od
         assert views.view(spark, odd_tables[0], "locks").columns and spark.conf.get(name) == "300"
     finally:
         spark.conf.set(name, before)
+
+
+def test_reads_of_steps_have_as_many_tasks_as_the_lines_ask_for(spark, odd_tables, monkeypatch):
+    """A step's files are not dealt to one task a core, whose tables would grow with the lines."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.files.minPartitionNum")
+    before, cores = {n: spark.conf.get(n, None) for n in names}, spark.sparkContext.defaultParallelism
+    try:
+        spark.conf.unset(names[1])
+        files = written(spark.range(0, 17, 1, 17))
+        assert files.rdd.getNumPartitions() <= cores + 1
+        views.view(spark, odd_tables[0], "dep_edges")
+        assert spark.conf.get(names[1]) == str(cores)  # few lines, as Spark has it
+        monkeypatch.setattr(views, "LINES", 1)
+        views.view(spark, odd_tables[0], "dep_edges")
+        again = spark.read.parquet(*files.inputFiles())
+        assert again.rdd.getNumPartitions() == 17 and again.count() == 17
+        spark.conf.set(names[1], "300")  # a session that has more keeps them
+        assert views.view(spark, odd_tables[0], "locks").columns and spark.conf.get(names[1]) == "300"
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)

@@ -146,3 +146,15 @@ def test_reads_of_steps_have_as_many_tasks_as_the_lines_ask_for(spark, odd_table
     finally:
         for n, v in before.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_views_let_spark_merge_small_shares_only(spark, odd_tables):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        for size, then in (("64MB", "16777216b"), ("1g", "16777216b"), ("17000000", "16777216b"), ("16m", "16m"), ("4096k", "4096k"), ("1000b", "1000b")):
+            spark.conf.set(name, size)
+            views.view(spark, odd_tables[0], "dep_edges")
+            assert spark.conf.get(name) == then  # a session that has less keeps it
+    finally:
+        spark.conf.set(name, before)

@@ -42,6 +42,7 @@ FAN_OUT = 8
 PAGE = 4096
 LEAF_ENTRIES = 32
 QUERIES = 2048
+GATHERED = 1 << 18
 FIRST_WAVE, GROWTH = 1, 4
 SLACK = 1e-6
 NONE = np.iinfo(np.int64).min + 1
@@ -220,13 +221,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, sa
     if not facts["count"]:
         return none
     largest = int(facts["largest"])
-    # a bounded sample in the order of a hash; as many of its rows a leaf as stand for a page
-    chosen = entries.orderBy(F.xxhash64("row"), "row").limit(sample).select("n", "x").collect()
+    # a bounded sample in the order of a hash; as many of its rows a leaf as stand for a page. Only rows whose hash is as low as the
+    # sample's highest is likely to be are looked at, or each task would hand on `sample` rows
+    share = min(1.0, (sample + 8 * sample**0.5 + 64) / facts["count"])
+    low_hash = F.xxhash64("row") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
+    chosen = entries.where(low_hash).orderBy(F.xxhash64("row"), "row").limit(sample).select("n", "x").toArrow()
     most = max(1, len(chosen) * PAGE // facts["count"])
-    by_length: dict[int, list] = {}
-    for r in chosen:
-        by_length.setdefault(r["n"], []).append(r["x"])
-    directories = {n: Directory(np.array(rows, np.int64), n, largest, most) for n, rows in by_length.items()}
+    lengths, drawn = chosen.column("n").to_numpy(), chosen.column("x").combine_chunks()
+    directories = {n: Directory(_matrix(drawn, np.flatnonzero(lengths == n), n), n, largest, most) for n in dict.fromkeys(lengths.tolist())}
     bare = spark.sparkContext.broadcast(directories)  # bounded by the sample
 
     def of_length(held: dict[int, Directory], batch: pa.RecordBatch) -> Iterator[tuple[int, Directory, np.ndarray, np.ndarray]]:
@@ -254,7 +256,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, sa
 
     low = entries.select("n", "vec_id", "row", "query", "x").mapInArrow(placed, f"n int, leaf long, far double, vec_id {id_type}, row long, query boolean, x array<bigint>")
     low = materialize(low, "leaves")
-    shares = low.groupBy("n", "leaf").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages"))
+    # a row for each leaf of the upper levels. Joins name what they broadcast: files of small numbers tell Spark a seventh of what their
+    # vectors take in memory, or a thirtieth after visits are exploded, and it would send those to the driver and every machine
+    shares = F.broadcast(low.groupBy("n", "leaf").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages")))
     keys = ["n", "leaf", "page"]
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +328,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, sa
         """Scores not below what each query has so far, k at most of each page, and the distances taken."""
         each = calls.select("n", "row", "x", "least", F.explode("visits").alias("v")).select("n", "v.leaf", "v.far", "row", "x", "least").join(shares, ["n", "leaf"])
         each = each.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).drop("pages")
-        blocks = each.groupBy(*keys).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+        blocks = F.broadcast(each.groupBy(*keys).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")))  # a row a page
         nothing = {c: F.lit(None).cast(pages.schema[c].dataType) for c in ("ids", "rows", *_TREE)}
         asking = each.join(blocks, keys).withColumns({"block": F.pmod(F.xxhash64("row"), "blocks").cast("int"), "place": F.lit(1)} | nothing).drop("blocks")
         held = pages.join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -388,6 +392,20 @@ def _answers(page: pa.RecordBatch, asking: pa.RecordBatch, largest: int, k: int)
     order = np.argsort(bound, axis=1, kind="stable")
     # k best so far of each query: score, id and place in the page; a candidate must reach what the query brought
     score, name, place = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), -1)
+    gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, score and place in the page
+
+    def put_in_order() -> None:
+        """The k best of what the queries had and what was gathered for them."""
+        if gathered:
+            asker, value, at = (np.concatenate(c) for c in zip(*gathered, strict=True))
+            gathered.clear()
+            who = np.unique(asker)
+            asker, value = np.concatenate([np.repeat(who, k), asker]), np.concatenate([score[who].ravel(), value])
+            named, at = np.concatenate([name[who].ravel(), names[at]]), np.concatenate([place[who].ravel(), at])
+            by = np.lexsort((named, -value, asker))
+            top = by[np.searchsorted(asker[by], who)[:, None] + np.arange(k)]
+            score[who], name[who], place[who] = value[top], named[top], at[top]
+
     at, step = 0, 1
     while at < len(leaves):
         turn = order[:, at : at + step]
@@ -395,9 +413,12 @@ def _answers(page: pa.RecordBatch, asking: pa.RecordBatch, largest: int, k: int)
         live = np.take_along_axis(bound, turn, 1) <= limit[:, None]
         if not live.any():
             break
-        for leaf in np.unique(turn[live]):
-            who = np.flatnonzero((live & (turn == leaf)).any(1))
-            node = leaves[leaf]
+        # few candidates reach a query's k-th best; they are put in order once a turn, or earlier if there are many
+        waiting = 0
+        askers, visited = np.nonzero(live)[0], turn[live]
+        by = np.argsort(visited, kind="stable")
+        for same in np.split(by, np.flatnonzero(np.diff(visited[by])) + 1):
+            who, node = askers[same], leaves[visited[same[0]]]
             a, b = tree.start[node], tree.stop[node]
             far, width = found.distance[who, node], limit[who]
             low = int(np.searchsorted(tree.distance[a:b], (far - width).min(), "left")) + a
@@ -407,11 +428,13 @@ def _answers(page: pa.RecordBatch, asking: pa.RecordBatch, largest: int, k: int)
             held = tree.order[low:high]
             scores = products(q[who], x[held])
             found.computed[who] += high - low
-            scores = np.where((rows[held] == own[who][:, None]) | (scores < least[who][:, None]), NONE, scores)
-            score_, name_ = np.concatenate([score[who], scores], 1), np.concatenate([name[who], np.broadcast_to(names[held], scores.shape)], 1)
-            place_ = np.concatenate([place[who], np.broadcast_to(held, scores.shape)], 1)
-            top = np.lexsort((name_, -score_), axis=1)[:, :k]
-            score[who], name[who], place[who] = (np.take_along_axis(v, top, 1) for v in (score_, name_, place_))
+            i, j = np.nonzero((scores >= np.maximum(least[who], score[who, -1])[:, None]) & (rows[held] != own[who][:, None]))
+            gathered.append((who[i], scores[i, j], held[j]))
+            waiting += len(i)
+            if waiting > GATHERED:
+                put_in_order()
+                waiting = 0
+        put_in_order()
         full = score[:, -1] != NONE
         limit = np.where(full, np.minimum(limit, reach(q, np.where(full, score[:, -1], NONE), largest)), limit)
     i, j = np.nonzero(score != NONE)

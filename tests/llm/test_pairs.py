@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import random
 import re
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from kairograph.llm import jaccard_join, mtree, multi_index
@@ -260,3 +262,33 @@ def test_tree_search_takes_odd_tables(spark):
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(others[:20])]
     assert rows == sorted(want)
     assert mtree.search(few.where("false"), F.col("vec_id") >= 0).count() == 0
+
+
+def test_tree_search_sends_no_task_s_own_sample_to_the_driver_and_no_vectors_to_every_machine(spark):
+    """Each task's lowest `sample` rows would grow with the tasks; files of small numbers look small enough to broadcast."""
+    held = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k"}
+    before = {n: spark.conf.get(n) for n in held}
+    store, sql = spark.sparkContext._jsc.sc().statusStore(), spark._jsparkSession.sharedState().statusStore()
+    done = sql.executionsCount()
+    x = vectors(6, 40 * 80, 256)
+    try:
+        for n, v in held.items():
+            spark.conf.set(n, v)
+        spark.sparkContext.setJobGroup("sampled", "sampled")
+        got = mtree.search(table(spark, x).repartition(40), F.col("vec_id") % 20 == 0, k=3, sample=64).collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    whole = np.floor(64 * x.astype(float)).astype(np.int64)
+    assert sorted(map(tuple, got)) == brute_top(np.arange(len(x)), whole, range(0, len(x), 20), 3)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    sent = []
+    for job in spark.sparkContext.statusTracker().getJobIdsForGroup("sampled"):
+        for stage in spark.sparkContext.statusTracker().getJobInfo(job).stageIds:
+            with contextlib.suppress(Py4JJavaError):  # stages that were skipped have no attempt
+                sent.append(store.lastStageAttempt(stage).resultSize())
+    assert 64 * 256 * 8 < max(sent) < 4 * 64 * 256 * 8  # 64 vectors of 256 numbers, not those of 40 tasks
+    plans = [sql.executionsList(done, 1000).apply(i).physicalPlanDescription() for i in range(sql.executionsCount() - done)]
+    sends = [p for plan in plans for p in re.findall(r"BroadcastExchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert sends and not [p for p in sends if re.search(r"\bx#", p)]

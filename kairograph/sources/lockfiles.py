@@ -76,10 +76,24 @@ def entries(files: DataFrame) -> DataFrame:
     return _places(files).where("place <> '' AND NOT coalesce(p.link, false)").select("path", "place", F.col("p.version").alias("version"))
 
 
+def _asked(p: Column) -> Column:
+    """What an entry asks for: its dependencies, and those for development that it has no others of."""
+    none = F.create_map().cast("map<string,string>")
+    return F.map_concat(F.coalesce(p["dependencies"], none), F.map_filter(F.coalesce(p["devDependencies"], none), lambda k, v: ~F.coalesce(F.map_contains_key(p["dependencies"], k), F.lit(False))))
+
+
 def requirements(files: DataFrame) -> DataFrame:
     """(path, place, name, range) of what each entry of flat packages maps asks for; the root's for development too."""
-    every = F.map_concat(F.coalesce(F.col("p.dependencies"), F.create_map().cast("map<string,string>")), F.map_filter(F.coalesce(F.col("p.devDependencies"), F.create_map().cast("map<string,string>")), lambda k, v: ~F.coalesce(F.map_contains_key("p.dependencies", k), F.lit(False))))
-    return _places(files).select("path", "place", F.explode(every).alias("name", "range"))
+    return _places(files).select("path", "place", F.explode(_asked(F.col("p"))).alias("name", "range"))
+
+
+def scoped(files: DataFrame) -> DataFrame:
+    """(path, needs, held), a row for each file with a flat packages map: `requirements` and `entries` of the file as arrays, in one pass."""
+    each = F.map_entries("packages")
+    held = F.transform(F.filter(each, lambda e: (e["key"] != "") & ~F.coalesce(e["value"]["link"], F.lit(False))), lambda e: F.struct(e["key"].alias("place"), e["value"]["version"].alias("version")))
+    needs = F.flatten(F.transform(each, lambda e: F.transform(F.map_entries(_asked(e["value"])), lambda d: F.struct(e["key"].alias("place"), d["key"].alias("name"), d["value"].alias("range")))))
+    docs = files.where(kind_of(F.col("path")) == "package-lock.json").select("path", F.from_json("content", _NPM)["packages"].alias("packages")).where("packages IS NOT NULL")
+    return docs.select("path", needs.alias("needs"), held.alias("held"))
 
 
 def projects(files: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import io
+import json
+import random
 
 import duckdb
 import pytest
@@ -11,7 +13,8 @@ import pytest
 from kairograph.functions import intervals
 from kairograph.functions.lineage import written
 from kairograph.operators import scopes
-from kairograph.plans import views
+from kairograph.plans import queries, views
+from kairograph.sources import lockfiles
 
 
 def plan_of(df):
@@ -29,6 +32,36 @@ def test_nearest_scope_sends_no_parsed_rows_to_every_machine(spark):
     assert sorted((r["name"], r["resolved_place"], r["version"]) for r in found.collect()) == [("p1", "node_modules/p1", "1.1.0"), ("p2", "node_modules/p2", "1.2.0"), ("p3", None, None)]
 
 
+def test_scopes_are_looked_up_within_the_task_that_has_the_file(spark):
+    """Lines are shuffled once by order; what is parsed, several times as much, isn't."""
+    plan = plan_of(queries.nearest_scope(spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_scopes_in_files_equal_those_of_rows(spark, monkeypatch):
+    """Workspaces, links, entries without a version, ranges for development only, and files with nothing to look up."""
+    monkeypatch.setattr(scopes, "FILES", 3)  # 40 files in several turns
+    rng = random.Random(4)
+    files = [(f"x{i}/package-lock.json", c) for i, c in enumerate([None, "", "[]", "{}", '{"packages":{}}', '{"packages":{"":{"dependencies":{"a":"1"}}}}', '{"dependencies":{"a":{"version":"1.0.0"}}}'])]
+    files.append(("yarn.lock", '{"packages":{"":{"dependencies":{"a":"1"}}}}'))
+    for i in range(40):
+        packages = {"": {"dependencies": {n: "*" for n in rng.sample("abcd", 2)}, "devDependencies": {n: "^1" for n in rng.sample("abcd", 2)}}}
+        for _ in range(rng.randrange(12)):
+            place = rng.choice(["", "packages/w", "packages/node_modules"]) + "".join(f"/node_modules/{rng.choice('abcd')}" for _ in range(rng.randrange(1, 4)))
+            entry = {"version": f"{rng.randrange(9)}.0.0"} if rng.random() < 0.8 else {}
+            packages[place.lstrip("/") if rng.random() < 0.9 else place] = entry | rng.choice([{}, {"link": True}, {"dependencies": {n: f"~{n}" for n in rng.sample("abcde", 2)}}])
+        files.append((f"d{i}/package-lock.json", json.dumps({"packages": packages})))
+    table = spark.createDataFrame(files, "path string, content string")
+    want = scopes.nearest_scope(lockfiles.requirements(table), lockfiles.entries(table))
+    found = scopes.nearest_scope_in_files(lockfiles.scoped(table))
+    assert found.columns == want.columns and found.dtypes == want.dtypes
+    rows = sorted(map(tuple, found.collect()), key=str)
+    assert rows == sorted(map(tuple, want.collect()), key=str)
+    assert any(r[4] is None for r in rows) and any(r[4] and r[5] is None for r in rows) and any(r[4] and r[4].count("node_modules") > 1 for r in rows)
+    again = spark.createDataFrame([("package-lock.json", '{"packages":{"":{"dependencies":{"a":"1"}},"node_modules/a":{"version":"1.0.0"},"node_modules/a":{"version":"2.0.0"},"node_modules/a":{}}}')], "path string, content string")
+    assert [tuple(r) for r in scopes.nearest_scope_in_files(lockfiles.scoped(again)).collect()] == [("package-lock.json", "", "a", "1", "node_modules/a", "2.0.0")]
+
+
 @pytest.fixture(scope="module")
 def odd_tables(tmp_path_factory):
     """Repeated lines and orders, lines without a part or an order, orders of one part, orders without a date."""

@@ -452,3 +452,10 @@ def test_sampled_closures_are_those_of_the_whole(spark):
     assert len(got) == len(set(got)) and set(got) == {m for m in whole if m[:2] in sample}
     rows = observatory.sampled_validation(edges, observatory.kri_estimated(observatory.kri_sketches(edges)), 5).collect()
     assert len(rows) == 10 and all(r["within"] and r["error"] == 0 for r in rows)  # small sets are exact
+
+
+def test_resolution_windows_follow_precedence_whatever_the_minor(spark):
+    """A minor of many digits never outweighs the major."""
+    releases = spark.createDataFrame([("p", "1.47999.13", 10), ("p", "2.7.22", 20), ("p", "1.48000.0", 30)], "package string, version string, published_at long")
+    declared = spark.createDataFrame([("d", "p", "<=2.10.5", 0)], "declaration string, package string, range string, declared_at long")
+    assert sorted(map(tuple, temporal.resolution_windows(declared, releases).collect())) == [("d", "1.47999.13", 10, 20), ("d", "2.7.22", 20, OPEN)]
